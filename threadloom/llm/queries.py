@@ -1,5 +1,6 @@
 """Queries of the operators for training data, with their SQL where SQL can say it."""
 
+from threadloom.llm.consensus import consensus
 from threadloom.llm.conversations import conversations
 from threadloom.sources.tables import table
 
@@ -8,5 +9,17 @@ def p3_found(spark, d):
     return conversations(table(spark, d, "messages"), table(spark, d, "mailboxes")).drop("role")
 
 
-QUERIES = {"p3_found": p3_found}
+def p5_found(spark, d):
+    return consensus(table(spark, d, "bc3_labelled"))[0].select("thread", "sid", "tag")
+
+
+def p5_agreement(spark, d):
+    return consensus(table(spark, d, "bc3_labelled"))[0]
+
+
+def p5_reliability(spark, d):
+    return spark.createDataFrame(consensus(table(spark, d, "bc3_labelled"))[1], "annotator STRING, n BIGINT, error_bound DOUBLE, reliability DOUBLE")
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_agreement": p5_agreement, "p5_reliability": p5_reliability}
 SQL = {}
