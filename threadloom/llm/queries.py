@@ -2,6 +2,8 @@
 
 from threadloom.llm.consensus import consensus
 from threadloom.llm.conversations import conversations
+from threadloom.llm.packing import fill, pack
+from threadloom.llm.tokens import token_ids
 from threadloom.sources.tables import table
 
 
@@ -21,5 +23,17 @@ def p5_reliability(spark, d):
     return spark.createDataFrame(consensus(table(spark, d, "bc3_labelled"))[1], "annotator STRING, n BIGINT, error_bound DOUBLE, reliability DOUBLE")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_agreement": p5_agreement, "p5_reliability": p5_reliability}
+def p8_ids(spark, d):
+    return token_ids(table(spark, d, "documents"))
+
+
+def p9_containers(spark, d):
+    return pack(table(spark, d, "documents"), table(spark, d, "containers"))
+
+
+def p9_fill(spark, d):
+    return fill(p9_containers(spark, d), table(spark, d, "containers"))
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_agreement": p5_agreement, "p5_reliability": p5_reliability, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
 SQL = {}
