@@ -3,6 +3,7 @@
 from threadloom.llm.consensus import consensus
 from threadloom.llm.conversations import conversations
 from threadloom.llm.packing import fill, pack
+from threadloom.llm.residue import clean_documents, is_residue, score
 from threadloom.llm.tokens import token_ids
 from threadloom.sources.tables import table
 
@@ -35,5 +36,13 @@ def p9_fill(spark, d):
     return fill(p9_containers(spark, d), table(spark, d, "containers"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_agreement": p5_agreement, "p5_reliability": p5_reliability, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+def p10_found(spark, d):
+    return score(table(spark, d, "documents")).where(is_residue()).select("doc_id")
+
+
+def p10_clean(spark, d):
+    return clean_documents(table(spark, d, "documents")).select("doc_id", "text")
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_agreement": p5_agreement, "p5_reliability": p5_reliability, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_clean": p10_clean}
 SQL = {}

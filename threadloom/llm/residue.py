@@ -1,0 +1,463 @@
+"""Template residue, filler, error pages and script notices in place of a mail's content (problem 10).
+
+Character n-gram models of filler, notices and unfilled fields are fitted on the phrases below, the one of natural prose
+on all documents. The log likelihood ratio of each class against prose, averaged over a window, localises residue. A
+document is excluded if filler and notices cover most of it, or if a window of an unfilled field holds a whole
+delimited field and the rest of its line isn't talk about templates (by the same kind of ratio).
+"""
+
+import re
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Filler.
+FILLER = """
+Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
+Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
+Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.
+Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
+aliqua elit minim labore lorem adipiscing lorem quis velit minim labore aliqua magna tempor amet sed nulla ipsum dolor
+asdf asdf
+asdf jkl asdf
+qwerty qwerty
+blah blah blah
+blah blah
+test test test
+foo bar baz
+xxx xxx xxx
+tbd
+to be written
+to be done
+your text here
+enter description
+enter text here
+insert text here
+sample paragraph
+sample text
+headline goes here
+title goes here
+text goes here
+dummy copy for layout only
+dummy text
+placeholder text
+texte de remplissage
+paragraphe d'exemple
+texte factice pour la maquette
+essai essai
+à rédiger
+votre texte ici
+texte à venir
+titre à venir
+texto de relleno
+su texto aquí
+texto de ejemplo
+párrafo de muestra
+título provisional
+escriba aquí su texto
+pendiente de redactar
+prueba prueba
+blindtext
+hier steht ein text
+ihr text hier
+platzhaltertext
+beispielabsatz
+hier steht ihr text
+noch zu schreiben
+bla bla
+Überschrift folgt
+nur ein Blindtext für das Layout
+"""
+# Error pages and what stands around them, and notices that scripts are required.
+NOTICES = """
+Error 404 - Not Found
+Error 410 - Gone
+Error 500: Internal Server Error
+Error 503 - Service Unavailable
+HTTP ERROR 403
+HTTP/1.1 502 Bad Gateway
+HTTP/1.1 504 Gateway Timeout
+HTTP/1.1 429 Too Many Requests
+Status 401 (Unauthorized)
+Status 400 (Bad Request)
+Status 403 (Forbidden)
+404 | Not Found
+410 Gone
+500 Internal Server Error
+502 Bad Gateway
+503 Service Temporarily Unavailable
+504 Gateway Timeout
+429 Too Many Requests
+400 Bad Request
+Request ID: 62f12-62
+Traceback id 1612, contact the webmaster
+velhttpd/2.28 Server at archive.example Port 80
+Reference #39.33
+nox/1.25
+Code: 500
+Go back | Home | Search
+Retour à l'accueil
+Volver
+Zurück
+Back
+the archive is down for maintenance, come back later.
+this site is under construction
+this message is no longer in the archive.
+too many requests. slow down.
+the page you requested could not be found.
+the page could not be found.
+the address you asked for could not be found!
+the address you asked for is restricted to members.
+the resource cannot be displayed
+the resource could not be found.
+the archive could not be found
+the message failed to load
+the message is no longer available
+the list is restricted to members
+the server encountered an error
+oops! something went wrong.
+access denied
+database connection failed
+your session has expired, log in again.
+accès refusé
+erreur interne du serveur
+Erreur 404 : page introuvable
+la page est introuvable!
+la page demandée n'existe plus.
+la page n'est plus disponible!
+le service est momentanément indisponible.
+archive en maintenance, revenez plus tard.
+votre session a expiré.
+zugriff verweigert
+interner serverfehler
+Fehler 404 – Seite nicht gefunden
+die Seite wurde nicht gefunden
+die seite ist gesperrt.
+die seite ist nicht mehr verfügbar
+der Dienst ist vorübergehend nicht verfügbar.
+archiv wird gewartet
+ihre sitzung ist abgelaufen.
+Error 404: página no encontrada
+la página no se encuentra
+la página ya no existe
+error interno del servidor
+acceso denegado
+servicio no disponible temporalmente.
+sitio en mantenimiento
+su sesión ha caducado.
+aide-bureau archive
+Please enable JavaScript to view the archive.
+This viewer does not work without JavaScript.
+This archive relies on scripts.
+This archive relies on active scripting.
+JavaScript must be switched on to read this list.
+script support must be switched on to read this list.
+Sorry, no content without script support.
+To see the thread, enable active scripting.
+You need to turn on scripts to use this page.
+Your browser has scripting disabled.
+We noticed that JavaScript is off in your browser; turn it on and reload.
+Checking your browser before access... scripts and cookies are required.
+Allow JavaScript for archive.example to continue.
+JS must be switched on to read this list.
+Sorry, no content without JS.
+noscript: content cannot be displayed
+Votre navigateur bloque JavaScript.
+Activez les cookies et les scripts puis rechargez.
+Les scripts sont nécessaires à l'affichage de l'archive.
+Contenu indisponible sans l'exécution de scripts.
+Pour lire la discussion, activez JavaScript.
+Veuillez activer JavaScript pour lire cette page.
+Autorisez l'exécution de scripts puis rechargez la page.
+Cette archive a besoin de JavaScript.
+Contenu indisponible sans les scripts.
+Bitte aktivieren Sie JavaScript.
+Erlauben Sie JavaScript und laden Sie neu.
+Dieses Archiv benötigt JavaScript.
+Ihr Browser hat Skripte deaktiviert.
+Ihr Browser unterstützt keine Skripte.
+Erlauben Sie aktive Inhalte und laden Sie neu.
+Zum Lesen der Liste aktive Inhalte einschalten.
+Ohne Skripte kann dieses Archiv nicht angezeigt werden.
+Ohne Skripte kann nichts angezeigt werden.
+Zum Lesen der Liste JavaScript einschalten.
+Kein Inhalt ohne Skripte.
+Skriptausführung erforderlich.
+Su navegador tiene los scripts desactivados.
+Esta página necesita scripts para funcionar.
+Este archivo requiere la ejecución de scripts.
+Active JavaScript para ver el archivo.
+Permita la ejecución de scripts y recargue.
+Para leer la lista, habilite JavaScript.
+Sin la ejecución de scripts no hay contenido.
+"""
+# What error pages speak of, and what they say of it; each pair makes a phrase.
+PAGES = [
+    (
+        ["the page", "the message", "the thread", "the list", "the resource", "the archive", "the attachment", "the address you asked for", "the page you requested"],
+        ["could not be found.", "cannot be displayed.", "failed to load.", "does not exist any more.", "has moved or was removed!", "is not available right now.", "is restricted to members."],
+    ),
+    (
+        ["la page", "la page demandée", "la discussion", "la liste", "la ressource", "la pièce jointe", "la archive demandée", "l'adresse demandée", "le message"],
+        ["est introuvable.", "n'existe plus.", "n'est plus disponible.", "ne peut être affichée.", "a été déplacée ou supprimée.", "est réservée aux abonnés.", "n'a pas pu être chargée."],
+    ),
+    (
+        ["la página", "la conversación", "la lista", "el mensaje", "el recurso", "el archivo", "la dirección solicitada", "el adjunto"],
+        ["no se encuentra.", "ya no existe.", "ya no está disponible.", "no se puede mostrar.", "se ha movido o eliminado.", "es solo para suscriptores.", "no se pudo cargar."],
+    ),
+    (
+        ["die Seite", "die Nachricht", "die Liste", "die Ressource", "das Archiv", "der Anhang", "die angeforderte Adresse", "die Diskussion"],
+        ["ist gesperrt.", "wurde nicht gefunden.", "ist zurzeit nicht erreichbar.", "existiert nicht mehr.", "kann nicht angezeigt werden.", "wurde verschoben oder gelöscht.", "ist nur für Mitglieder."],
+    ),
+]
+# Lines of form letters, the field written as @@.
+LETTERS = """
+Dear @@,
+Yours, @@
+Please quote @@ in every reply.
+Your question about @@ has been received on @@.
+The list @@ will move to @@ soon.
+Hello @@,
+Thank you for your order @@
+Bonjour @@,
+L'équipe @@
+Merci de rappeler @@ dans vos réponses.
+Votre message du @@ a bien été reçu.
+La liste @@ migre vers @@.
+Estimado @@:
+El equipo @@
+Indique siempre @@ en sus respuestas.
+Su consulta del @@ ha sido recibida.
+La lista @@ pasa a @@.
+Guten Tag @@,
+Ihr Team @@
+Bitte geben Sie @@ immer an.
+Ihre Anfrage vom @@ ist eingegangen.
+Die Liste @@ zieht um nach @@.
+"""
+# Lines that talk about fields, the field written as @@.
+TALK = """
+My mail merge still prints @@ literally, how do I fill it?
+In the template I wrote @@ but the program expects another syntax.
+Why is @@ not replaced in my letters?
+The form letter shows @@ instead of the name.
+Mon publipostage affiche @@ tel quel, comment le remplir ?
+Dans le modèle j'ai écrit @@ mais le programme attend une autre syntaxe.
+Mi plantilla muestra @@ tal cual, ¿cómo se rellena?
+En la plantilla escribí @@ pero el programa espera otra sintaxis.
+Mein Serienbrief zeigt @@ unverändert an, wie fülle ich das?
+In der Vorlage steht @@ aber das Programm erwartet eine andere Syntax.
+The variable @@ is set in the script
+"""
+# Opening and closing delimiters of fields, and names for the model.
+DELIMITERS = [
+    ("{{ ", " }}"), ("{{", "}}"), ("{", "}"), ("{$", "}"), ("{!", "}"), ("#{", "}"), ("${", "}"), ("%%", "%%"), ("%", "%"), ("%(", ")s"), ("<%= ", " %>"), ("{% block ", " %}"),
+    ("<<", ">>"), ("&lt;", "&gt;"), ("<", ">"), ("[", "]"), ("[[", "]]"), ("@@", "@@"), ("##", "##"), ("$", "$"), ("*|", "|*"), ("~~", "~~"), ("__", "__"), ("XX-", "-XX"), ("«", "»"),
+]
+NAMES = ["first_name", "name", "user.name", "msg_due_date", "RECIPIENT", "LAST_NAME", "Subject", "dueDate", "list name", "À COMPLÉTER", "INSERT NAME HERE"]
+
+_NAME = r"[^\W\d][\w. -]{0,40}"
+#: A whole field: the exact check of what the windows of the field model point to.
+FIELD = re.compile(
+    rf"\{{\{{ ?{_NAME} ?\}}\}}|[#$]?\{{[$!]?{_NAME}\}}|\{{% ?{_NAME} ?%\}}|%%{_NAME}%%|%\({_NAME}\)s|%[^\W\d][\w.]*(?: [\w.]+)?%|<%=? ?{_NAME} ?%>|<<{_NAME}>>|&lt;{_NAME}&gt;"
+    rf"|\[\[{_NAME}\]\]|\[{_NAME}\]|@@{_NAME}@@|##{_NAME}##|\$[^\W\d][\w.]*(?: [\w.]+)?\$|\*\|{_NAME}\|\*|~~{_NAME}~~|__[^\W\d_]\w*?(?:[ .]\w+)?__|\bXX-[\w. -]+-XX\b|<{_NAME}>"
+)
+_EDGE = re.compile(
+    r"^(?:(?:hello|hi|hey|dear|good \w+|bonjour|bonsoir|salut|hola|buen[oa]s|estimad\w+|guten|liebe\w*|hallo|moin|servus)\b[^.!?]{0,40}[,:!]?"
+    r"|(?:cheers|best|kind|regards|many thanks|thanks?|thank you|yours|cordialement|amicalement|merci|bonne|à bientôt|gracias|muchas gracias|un saludo|saludos|hasta pronto|viele|schöne|mit freundlichen|danke|beste)\b[^.!?]{0,40}[,.!]?)$",
+    re.I,
+)
+
+#: Length of the n-grams, buckets of a model, characters of a window.
+N, BUCKETS, WINDOW = 4, 1 << 17, 16
+#: Share of a document's characters that filler and notices must cover.
+COVER = 0.5
+
+
+def _hashes(text: str, n: int = N) -> np.ndarray:
+    """Bucket of the n-gram that ends at each character; blank runs count as one blank, digits as 0."""
+    c = np.frombuffer(text.encode("utf-32-le"), "uint32").astype("uint64")
+    h = np.zeros(len(c), "uint64")
+    for i in range(n):
+        shifted = np.concatenate([np.full(min(i, len(c)), 32, "uint64"), c[: len(c) - i]]) if i else c
+        h = h * np.uint64(1_000_003) + shifted
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(32)) % np.uint64(BUCKETS)).astype("int64")
+
+
+_DIGIT = {ord(c): "0" for c in "123456789"}
+_MASK = {ord(c): "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {ord(c): "a" for c in "abcdefghijklmnopqrstuvwxyz"} | _DIGIT
+
+
+def plain(text: str) -> str:
+    """As the models of wording see a text; the same length."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(x[0] for x in map(str.lower, text))
+    return low.translate(_DIGIT)
+
+
+def masked(text: str) -> str:
+    """As the model of fields sees a text: letters and digits by class."""
+    return text.translate(_MASK)
+
+
+def counts(texts, view) -> np.ndarray:
+    out = np.zeros(BUCKETS)
+    for t in texts:
+        if t:
+            np.add.at(out, _hashes(view("\n" + t + "\n")), 1)
+    return out
+
+
+@lru_cache(1)
+def seeds() -> dict:
+    """Counts of the classes."""
+    lines = lambda s: [x for x in s.strip().split("\n") if x]
+    fields = [a + n + b for a, b in DELIMITERS for n in NAMES]
+    rest = lambda s: [x.replace("@@", "") for x in lines(s)]
+    return {"filler": counts(lines(FILLER), plain), "notice": counts(lines(NOTICES) + [f"{a} {b}" for subjects, says in PAGES for a in subjects for b in says], plain), "field": counts([f" {f} " for f in fields], masked), "letter": counts(rest(LETTERS), plain), "talk": counts(rest(TALK), plain)}
+
+
+def log_ratio(a: np.ndarray, b: np.ndarray, weight: float = 0.5) -> np.ndarray:
+    """Log likelihood ratio of each bucket, smoothed, and kept within 4 so that no single n-gram decides."""
+    p = (a + weight / BUCKETS) / (a.sum() + weight)
+    q = (b + weight * 2 / BUCKETS) / (b.sum() + weight * 2)
+    return np.clip(np.log(p / q), -4, 4).astype("float32")
+
+
+def corpus_counts(documents: DataFrame) -> dict:
+    """Counts of natural prose over all documents, by wording and by mask: two vectors of fixed size from each task."""
+
+    def tally(batches):
+        by = {"plain": np.zeros(BUCKETS), "masked": np.zeros(BUCKETS)}
+        for df in batches:
+            text = "\n".join(t for t in df["text"] if t)
+            if text:
+                by["plain"] += np.bincount(_hashes(plain(text)), minlength=BUCKETS)
+                by["masked"] += np.bincount(_hashes(masked(text)), minlength=BUCKETS)
+        for k, v in by.items():
+            at = np.flatnonzero(v)
+            yield pd.DataFrame({"model": k, "bucket": at.astype("int32"), "n": v[at]})
+
+    rows = documents.select(F.col("text").cast("string")).where("text is not null").mapInPandas(tally, "model STRING, bucket INT, n DOUBLE")
+    total = rows.groupBy("model", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = {}
+    for k in ("plain", "masked"):
+        out[k] = np.zeros(BUCKETS)
+        part = total[total["model"] == k]
+        out[k][part["bucket"]] = part["n"]
+    return out
+
+
+def models(prose: dict) -> dict:
+    """Log ratios of the classes against prose, and of letters against talk."""
+    s = seeds()
+    out = {k: log_ratio(s[k], prose["plain"], 2.0) for k in ("filler", "notice")}
+    figures = _hashes("0" * 9)[N:]
+    for k in out:
+        out[k][figures] = -1.0  # long figures say nothing
+    return out | {"field": log_ratio(s["field"], prose["masked"], 2.0), "letter": log_ratio(s["letter"], s["talk"])}
+
+
+def _covered(ratio: np.ndarray, text_hash: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which characters lie in a window whose mean ratio is above 0."""
+    v = ratio[text_hash]
+    n, w = len(v), min(window, len(v))
+    sums = np.concatenate([[0.0], np.cumsum(v, dtype="float64")])
+    hit = (sums[w:] - sums[:-w]) / w > 0
+    marks = np.zeros(n + 1, "int32")
+    at = np.flatnonzero(hit)
+    np.add.at(marks, at, 1)
+    np.add.at(marks, at + w, -1)
+    return np.cumsum(marks[:-1]) > 0
+
+
+#: What stands between quotation marks is shown, not said.
+_QUOTED = re.compile(r"https?://\S+|«[^«»]*»|„[^“”„]*[“”]|“[^“”]*”|\"[^\"]*\"")
+_MARKUP = re.compile(r"</?[a-zA-Z]\w*>|(?<!\S)\*+|\*+(?!\S)")
+_BLANKS = re.compile(r"[^\S\n]+")
+
+
+def residue(text: str | None, model: dict) -> tuple[float, float, int]:
+    """Share of the content covered by filler and by notices, and the number of unfilled fields."""
+    if not text or not text.strip():
+        return 0.0, 0.0, 0
+    content, cover = 0, {"filler": 0, "notice": 0}
+    for line in text.split("\n"):
+        s = _BLANKS.sub(" ", _MARKUP.sub(" ", line)).strip()
+        if not s:
+            continue
+        h = _hashes(plain("\n" + s + "\n"))[1:]
+        solid = np.array([not x.isspace() for x in s + "\n"])
+        shown = solid.copy()
+        for m in _QUOTED.finditer(s):
+            if m.end() - m.start() < len(s) - 2 or m[0].startswith("http"):
+                shown[m.start() : m.end()] = False
+        hit = {k: _covered(model[k], h) & shown for k in cover}
+        size = int(solid.sum())
+        either, f = int((hit["filler"] | hit["notice"]).sum()), int(hit["filler"].sum())
+        if either < 0.6 * size and _EDGE.match(s):
+            continue
+        content += size
+        cover["filler"] += f
+        cover["notice"] += either - f
+    n = 0
+    if FIELD.search(text):
+        for line in text.split("\n"):
+            spans = [m.span() for m in FIELD.finditer(line)]
+            if spans:
+                hit = _covered(model["field"], _hashes(masked("\n" + line + "\n"))[1:-1], 6)
+                spans = [x for x in spans if hit[slice(*x)].any()]
+            if spans:
+                rest = FIELD.sub("", line)
+                if float(model["letter"][_hashes(plain("\n" + rest + "\n"))].sum()) > 0 or not rest.strip():
+                    n += len(spans)
+    if not content:
+        return 0.0, 0.0, n
+    return cover["filler"] / content, cover["notice"] / content, n
+
+
+def suspects(texts: list[str], model: dict, least: float = 0.1) -> np.ndarray:
+    """Which texts have at least the share ``least`` of their characters in windows of filler or notices, at one pass over all."""
+    texts = [_BLANKS.sub(" ", t) for t in texts]
+    h = _hashes(plain("\n".join(texts) + "\n"))
+    hit = _covered(model["filler"], h) | _covered(model["notice"], h)
+    size = np.array([len(t) + 1 for t in texts])
+    return np.add.reduceat(hit, np.cumsum(size) - size, dtype="int64") >= least * size
+
+
+def residues(texts: list, model: dict) -> list[tuple[float, float, int]]:
+    """:func:`residue` of each text, computed only where it may be other than small."""
+    texts = [t or "" for t in texts]
+    look = suspects(texts, model) if texts else []
+    return [residue(t, model) if x or FIELD.search(t) else (0.0, 0.0, 0) for t, x in zip(texts, look)]
+
+
+def score(documents: DataFrame) -> DataFrame:
+    """``doc_id``, ``filler``, ``notice`` (shares of the content), ``fields`` (unfilled ones) of every document.
+
+    A share is given as 0 where less than a tenth of the whole text is residue. Greetings and closing phrases count as no content. Null, empty and blank texts have none of it.
+    """
+    model = models(corpus_counts(documents))
+
+    def run(batches):
+        for df in batches:
+            r = residues(df["text"].tolist(), model)
+            yield pd.DataFrame({"doc_id": df["doc_id"], "filler": [x[0] for x in r], "notice": [x[1] for x in r], "fields": [x[2] for x in r]}).astype({"filler": "float64", "notice": "float64", "fields": "int32"})
+
+    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInPandas(run, "doc_id BIGINT, filler DOUBLE, notice DOUBLE, fields INT")
+
+
+def is_residue():
+    return (F.col("filler") + F.col("notice") >= COVER) | (F.col("fields") > 0)
+
+
+def clean_documents(documents: DataFrame) -> DataFrame:
+    """The documents without those that :func:`score` finds."""
+    found = score(documents).where(is_residue()).select("doc_id")
+    return documents.join(found, "doc_id", "left_anti")
