@@ -2,12 +2,21 @@
 
 from threadloom.llm.consensus import consensus
 from threadloom.llm.conversations import conversations
+from threadloom.llm.encoding import examine
 from threadloom.llm.packing import fill, pack
 from threadloom.llm.residue import clean_documents, is_residue, score
 from threadloom.llm.tokens import token_ids
 from threadloom.sources.tables import table
 
 
+def p2_found(spark, d):
+    return examine(table(spark, d, "messages")).select("seq", "field_name")
+
+
+def p2_restored(spark, d):
+    return examine(table(spark, d, "messages"))
+
+
 def p3_found(spark, d):
     return conversations(table(spark, d, "messages"), table(spark, d, "mailboxes")).drop("role")
 
@@ -44,5 +53,5 @@ def p10_clean(spark, d):
     return clean_documents(table(spark, d, "documents")).select("doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_agreement": p5_agreement, "p5_reliability": p5_reliability, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_clean": p10_clean}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p5_found": p5_found, "p5_agreement": p5_agreement, "p5_reliability": p5_reliability, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_clean": p10_clean}
 SQL = {}
