@@ -4,6 +4,8 @@ from threadloom.llm.consensus import consensus
 from threadloom.llm.conversations import conversations
 from threadloom.llm.encoding import examine
 from threadloom.llm.packing import fill, pack
+from threadloom.llm.privacy import find as find_items
+from threadloom.llm.privacy import replace as replace_items
 from threadloom.llm.residue import clean_documents, is_residue, score
 from threadloom.llm.tokens import token_ids
 from threadloom.sources.tables import table
@@ -21,6 +23,18 @@ def p3_found(spark, d):
     return conversations(table(spark, d, "messages"), table(spark, d, "mailboxes")).drop("role")
 
 
+def p4_found(spark, d):
+    return find_items(table(spark, d, "messages"))
+
+
+def p4_placeholders(spark, d):
+    return replace_items(table(spark, d, "messages"))
+
+
+def p4_surrogates(spark, d):
+    return replace_items(table(spark, d, "messages"), style="surrogate")
+
+
 def p5_found(spark, d):
     return consensus(table(spark, d, "bc3_labelled"))[0].select("thread", "sid", "tag")
 
@@ -53,5 +67,5 @@ def p10_clean(spark, d):
     return clean_documents(table(spark, d, "documents")).select("doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p5_found": p5_found, "p5_agreement": p5_agreement, "p5_reliability": p5_reliability, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_clean": p10_clean}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p4_found": p4_found, "p4_placeholders": p4_placeholders, "p4_surrogates": p4_surrogates, "p5_found": p5_found, "p5_agreement": p5_agreement, "p5_reliability": p5_reliability, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_clean": p10_clean}
 SQL = {}
