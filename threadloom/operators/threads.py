@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.functions.ids import clean_id, subject_digest
+from threadloom.operators.dedup import first_of_each
 from threadloom.sources.scratch import discard, save
 
 #: Rows of one block of the running number; a block is the most that one window group holds.
@@ -55,28 +57,43 @@ def reply_links(rows: DataFrame, depth: int = 10) -> DataFrame:
 
 
 def roots(links: DataFrame, starts: DataFrame) -> DataFrame:
-    """``seq``, ``root`` of every start and all its descendants, by pointer doubling.
+    """``seq``, ``root``, ``depth`` of every start (depth 0) and all its descendants, by pointer doubling.
 
     ``links``: ``seq``, ``parent``, one row per child; ``starts``: ``seq`` of the rows that are roots. Each round
     halves the open distance, so a chain of n links takes log2(n) rounds; rows whose way ends elsewhere drop out, and
-    the rounds end when none is resolved, which leaves those that lead into a circle. The tables hold two numbers a
-    row; a root that many rows point to is a skewed key, which adaptive execution splits.
+    the rounds end when none is resolved, which leaves those that lead into a circle. The tables hold four short
+    columns; a root that many rows point to is a skewed key, which adaptive execution splits.
     """
     spark = links.sparkSession
-    start = starts.select("seq", F.col("seq").alias("ptr"), F.lit(True).alias("done"))
-    state = save(links.join(starts, "seq", "left_anti").select("seq", F.col("parent").alias("ptr"), F.lit(False).alias("done")).unionByName(start), "links")
+    start = starts.select("seq", F.col("seq").alias("ptr"), F.lit(0).alias("depth"), F.lit(True).alias("done"))
+    state = save(links.join(starts, "seq", "left_anti").select("seq", F.col("parent").alias("ptr"), F.lit(1).alias("depth"), F.lit(False).alias("done")).unionByName(start), "links")
     open_before = None
     while True:
         left = state.where(~F.col("done")).count()
         if left in (0, open_before):
             break
         open_before = left
-        to = state.select(F.col("seq").alias("ptr"), F.col("ptr").alias("next"), F.col("done").alias("end"))
-        moved = state.where(~F.col("done")).join(to, "ptr").select("seq", F.col("next").alias("ptr"), F.col("end").alias("done"))
+        to = state.select(F.col("seq").alias("ptr"), F.col("ptr").alias("next"), F.col("depth").alias("further"), F.col("done").alias("end"))
+        moved = state.where(~F.col("done")).join(to, "ptr").select("seq", F.col("next").alias("ptr"), (F.col("depth") + F.col("further")).alias("depth"), F.col("end").alias("done"))
         after = save(state.where("done").unionByName(moved), "links")
         discard(spark, state)
         state = after
-    return state.where("done").select("seq", F.col("ptr").alias("root"))
+    return state.where("done").select("seq", F.col("ptr").alias("root"), "depth")
+
+
+def link_rows(messages: DataFrame, *more: str) -> DataFrame:
+    """The kept rows as :func:`reply_links` needs them, and the columns ``more``."""
+    ref = F.when(F.col("in_reply_to") != "", clean_id(F.col("in_reply_to")))
+    ident = clean_id(F.col("message_id"))
+    rows = messages.where(F.col("message_id").isNotNull()).select(
+        "seq", ident.alias("cid"), ref.alias("ref"), "mailbox", subject_digest(F.col("subject")).alias("digest"), starts_reply(F.col("subject")).alias("re"), *more
+    )
+    return rows.join(first_of_each(messages, ident), "seq", "left_semi")
+
+
+def is_start():
+    """A root: no reply link, and a subject that is null or doesn't start with ``Re:``."""
+    return F.col("ref").isNull() & ~F.col("re")
 
 
 def starts_reply(subject: Column) -> Column:
