@@ -31,8 +31,8 @@ def _dp(a: list[str], b: list[str], penalties) -> list[tuple[int | None, int | N
     """Pairs of indices of the best alignment of ``a`` (source) and ``b`` (reply); ties prefer a match, then leaving out a source token."""
     sub, ins, dele = penalties
     n, m = len(a), len(b)
-    x = np.array([hash(t) for t in a], dtype="int64")
-    y = np.array([hash(t) for t in b], dtype="int64")
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(t, len(number)) for t in w], dtype="int64") for w in (a, b))
     cost = np.zeros((n + 1, m + 1), "int32")
     cost[0] = np.arange(m + 1) * ins
     steps = np.arange(m + 1, dtype="int64") * ins
