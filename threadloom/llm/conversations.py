@@ -18,6 +18,7 @@ from threadloom.operators.threads import reply_links, roots, starts_reply
 from threadloom.operators.timestamps import epoch_seconds
 from threadloom.sources.scratch import discard, new_path, save
 from threadloom.sources.tables import small
+from threadloom.streaming.sessions import closed_sessions
 
 #: Silence after which a session is emitted, and how late a message may come before its session is closed.
 TIMEOUT, LATE = "60 days", "30 days"
@@ -48,22 +49,25 @@ def _rows(messages: DataFrame, mailboxes: DataFrame) -> DataFrame:
 
 def _validated(members_path: str, spark) -> DataFrame:
     """``root`` and its sender, of the conversations that stay: keyed streaming state, emitted on closure or timeout."""
-    out, mark = new_path(spark, "sessions"), new_path(spark, "stream")
-    stream = spark.readStream.schema(_MEMBER).parquet(members_path).withWatermark("received_at", LATE)
     first = F.col("seq") == F.col("root")
-    sessions = stream.groupBy(F.session_window("received_at", TIMEOUT), "root").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("email").alias("e_min"),
-        F.max("email").alias("e_max"),
-        F.max(F.when(first, F.col("email"))).alias("e_root"),
-        F.min("filled").alias("filled"),
-        F.min(F.col("epoch_s").isNotNull()).alias("dated"),
+    sessions = closed_sessions(
+        spark,
+        members_path,
+        _MEMBER,
+        "received_at",
+        "root",
+        TIMEOUT,
+        LATE,
+        [
+            F.count(F.lit(1)).alias("n"),
+            F.min("email").alias("e_min"),
+            F.max("email").alias("e_max"),
+            F.max(F.when(first, F.col("email"))).alias("e_root"),
+            F.min("filled").alias("filled"),
+            F.min(F.col("epoch_s").isNotNull()).alias("dated"),
+        ],
     )
-    query = sessions.drop("session_window").writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    discard(spark, mark)
-    schema = "root BIGINT, n BIGINT, e_min STRING, e_max STRING, e_root STRING, filled BOOLEAN, dated BOOLEAN"
-    whole = spark.read.schema(schema).parquet(out).groupBy("root").agg(
+    whole = sessions.groupBy("root").agg(
         F.sum("n").alias("n"), F.min("e_min").alias("e_min"), F.max("e_max").alias("e_max"), F.max("e_root").alias("e_root"), F.min("filled").alias("filled"), F.min("dated").alias("dated")
     )
     other = (F.col("e_min") != F.col("e_root")) | (F.col("e_max") != F.col("e_root"))
