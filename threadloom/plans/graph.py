@@ -48,13 +48,13 @@ QUERIES = {
     "later_replies": lambda s, d: _g(s, d).later_replies(),
     "graph_statistics": lambda s, d: _g(s, d).statistics(),
     "thread_tree": lambda s, d: _g(s, d).tree(),
-    "quote_blocks": lambda s, d: _m(s, d).select("seq", G.quote_blocks(F.col("text")).alias("blocks"), G.inline_reply(F.col("text")).alias("inline")),
+    "quote_blocks": lambda s, d: _m(s, d).select("seq", F.coalesce(G.quote_blocks(F.col("text")), F.lit(0)).alias("blocks"), G.inline_reply(F.col("text")).alias("inline")),
     "reply_couples": lambda s, d: _g(s, d).couples(),
     "couple_failures": lambda s, d: _g(s, d).failures(),
     "unquoted_lines": lambda s, d: _lines(s, d).where(F.col("line").startswith(">")).select("seq", "i", X.unquoted(F.col("line")).alias("line")),
     "reply_only_alignment": lambda s, d: _lines(s, d).select("seq", "i", F.when(F.col("line").startswith(">"), X.unquoted(F.col("line"))).alias("source_line"), F.col("line").alias("reply_line")),
     "normalised_texts": lambda s, d: _m(s, d).select("seq", X.single_breaks(X.cut_at_nul(F.col("text"))).alias("single_breaks"), X.single_blanks(F.col("text")).alias("single_blanks"), X.masked_numbers(F.col("subject")).alias("masked_subject")),
-    "word_counts": lambda s, d: _m(s, d).select("seq", F.size(X.words(F.col("text"))).alias("words"), X.escaped(F.col("subject")).alias("subject")),
+    "word_counts": lambda s, d: _m(s, d).select("seq", F.coalesce(F.size(X.words(F.col("text"))), F.lit(0)).alias("words"), X.escaped(F.col("subject")).alias("subject")),
 }
 SQL = {
     "message_ids": f"SELECT seq, {_ID} AS id, {_REF} AS reply_to FROM messages",
@@ -74,7 +74,7 @@ round(((SELECT count(*) FROM st) + (SELECT count(*) FROM e))::DOUBLE / (SELECT c
 round((SELECT count(*)::DOUBLE / count(DISTINCT parent) FROM e), 6) AS node_degree, (SELECT round(avg(height), 6) FROM h) AS average_height,
 (SELECT round(avg(height), 6) FROM h WHERE root IN (SELECT parent FROM e)) AS average_height_of_answered, (SELECT count(*) FROM messages WHERE message_id IS NULL) AS null_ids""",
     "thread_tree": f"WITH {_T} SELECT t.seq, path, repeat('  ', depth) || cid AS entry FROM t JOIN x USING (seq)",
-    "quote_blocks": f"SELECT seq, n::INT AS blocks, coalesce(n >= 2, false) AS inline FROM (SELECT seq, CASE WHEN text IS NOT NULL THEN {_BLOCKS} END AS n FROM messages)",
+    "quote_blocks": f"SELECT seq, coalesce(n, 0)::INT AS blocks, coalesce(n >= 2, false) AS inline FROM (SELECT seq, CASE WHEN text IS NOT NULL THEN {_BLOCKS} END AS n FROM messages)",
     "reply_couples": f"""WITH {_K}, q AS (SELECT seq, filename AS reply_file FROM x WHERE filename IS NOT NULL AND {_BLOCKS} >= 2)
 SELECT parent AS source_seq, q.seq AS reply_seq, p.filename AS source_file, reply_file FROM q JOIN e ON e.seq = q.seq JOIN x p ON p.seq = e.parent WHERE p.filename IS NOT NULL QUALIFY row_number() OVER (PARTITION BY parent ORDER BY q.seq DESC) = 1""",
     "couple_failures": f"""WITH {_K}, q AS (SELECT seq, filename FROM x WHERE {_BLOCKS} >= 2)
@@ -82,5 +82,5 @@ SELECT seq FROM q WHERE seq NOT IN (SELECT q.seq FROM q JOIN e ON e.seq = q.seq
     "unquoted_lines": "SELECT seq, (i - 1)::INT AS i, regexp_replace(line, '^[> ]+', '') AS line FROM (SELECT seq, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM messages) WHERE starts_with(line, '>')",
     "reply_only_alignment": "SELECT seq, (i - 1)::INT AS i, CASE WHEN starts_with(line, '>') THEN regexp_replace(line, '^[> ]+', '') END AS source_line, line AS reply_line FROM (SELECT seq, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM messages)",
     "normalised_texts": r"SELECT seq, regexp_replace(text, '\n\n+', chr(10), 'g') AS single_breaks, regexp_replace(text, '[ \t\n]+', ' ', 'g') AS single_blanks, regexp_replace(subject, '[0-9]', '#', 'g') AS masked_subject FROM messages",
-    "word_counts": r"SELECT seq, len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> ''))::INT AS words, replace(subject, '#', '\#') AS subject FROM messages",
+    "word_counts": r"SELECT seq, coalesce(len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')), 0)::INT AS words, replace(subject, '#', '\#') AS subject FROM messages",
 }
