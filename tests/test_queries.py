@@ -30,7 +30,7 @@ def rows(df):
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(k for k in SQL if not k.startswith("p")))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, duck, name):
     assert rows(entry.queries()[name](spark, str(DATA)).toPandas()) == rows(duck.sql(SQL[name]).df())
 

@@ -138,7 +138,9 @@ def couple_lines(couples: DataFrame) -> DataFrame:
             rows = [(k, i, s, r, t) for k, a, b in zip(df["source_seq"], df["source_text"], df["reply_text"]) for i, (s, r, t) in enumerate(aligned_lines(a, b))]
             yield pd.DataFrame(rows, columns=["source_seq", "pos", "source_line", "reply_line", "tag"])
 
-    return couples.select("source_seq", "source_text", "reply_text").mapInPandas(run, "source_seq BIGINT, pos INT, source_line STRING, reply_line STRING, tag STRING")
+    spark = couples.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # few rows, much work: not to be coalesced by size
+    return couples.select("source_seq", "source_text", "reply_text").repartition(parts).mapInPandas(run, "source_seq BIGINT, pos INT, source_line STRING, reply_line STRING, tag STRING")
 
 
 def couple_documents(couples: DataFrame) -> DataFrame:

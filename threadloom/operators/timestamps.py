@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.sources.tables import small
+from threadloom.sources.tables import small, spread
 
 # Month names and their abbreviations in the languages of the lists, lower case, without dots.
 MONTHS = {
@@ -277,6 +277,6 @@ def sending_times(messages: DataFrame, mailboxes: DataFrame) -> DataFrame:
     day before month. The 23 mailboxes are broadcast only after their number has been checked.
     """
     box = small(mailboxes.select(F.col("mailbox").alias("_box"), F.col("tz_name").alias("_tz"), F.col("date_order").alias("_order")).dropDuplicates(["_box"]))
-    rows = messages.where(F.col("msg_date").isNotNull()).select("seq", "msg_date", "mailbox")
+    rows = spread(messages.where(F.col("msg_date").isNotNull()).select("seq", "msg_date", "mailbox"))
     rows = rows.join(box, rows["mailbox"] == box["_box"], "left")
     return rows.select("seq", epoch_seconds(F.col("msg_date"), F.col("_tz"), F.col("_order")).alias("epoch_s")).where(F.col("epoch_s").isNotNull())

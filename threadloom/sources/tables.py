@@ -17,3 +17,13 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     The check reads ``most`` + 1 rows at the most; a larger table is joined by shuffling.
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores, dealt out over them before costly Python work.
+
+    Larger inputs have more partitions than that and stay as they are, so nothing is shuffled at scale. Only for plans
+    without a shuffle, whose number of partitions is known before they run.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
