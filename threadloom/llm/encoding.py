@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.sources.scratch import discard, save
+from threadloom.sources.tables import spread
 
 # Charsets that text may have been written in or read in.
 CHARSETS = ["utf-8", "cp1252", "latin-1", "cp1251", "cp850", "cp437", "mac_roman", "koi8_r", "iso8859_2", "iso8859_5"]
@@ -335,4 +336,4 @@ def examine(messages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["seq", "field_name", "restored"])
 
     fields = messages.select("seq", F.explode(F.map_from_arrays(F.array(F.lit("text"), F.lit("subject")), F.array("text", "subject"))).alias("field_name", "t")).where(F.col("t").rlike(r"[^\x00-\x7F]"))
-    return fields.mapInPandas(run, "seq BIGINT, field_name STRING, restored STRING")
+    return spread(fields).mapInPandas(run, "seq BIGINT, field_name STRING, restored STRING")

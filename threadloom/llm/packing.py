@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.tokens import TOKENIZERS
 from threadloom.sources.scratch import save
+from threadloom.sources.tables import spread
 
 #: Open windows a partition and capacity keeps, and partitions whose last windows are merged together.
 WINDOWS, GROUP = 64, 64
@@ -41,7 +42,7 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS, name: str = "by
             n = [len(e.ids) for e in t.encode_batch_fast(df["text"].fillna("").tolist(), add_special_tokens=False)]
             yield pd.DataFrame({"doc_id": df["doc_id"], "n_tokens": pd.Series(n, dtype="int32")})
 
-    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInPandas(run, "doc_id BIGINT, n_tokens INT")
+    return spread(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInPandas(run, "doc_id BIGINT, n_tokens INT")
 
 
 class Open:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.sources.tables import spread
+
 # Filler.
 FILLER = """
 Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
@@ -344,7 +346,7 @@ def corpus_counts(documents: DataFrame) -> dict:
             at = np.flatnonzero(v)
             yield pd.DataFrame({"model": k, "bucket": at.astype("int32"), "n": v[at]})
 
-    rows = documents.select(F.col("text").cast("string")).where("text is not null").mapInPandas(tally, "model STRING, bucket INT, n DOUBLE")
+    rows = spread(documents.select(F.col("text").cast("string")).where("text is not null")).mapInPandas(tally, "model STRING, bucket INT, n DOUBLE")
     total = rows.groupBy("model", "bucket").agg(F.sum("n").alias("n")).toPandas()
     out = {}
     for k in ("plain", "masked"):
@@ -450,7 +452,7 @@ def score(documents: DataFrame) -> DataFrame:
             r = residues(df["text"].tolist(), model)
             yield pd.DataFrame({"doc_id": df["doc_id"], "filler": [x[0] for x in r], "notice": [x[1] for x in r], "fields": [x[2] for x in r]}).astype({"filler": "float64", "notice": "float64", "fields": "int32"})
 
-    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInPandas(run, "doc_id BIGINT, filler DOUBLE, notice DOUBLE, fields INT")
+    return spread(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInPandas(run, "doc_id BIGINT, filler DOUBLE, notice DOUBLE, fields INT")
 
 
 def is_residue():

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.sources.tables import spread
+
 #: Folder of the public tokenizers.
 TOKENIZERS = "/opt/tokenizers"
 #: Most distinct words whose ids a worker keeps, and most bytes of words in one recursive query.
@@ -138,4 +140,4 @@ def token_ids(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_
         for df in batches:
             yield pd.DataFrame({"doc_id": df["doc_id"], "ids": e.encode(df["text"])})
 
-    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInPandas(run, "doc_id BIGINT, ids ARRAY<INT>")
+    return spread(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInPandas(run, "doc_id BIGINT, ids ARRAY<INT>")
