@@ -26,8 +26,8 @@ def k_folds(df: DataFrame, key: str, k: int = 10) -> DataFrame:
 def holdout(df: DataFrame, key: str, share: float = 0.9) -> DataFrame:
     """SMP2, SMP4: the first ``floor(share * n)`` rows by ``key`` train, the rest test."""
     rows = ranked(df, key)
-    n = rows.agg(F.floor(F.count(F.lit(1)) * share).alias("n"))
-    return rows.crossJoin(F.broadcast(n)).select(key, F.when(F.col("i") < F.col("n"), "train").otherwise("test").alias("part"))
+    most = f"(SELECT floor(count(*) * CAST({share} AS DOUBLE)) FROM {{r}})"
+    return rows.sparkSession.sql(f"SELECT {key}, CASE WHEN i < {most} THEN 'train' ELSE 'test' END AS part FROM {{r}}", r=rows)
 
 
 def line_folds(lines: DataFrame, k: int = 10) -> DataFrame:

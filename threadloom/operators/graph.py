@@ -4,12 +4,11 @@ All works on the kept rows (one per clean id); ``edges`` are ``seq``, ``parent``
 """
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.ids import clean_id
 from threadloom.operators.dedup import kept_rows
-from threadloom.operators.threads import is_start, link_rows, reply_links, roots
+from threadloom.operators.threads import is_start, link_rows, reply_links, roots, running_number
 from threadloom.sources.scratch import save
 
 
@@ -34,11 +33,11 @@ class Graph:
         return self.threads().groupBy("root").agg((F.max("depth") + 1).alias("height"), F.count(F.lit(1)).alias("messages"))
 
     def children(self) -> DataFrame:
-        """AGG5, JOIN6: the distinct replies of each parent in order of arrival, as one text.
+        """AGG5, JOIN6: the distinct replies of each parent with their number in order of arrival.
 
-        One row a parent; the list is bounded by the replies to one message.
+        One row a reply and no list, so that a message with very many replies is no large row.
         """
-        return self.edges.groupBy("parent").agg(F.count(F.lit(1)).alias("replies"), F.array_join(F.array_sort(F.collect_list("seq")), ",").alias("children"))
+        return running_number(self.edges, "parent").select("parent", F.col("seq").alias("child"), F.col("rn").alias("n"))
 
     def started(self) -> DataFrame:
         """JOIN7: roots, and whether they have a reply."""
@@ -47,28 +46,25 @@ class Graph:
 
     def later_replies(self) -> DataFrame:
         """JOIN8, WIN9: couples without the first reply to a root."""
-        rank = F.row_number().over(W.partitionBy("parent").orderBy("seq"))
         root = self.starts.select(F.col("seq").alias("parent"), F.lit(True).alias("is_root"))
-        return self.edges.withColumn("n", rank).join(root, "parent", "left").where("is_root IS NULL OR n > 1").select("parent", "seq")
+        return running_number(self.edges, "parent").join(root, "parent", "left").where("is_root IS NULL OR rn > 1").select("parent", "seq")
 
     def statistics(self) -> DataFrame:
         """AGG6: one row; messages are those in threads and replies without, orphans excluded. Without roots the ratios are null."""
-        h = self.heights()
-        answered = self.edges.select(F.col("parent").alias("root")).distinct().withColumn("answered", F.lit(True))
-        per_thread = h.join(answered, "root", "left").agg(F.round(F.avg("height"), 6).alias("average_height"), F.round(F.avg(F.when(F.col("answered"), F.col("height"))), 6).alias("average_height_of_answered"))
-        e = self.edges.agg(F.count(F.lit(1)).alias("replies"), F.count_distinct("parent").alias("parents"))
-        n = self.starts.agg(F.count(F.lit(1)).alias("threads"))
-        nulls = self.messages.agg(F.count_if(F.col("message_id").isNull()).alias("null_ids"))
-        one = n.crossJoin(e).crossJoin(per_thread).crossJoin(nulls)
-        return one.select(
-            "threads",
-            (F.col("replies") + F.col("threads")).alias("messages"),
-            F.round(F.expr("try_divide(CAST(replies + threads AS DOUBLE), threads)"), 6).alias("messages_per_thread"),
-            "replies",
-            F.round(F.expr("try_divide(CAST(replies AS DOUBLE), parents)"), 6).alias("node_degree"),
-            "average_height",
-            "average_height_of_answered",
-            "null_ids",
+        return self.messages.sparkSession.sql(
+            """
+            WITH t AS (SELECT count(*) AS n FROM {s}), e AS (SELECT struct(count(*) AS replies, count(DISTINCT parent) AS parents) AS v FROM {e}),
+                 h AS (SELECT struct(avg(height) AS every, avg(CASE WHEN a.root IS NOT NULL THEN height END) AS answered) AS v
+                       FROM {h} h LEFT JOIN (SELECT DISTINCT parent AS root FROM {e}) a ON h.root = a.root),
+                 x AS (SELECT (SELECT n FROM t) AS threads, (SELECT v FROM e) AS e, (SELECT v FROM h) AS h, count_if(message_id IS NULL) AS null_ids FROM {m})
+            SELECT threads, e.replies + threads AS messages, round(try_divide(CAST(e.replies + threads AS DOUBLE), threads), 6) AS messages_per_thread, e.replies AS replies,
+                   round(try_divide(CAST(e.replies AS DOUBLE), e.parents), 6) AS node_degree, round(h.every, 6) AS average_height, round(h.answered, 6) AS average_height_of_answered, null_ids
+            FROM x
+            """,
+            s=self.starts,
+            e=self.edges,
+            h=self.heights(),
+            m=self.messages,
         )
 
     def tree(self) -> DataFrame:
@@ -134,10 +130,12 @@ def message_keys(messages: DataFrame) -> DataFrame:
 
 def run_statistics(messages: DataFrame) -> DataFrame:
     """FLT9, AGG13: messages processed, with and without id, with a reply link, replies by subject alone."""
-    m = messages.agg(
-        F.count(F.lit(1)).alias("messages"),
-        F.count_if(F.col("message_id").isNull()).alias("null_ids"),
-        F.count_if(F.coalesce(F.col("in_reply_to") != "", F.lit(False))).alias("linked"),
-        F.count_if(~F.coalesce(F.col("in_reply_to") != "", F.lit(False)) & F.coalesce(F.col("subject").startswith("Re:"), F.lit(False))).alias("replies_by_subject"),
+    return messages.sparkSession.sql(
+        """
+        SELECT count(*) AS messages, count_if(message_id IS NULL) AS null_ids, count_if(coalesce(in_reply_to <> '', false)) AS linked,
+               count_if(coalesce(in_reply_to, '') = '' AND coalesce(startswith(subject, 'Re:'), false)) AS replies_by_subject, (SELECT count(*) FROM {k}) AS distinct_ids
+        FROM {m}
+        """,
+        m=messages,
+        k=kept_rows(messages.select("seq", "message_id")),
     )
-    return m.crossJoin(kept_rows(messages).agg(F.count(F.lit(1)).alias("distinct_ids")))

@@ -69,8 +69,8 @@ def length_outliers(lines: DataFrame) -> DataFrame:
     return lines.sparkSession.sql(
         """
         WITH c AS (SELECT filename, count(*) AS physical, count_if(NOT startswith(raw, '#')) AS plain FROM {l} GROUP BY filename),
-             s AS (SELECT ceil(avg(plain) + stddev_pop(plain)) AS most_new, avg(physical) + stddev_pop(physical) AS most_old FROM c)
-        SELECT filename, physical, physical <= most_new AS kept_new, physical <= most_old AS kept_old FROM c CROSS JOIN s
+             s AS (SELECT struct(ceil(avg(plain) + stddev_pop(plain)) AS most_new, avg(physical) + stddev_pop(physical) AS most_old) AS most FROM c)
+        SELECT filename, physical, physical <= (SELECT most FROM s).most_new AS kept_new, physical <= (SELECT most FROM s).most_old AS kept_old FROM c
         """,
         l=distinct_lines(lines),
     )
@@ -112,7 +112,7 @@ def frequent_tokens(lines: DataFrame, quotient: float = 0.075 / 150) -> DataFram
     """
     return lines.sparkSession.sql(
         """
-        WITH total AS (SELECT sum(n) AS n FROM {c}), often AS (SELECT token FROM {c} CROSS JOIN total WHERE {c}.n > total.n * CAST({q} AS DOUBLE)),
+        WITH often AS (SELECT token FROM {c} WHERE n > (SELECT sum(n) FROM {c}) * CAST({q} AS DOUBLE)),
              e AS (SELECT filename, line_number, pos, t FROM {r} LATERAL VIEW posexplode(tokens) x AS pos, t),
              k AS (SELECT filename, line_number, array_sort(collect_list(struct(pos, t))) AS l FROM e JOIN often ON lower(e.t) = often.token GROUP BY filename, line_number)
         SELECT r.filename, r.line_number, coalesce(array_join(l.t, ' '), '@NULL') AS kept FROM {r} r LEFT JOIN k USING (filename, line_number)
@@ -181,10 +181,10 @@ def tier(value, average, fix_tiers: bool = False):
 
 
 def discretised(features: DataFrame, fix_tiers: bool = False) -> DataFrame:
-    """FT28, JOIN11: the numeric features as tiers of the corpus average, which is one broadcast row."""
-    averages = feature_averages(features).select(*[F.col(k).alias(f"_{k}") for k in NUMERIC])
-    rows = features.crossJoin(F.broadcast(averages))
-    return rows.select("filename", "line_number", *[F.when(F.col(k).isNotNull(), F.concat(F.lit(k + "_"), tier(F.col(k), F.col(f"_{k}"), fix_tiers))).alias(k) for k in NUMERIC])
+    """FT28, JOIN11: the numeric features as tiers of the corpus average, a scalar subquery."""
+    averages = feature_averages(features).select(F.struct(*NUMERIC).alias("a"))
+    rows = features.sparkSession.sql("SELECT f.*, (SELECT a FROM {a}) AS _average FROM {f} f", a=averages, f=features)
+    return rows.select("filename", "line_number", *[F.when(F.col(k).isNotNull(), F.concat(F.lit(k + "_"), tier(F.col(k), F.col(f"_average.{k}"), fix_tiers))).alias(k) for k in NUMERIC])
 
 
 def top_ngrams(lines: DataFrame, k: int = 1000) -> DataFrame:

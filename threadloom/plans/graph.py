@@ -66,7 +66,7 @@ SQL = {
     "orphans": f"WITH {_K} SELECT seq FROM x WHERE seq NOT IN (SELECT seq FROM st) AND seq NOT IN (SELECT seq FROM e)",
     "thread_roots": f"WITH {_T} SELECT seq, root, depth FROM t",
     "thread_heights": f"WITH {_H} SELECT * FROM h",
-    "reply_lists": f"WITH {_K} SELECT parent, count(*) AS replies, string_agg(seq::VARCHAR, ',' ORDER BY seq) AS children FROM e GROUP BY parent",
+    "reply_lists": f"WITH {_K} SELECT parent, seq AS child, row_number() OVER (PARTITION BY parent ORDER BY seq) AS n FROM e",
     "answered_roots": f"WITH {_K} SELECT seq, seq IN (SELECT parent FROM e) AS answered FROM st",
     "later_replies": f"WITH {_K} SELECT parent, seq FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY seq) AS n FROM e) WHERE n > 1 OR parent NOT IN (SELECT seq FROM st)",
     "graph_statistics": f"""WITH {_H} SELECT (SELECT count(*) FROM st) AS threads, (SELECT count(*) FROM st) + (SELECT count(*) FROM e) AS messages,

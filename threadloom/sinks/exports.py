@@ -61,7 +61,7 @@ def graph_report(graph) -> DataFrame:
     numbers = stats.select(F.explode(F.array(*[F.concat(F.lit(c + ": "), F.coalesce(F.col(c).cast("string"), F.lit("NaN"))) for c in stats.columns])).alias("line"))
     return (
         part(1, graph.starts, F.col("seq"))
-        .unionByName(part(2, graph.children(), F.concat_ws(" <- ", "parent", "children")))
+        .unionByName(part(2, graph.children(), F.concat_ws(" <- ", "parent", "child")))
         .unionByName(part(3, graph.later_replies(), F.concat_ws(" <- ", "parent", "seq")))
         .unionByName(part(4, graph.tree(), F.concat_ws(" ", "path", "entry")))
         .unionByName(part(5, numbers, F.col("line")))
