@@ -12,13 +12,21 @@ def p1_found(spark, d):
     return repeated_deliveries(table(spark, d, "messages"))
 
 
+def p1_kept(spark, d):
+    """The rows that remain: one per identifier, and all without one."""
+    m = table(spark, d, "messages")
+    return m.select("seq").join(repeated_deliveries(m), "seq", "left_anti")
+
+
 def p6_found(spark, d):
     return sending_times(table(spark, d, "messages"), table(spark, d, "mailboxes"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p6_found": p6_found}
 SQL = {
     "p1_found": f"""
 SELECT seq FROM (SELECT seq, row_number() OVER (PARTITION BY {CLEAN_ID_SQL.format("message_id")} ORDER BY seq) AS n
                  FROM messages WHERE message_id IS NOT NULL) WHERE n > 1""",
+    "p1_kept": f"""
+SELECT seq FROM (SELECT seq, message_id, row_number() OVER (PARTITION BY {CLEAN_ID_SQL.format("message_id")} ORDER BY seq) AS n FROM messages) WHERE n = 1 OR message_id IS NULL""",
 }
