@@ -24,6 +24,10 @@ def p3_found(spark, d):
     return conversations(table(spark, d, "messages"), table(spark, d, "mailboxes")).drop("role")
 
 
+def p3_conversations(spark, d):
+    return conversations(table(spark, d, "messages"), table(spark, d, "mailboxes"))
+
+
 def p4_found(spark, d):
     return find_items(table(spark, d, "messages"))
 
@@ -76,5 +80,5 @@ def p10_clean(spark, d):
     return clean_documents(table(spark, d, "documents")).select("doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p4_found": p4_found, "p4_placeholders": p4_placeholders, "p4_surrogates": p4_surrogates, "p5_found": p5_found, "p5_agreement": p5_agreement, "p5_reliability": p5_reliability, "p7_found": p7_found, "p7_lines": p7_lines, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_clean": p10_clean}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_conversations": p3_conversations, "p4_found": p4_found, "p4_placeholders": p4_placeholders, "p4_surrogates": p4_surrogates, "p5_found": p5_found, "p5_agreement": p5_agreement, "p5_reliability": p5_reliability, "p7_found": p7_found, "p7_lines": p7_lines, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_clean": p10_clean}
 SQL = {}
