@@ -128,7 +128,7 @@ def ranked(count: dict, votes: int = VOTES) -> list[tuple[str, str]]:
 
 
 def _near(c: str) -> str:
-    return c.lower() if c.isascii() and c.isalpha() else "0" if c.isdigit() else " " if c.isspace() else c if c in "'’-" else "." if c.isascii() else "é" if c.isalpha() else "."
+    return c.lower() if c.isascii() and c.isalpha() else "0" if c.isdigit() else " " if c.isspace() or c in ">|:" else c if c in "'’-" else "." if c.isascii() else "é" if c.isalpha() else "."
 
 
 def _bucket(a: str, c: str, b: str) -> int:
@@ -269,7 +269,8 @@ class Repair:
             if self.hot[k].search(line) and all(t[i] in table for i in spots):
                 u = "".join(table.get(c, c) if ord(c) > 127 else c for c in t)
                 gain = sum(self.around.usual(u, i) - self.around.usual(t, i) for i in spots)
-                if gain > 2.0 + 0.3 * len(spots) and (worst is None or gain > worst[0]):
+                met = any(self.around.table[self.around.place(u[i - 1], u[i], u[i + 1])] > 0 for i in spots)
+                if met and gain > 2.0 + 0.3 * len(spots) and (worst is None or gain > worst[0]):
                     worst = (gain, u[1:-1], "/".join(k))
         return (worst[1], worst[2]) if worst else (line, None)
 
