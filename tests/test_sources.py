@@ -52,3 +52,29 @@ def test_xml(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<root><thread><listno>t</listno><annotation><labels><cmt id="1.1"/><req id="1.10"/></labels></annotation><annotation><labels><x id="1.1"/></labels></annotation></thread></root>')
     assert [(r.sid, r.text) for r in corpus.scan_sentences(spark, str(tmp_path / "c.xml")).orderBy("sent_no").collect()] == [("1.1", "one"), ("1.10", "ten")]
     assert [(r.ord, r.sid, r.tag) for r in corpus.scan_annotations(spark, str(tmp_path / "a.xml")).collect()] == [(0, "1.1", "cmt"), (1, "1.10", "req")]
+
+
+def test_whole_round_trip(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from threadloom.plans import learning
+
+    names = ["message_id", "msg_date", "from_name", "from_email", "to_name", "to_email", "subject", "in_reply_to", "text"]
+    kinds = [
+        ("<1 a@x>\t", "Mon, 02 Jan 2012 13:00:05 +0100", 'Müller, "Zoé" (x)', "z@x", None, "l@x", "Ré: =?x " + "long " * 300, "<0@x>", "From a\n>From b\nfin é\r\n\n"),
+        (None, "?", None, None, "A B", None, None, None, None),
+        ("<2@x>", None, "Ångström", "a@x", "日本 語", "l@x", " два\nстроки ", " <1@x>", "\0 naïve 😀\nFrom here"),
+        ("<3@x>", None, "", "a@x", "o'x", "l@x", "", "", "ÿ only latin"),
+        ("<4@x>", None, "x  y", "a@x", "=?", "l@x", "x", "<4@x>", ""),
+    ]
+    rows = [(i * 5 + k, *r) for i in range(4) for k, r in enumerate(kinds)]
+    spark.createDataFrame(rows, "seq BIGINT, " + ", ".join(f"{n} STRING" for n in names)).write.parquet(str(tmp_path / "messages.parquet"))
+    got = {r.seq: r for r in learning.QUERIES["mbox_round_trip_whole"](spark, str(tmp_path)).withColumn("hour", F.hour("date")).collect()}
+    assert len(got) == len(rows)
+    for seq, *r in rows:
+        want = dict(zip(names, r))
+        assert got[seq].hour == (12 if want["msg_date"] and len(want["msg_date"]) > 1 else None)
+        for n in names[2:]:
+            w = want[n] if n not in ("text", "in_reply_to") else want[n] or ""
+            assert got[seq][n] == (w or None if n.startswith(("from", "to")) else w), (seq, n)
+        assert got[seq].message_id == want["message_id"]

@@ -29,7 +29,7 @@ def _mime(s, d):
 
 
 def _round_trip(s, d):
-    """Messages rendered, written as mailbox files and scanned again; those whose text has a line ``From `` are told apart by it."""
+    """The columns of the SQL only, one letter as text: ids and ASCII subjects rendered, written and scanned again. ``mbox_round_trip_whole`` has all rows and fields."""
     m = table(s, d, "messages").where("message_id IS NOT NULL AND text IS NOT NULL AND subject IS NOT NULL AND NOT contains(text, '\\nFrom ') AND NOT startswith(text, 'From ')")
     m = m.withColumn("subject", F.regexp_replace("subject", r"[^\x20-\x7e]", "")).withColumn("message_id", F.trim("message_id"))
     raw = mail.render(m.select("seq", F.trim("subject").alias("subject"), "message_id", F.lit(None).cast("string").alias("in_reply_to"), F.lit(None).cast("string").alias("from_name"), F.lit("a@b").alias("from_email"), F.lit(None).cast("string").alias("to_name"), F.lit("c@d").alias("to_email"), F.lit("x").alias("text")))
@@ -39,6 +39,14 @@ def _round_trip(s, d):
     return parsed.select(F.trim("message_id").alias("message_id"), F.trim("subject").alias("subject"), "from_email")
 
 
+def _round_trip_whole(s, d):
+    """All messages with all their fields rendered, written as mailbox files, scanned and parsed; a text or in_reply_to that is null comes back empty."""
+    path = new_path(s, "mbox")
+    mail.render_mbox(table(s, d, "messages")).select(F.concat(F.lit("From sender\n"), "raw").alias("value")).write.text(path)
+    raw = mail.scan_mbox(s, path + "/*.txt").select(F.regexp_extract("raw", r"\AX-Seq: (-?\d+)\n", 1).cast("bigint").alias("seq"), mail.unquoted(F.col("raw")).alias("raw"))
+    return mail.parse_messages(raw)
+
+
 def _features(s, d):
     return PT._features(s, d)
 
@@ -68,6 +76,7 @@ QUERIES = {
     "tagged_text": lambda s, d: E.tagged_text(A.couple_lines(_couples(s, d))),
     "mime_fields": _mime,
     "mbox_round_trip": _round_trip,
+    "mbox_round_trip_whole": _round_trip_whole,
     "sequence_tsv": lambda s, d: E.sequence_tsv(_features(s, d), ["number_of_tokens", "number_of_quote_symbols", "has_colon"]),
     "arff_rows": lambda s, d: E.arff_rows(_features(s, d).select("filename", "line_number", "number_of_tokens", "has_colon", "has_question_mark", "label")),
     "gold_text": lambda s, d: E.gold_text(PS._marked(s, d), table(s, d, "corpus_sentences")),

@@ -20,7 +20,7 @@ def scan_mbox(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFr
     def run(batches):
         for df in batches:
             for name, data in zip(df["path"], df["content"]):
-                text = bytes(data).decode(encoding, "replace")
+                text = bytes(data).decode(encoding, "replace").removesuffix("\n")
                 parts = re.split(r"(?:\A|\n)From [^\n]*\n", text)
                 # messages are sent on in portions, so that a large mailbox isn't one batch
                 rows = [(name, i, p.split("\0", 1)[0]) for i, p in enumerate(p for p in parts if p.strip())]
@@ -33,8 +33,13 @@ def scan_mbox(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFr
 def _address(value: str | None) -> tuple[str | None, str | None]:
     if value is None:
         return None, None
+    # the name is decoded after it was split off, since it may hold commas, quotation marks and brackets
     name, address = parseaddr(str(value))
-    return name or None, address or None
+    return _decoded(name) or None, _decoded(address) or None
+
+
+def _decoded(v) -> str | None:
+    return None if v is None else str(email.header.make_header(email.header.decode_header(str(v)))) if "=?" in str(v) else str(v)
 
 
 def _text_part(m) -> str | None:
@@ -44,6 +49,9 @@ def _text_part(m) -> str | None:
             break
     else:
         part = m
+    # the scan has decoded what isn't encoded for transfer
+    if isinstance(whole := part.get_payload(), str) and not whole.isascii():
+        return whole
     data = part.get_payload(decode=True)
     if data is None:
         return None if part.is_multipart() else str(part.get_payload())
@@ -58,12 +66,11 @@ def parse_message(raw: str) -> tuple:
     m = email.message_from_string(raw, policy=email.policy.compat32)
     last = lambda k: (m.get_all(k) or [None])[-1]
     try:
-        date = pd.Timestamp(parsedate_to_datetime(str(last("Date"))))
+        date = pd.Timestamp(parsedate_to_datetime(_decoded(last("Date"))))
         date = date.tz_convert("UTC").tz_localize(None) if date.tzinfo else date
-    except (TypeError, ValueError, IndexError):
+    except (TypeError, ValueError, IndexError, OverflowError):
         date = pd.NaT
-    text = lambda v: None if v is None else str(email.header.make_header(email.header.decode_header(str(v)))) if "=?" in str(v) else str(v)
-    return (date, *_address(text(last("From"))), *_address(text(last("To"))), last("Message-ID"), text(last("Subject")), last("In-Reply-To") or "", _text_part(m))
+    return (date, *_address(last("From")), *_address(last("To")), _decoded(last("Message-ID")), _decoded(last("Subject")), _decoded(last("In-Reply-To")) or "", _text_part(m))
 
 
 def parse_messages(raw: DataFrame) -> DataFrame:
@@ -93,3 +100,45 @@ def render(df: DataFrame) -> DataFrame:
     lines = [F.concat(F.lit(k + ": "), f(c)) for k, c in (("Subject", "subject"), ("Message-ID", "message_id"), ("In-Reply-To", "in_reply_to"))]
     who = lambda k, n, e: F.concat(F.lit(k + ": "), f(n), F.lit(" <"), f(e), F.lit(">"))
     return df.select("seq", F.concat_ws("\n", *lines, who("From", "from_name", "from_email"), who("To", "to_name", "to_email"), F.lit(""), f("text")).alias("raw"))
+
+
+def _words(c: Column) -> Column:
+    """Encoded words of at most 44 bytes each."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s).{1,11}"), F.lit(0)), lambda x: F.concat(F.lit("=?utf-8?b?"), F.base64(F.encode(x, "utf-8")), F.lit("?="))), "\n ")
+
+
+def _header(name: str, c: Column) -> Column:
+    """A header line, null if ``c`` is; what plain ASCII can't carry is encoded."""
+    plain = c.rlike(r"\A(?:[!-~](?:[ -~]{0,900}[!-~])?)?\z") & ~F.contains(c, F.lit("=?"))
+    return F.concat(F.lit(name + ": "), F.when(plain, c).otherwise(_words(c)))
+
+
+def _party(name: str, who: Column, address: Column) -> Column:
+    """An address header, null without name and address."""
+    shown = F.when(who.rlike(r"\A[A-Za-z0-9]+(?: [A-Za-z0-9]+)*\z"), who).otherwise(_words(who))
+    return F.when(who.isNotNull() | address.isNotNull(), F.concat(F.lit(name + ": "), F.coalesce(F.concat(shown, F.lit(" ")), F.lit("")), F.lit("<"), F.coalesce(address, F.lit("")), F.lit(">")))
+
+
+def render_mbox(df: DataFrame) -> DataFrame:
+    """``seq``, ``raw`` of messages as a mailbox keeps them; the number is the header ``X-Seq``, null fields have no header.
+
+    Bodies take turns by ``seq``: as they stand with lines ``From `` quoted, base64, base64 in Latin-1 where it has all
+    characters, and as second part beside HTML. A null text is an empty body.
+    """
+    c = F.col
+    text = F.coalesce(c("text"), F.lit(""))
+    coded = lambda charset: F.base64(F.encode(text, charset))
+    kind = "Content-Type: text/plain; charset="
+    base64 = lambda charset: F.concat(F.lit(f"{kind}{charset}\nContent-Transfer-Encoding: base64\n\n"), coded(charset))
+    whole = F.concat(F.lit(f"{kind}utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.regexp_replace(text, r"(?dm)^(>*From )", ">$1"))
+    parts = F.concat(F.lit('Content-Type: multipart/alternative; boundary="=_b"\n\n--=_b\nContent-Type: text/html\n\n<p>no</p>\n--=_b\n'), base64("utf-8"), F.lit("\n--=_b--"))
+    turn = F.pmod(F.coalesce("seq", F.lit(0)), F.lit(4))
+    latin = text.rlike(r"\A[\x00-\xff]*+\z")
+    body = F.when((turn == 0) & ~F.contains(text, F.lit("\0")), whole).when((turn == 2) & latin, base64("iso-8859-1")).when(turn == 3, parts).otherwise(base64("utf-8"))
+    heads = [_header("X-Seq", c("seq").cast("string")), _header("Date", c("msg_date")), _header("Subject", c("subject")), _header("Message-ID", c("message_id")), _header("In-Reply-To", c("in_reply_to"))]
+    return df.select("seq", F.concat_ws("\n", *heads, _party("From", c("from_name"), c("from_email")), _party("To", c("to_name"), c("to_email")), F.lit("MIME-Version: 1.0"), body).alias("raw"))
+
+
+def unquoted(raw: Column) -> Column:
+    """A scanned message without the quoting of its lines ``From ``."""
+    return F.regexp_replace(raw, r"(?dm)^>(>*From )", "$1")
