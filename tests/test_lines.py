@@ -47,3 +47,11 @@ def test_exports(spark):
     head = E.arff_header("r", [x for x in f.dtypes if x[0] not in ("line_number", "label")], ["T", "F"])
     assert {len(r.line.split(",")) for r in rows} == {sum(x.startswith("@attribute") for x in head)}
     assert [r.line for r in E.sequence_tsv(f, ["number_of_tokens"]).orderBy("line_number").collect()] == ["3\tT", "2\tF", ""]
+
+
+def test_all_ngrams_are_looked_up(spark, tmp_path):
+    from threadloom.plans import tagged
+
+    spark.createDataFrame([("f", i + 1, f"I a{i:03d} b{i:03d} c{i:03d}") for i in range(330)], "filename STRING, phys_no INT, raw STRING").write.parquet(str(tmp_path / "tagged_lines.parquet"))
+    got = {r.line_number: r.hits for r in tagged.QUERIES["ngram_hits_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i + 1: 3 for i in range(330)}

@@ -85,6 +85,12 @@ def _ngram_hits(spark, d):
     return T.ngram_hits(r, [x.ngram for x in T.top_ngrams(_lines(spark, d), 200).collect()])
 
 
+def _ngram_hits_whole(spark, d):
+    """All of the 1000 n-grams, a list of fixed length as well; ``ngram_hits`` has the first 200, as its SQL."""
+    grams = T.top_ngrams(_lines(spark, d)).collect()
+    return T.ngram_hits(T.records(_lines(spark, d)), [x.ngram for x in sorted(grams, key=lambda x: x.rank)])
+
+
 QUERIES = {
     "metadata_filter": lambda s, d: T.metadata_filter(table(s, d, "tagged_files")),
     "comment_lines": lambda s, d: T.comment_counts(_lines(s, d)),
@@ -101,6 +107,7 @@ QUERIES = {
     "discretised_lines": lambda s, d: T.discretised(_features(s, d)),
     "top_ngrams": lambda s, d: T.top_ngrams(_lines(s, d)),
     "ngram_hits": _ngram_hits,
+    "ngram_hits_whole": _ngram_hits_whole,
     "texttiling_join": _texttiling,
     "labelled_sequence": lambda s, d: T.labelled_sequence(_lines(s, d)),
 }
@@ -137,6 +144,9 @@ SELECT r.filename, r.line_number, coalesce(kept, '@NULL') AS kept FROM r LEFT JO
     "top_ngrams": f"WITH {_GRAMS} SELECT row_number() OVER (ORDER BY n DESC, ngram)::INT AS rank, ngram FROM top ORDER BY n DESC, ngram LIMIT 1000",
     "ngram_hits": f"""WITH {_GRAMS}, u AS (SELECT ngram, row_number() OVER (ORDER BY n DESC, ngram) AS k FROM top QUALIFY k <= 200),
 h AS (SELECT filename, line_number, string_agg(ngram, '|' ORDER BY k) AS ngrams, count(*)::INT AS hits FROM r JOIN u ON contains(line, ngram) GROUP BY ALL)
+SELECT r.filename, r.line_number, coalesce(hits, 0) AS hits, coalesce(ngrams, '') AS ngrams FROM r LEFT JOIN h USING (filename, line_number)""",
+    "ngram_hits_whole": f"""WITH {_GRAMS}, u AS (SELECT ngram, row_number() OVER (ORDER BY n DESC, ngram) AS k FROM top QUALIFY k <= 1000),
+h AS (SELECT filename, line_number, string_agg(ngram, '|' ORDER BY k) AS ngrams, count(*)::INT AS hits FROM r JOIN u ON contains(line, ngram) GROUP BY ALL)
 SELECT r.filename, r.line_number, coalesce(hits, 0) AS hits, coalesce(ngrams, '') AS ngrams FROM r LEFT JOIN h USING (filename, line_number)""",
     "texttiling_join": f"WITH {_R} SELECT filename, line_number, CASE WHEN line_number % 4 = 1 THEN 'S' ELSE 'O' END AS text_tiling_boundary FROM r",
     "labelled_sequence": f"""WITH {_L}, {_W} SELECT filename, (row_number() OVER (PARTITION BY filename ORDER BY phys_no) - 1)::INT AS pos,
