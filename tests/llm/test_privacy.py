@@ -53,3 +53,20 @@ def test_surrogates_keep_the_form():
 def test_clashes(spark, monkeypatch):
     df = spark.createDataFrame([("phone", str(i)) for i in range(600)], "kind STRING, item STRING")
     assert P.clashes(df, "k") == []
+
+
+def test_surrogates_are_distinct(spark, messages):
+    people = [f"{g} {chr(65 + i // 26 % 26)}{chr(97 + i % 26)}{'abcdefg'[i // 676]}riholt" for i in range(4500) for g in ("Alice", "Zoé")]
+    m = messages([{"seq": i, "from_name": n, "from_email": f"a{i}@x.test", "text": None} for i, n in enumerate([*people, "山田", "田中"])])
+    got = P.replace(m, style="surrogate").collect()
+    assert len({r.from_name for r in got}) == len({r.from_email for r in got}) == 9002
+    assert len({P.surrogate("phone", f"(212) 555-{i:04d}", f"212555{i:04d}", "k") for i in range(10_000)}) == 10_000
+    assert len({P.surrogate("id_number", f"AB {i:03d} C", f"ab{i:03d}c", "k") for i in range(1000)}) == 1000
+    items = spark.createDataFrame([("name", f"p{i}") for i in range(300)], "kind STRING, item STRING")
+    again = P.redraws(items, "k", 500)
+    assert again and len({P.drawn("name", f"p{i}", "k", again.get(("name", f"p{i}"), 0), 500) for i in range(300)}) == 300
+
+
+def test_streets_are_distinct():
+    street = lambda w: P.surrogate("street", w, P.item(w), "k")
+    assert len({street(f"{n} {w} Avenue") for n in range(1, 100) for w in ("Willow", "Maple", "Elm", "Oak", "Old Mill")}) == 495

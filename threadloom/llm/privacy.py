@@ -4,8 +4,8 @@ E-mail addresses (also disguised), telephone numbers, national person numbers, s
 are found by their written forms. What is a given name and how family names end is learned from the senders' names of
 all messages. Every item has a keyed code, the same wherever the item recurs in whatever spelling of blanks, case and
 signs, so that coreference stays; codes that two items share are found over the whole corpus and lengthened, so that
-distinct items stay distinct. From the code follow a typed placeholder and a surrogate of the same type, format, case
-and gender.
+distinct items stay distinct. From the code follows a typed placeholder. A surrogate has the same type, format, case and
+gender; those of distinct items are distinct by a bijection or, for names and streets, by a check over all items.
 """
 
 import hashlib
@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.sources.scratch import discard, save
 from threadloom.sources.tables import spread
 
 #: Least families a given name must stand with, least families an ending must have, most entries of the learned lists.
@@ -182,38 +183,97 @@ def code(kind: str, what: str, key: str, size: int = CODE) -> str:
 
 # Given names of surrogates by gender, parts of their family and street names.
 GIVEN_NAMES = {"f": "Anna Clara Elena Greta Ida Julia Karin Laura Mira Nelly Olga Petra Rosa Sonja Tessa Vera".split(), "m": "Anton Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Max Nils Otto Paul".split()}
-SYLLABLES = "bar den fol gar hal kel lor mar nel pol rin sal tor val wen zor".split()
+#: Syllables of three letters, so that a word of four can be taken apart in one way only; and how many such words there are.
+SYLLABLES = [a + b + c for a in "bcdfghjklmnprstvwxyz" for b in "aeiou" for c in "bdfgklmnrs"]
+WORDS = len(SYLLABLES) ** 4
 FEMALE = "Aurélie Hélène Noémie Solène Sylvie Camille Margaux Zoé Alice Irene Megan Judith Anke Birgit Heike Silke Ulrike Käthe Renate Inés Pilar Rocío Amparo Nuria".split()
 
 
-def surrogate(kind: str, written: str, what: str, key: str, size: int = CODE) -> str:
-    """A replacement of the same type and format; which one depends on the key and the item alone."""
-    raw = hmac.new(key.encode(), f"s:{kind}:{what}".encode(), hashlib.sha512).digest() * 4
-    at = iter(raw[size % 3 :])
-    if kind in ("phone", "id_number"):
-        keep = 4 if kind == "phone" else 0
-        seen = 0
-        out = ""
-        for c in written:
-            seen += c.isdigit()
-            out += (str(next(at) % 10) if seen > keep else c) if c.isdigit() else chr(65 + next(at) % 26) if c.isupper() and kind == "id_number" else c
-        return out
-    if kind == "email":
-        local, host = re.split(r"(?=@|\s?[(\[{]|\sAT\s|\sat\s)", written, maxsplit=1)
-        letter = lambda c: str(next(at) % 10) if c.isdigit() else (chr(97 + next(at) % 26).upper() if c.isupper() else chr(97 + next(at) % 26)) if c.isalpha() else c
-        return "".join(map(letter, local)) + host
-    word = lambda: (SYLLABLES[next(at) % 16] + SYLLABLES[next(at) % 16]).title()
+@lru_cache(1 << 17)
+def permuted(kind: str, text: str, key: str) -> str:
+    """``text`` of a-z and 0-9 as another of the same shape: a keyed bijection (Feistel steps, repeated until in range), so different texts stay different."""
+    shape = re.sub("[a-z]", "a", re.sub("[0-9]", "0", text))
+    value, size = 0, 1
+    for c in text:
+        base = 10 if c.isdigit() else 26
+        value, size = value * base + (int(c) if c.isdigit() else ord(c) - 97), size * base
+    half = (size.bit_length() + 1) // 2
+    mask = (1 << half) - 1
+    while True:
+        left, right = value >> half, value & mask
+        for i in range(8):
+            mixed = hashlib.shake_256(f"{len(key)}:{key}:{kind}:{shape}:{i}:{right}".encode()).digest(half // 8 + 1)
+            left, right = right, left ^ int.from_bytes(mixed) & mask
+        value = left << half | right
+        if value < size:
+            break
+    out = []
+    for c in reversed(shape):
+        value, d = divmod(value, 10 if c == "0" else 26)
+        out.append(str(d) if c == "0" else chr(97 + d))
+    return "".join(reversed(out))
+
+
+def drawn(kind: str, what: str, key: str, again: int = 0, space: int = WORDS) -> int:
+    """The number of the made-up word that stands for a name or street; ``again`` gives another."""
+    return int.from_bytes(hmac.new(key.encode(), f"w{again}:{kind}:{what}".encode(), hashlib.sha256).digest()) % space
+
+
+@lru_cache(1 << 17)
+def surrogate(kind: str, written: str, what: str, key: str, again: int = 0) -> str:
+    """A replacement of the same type and format; which one depends on the key and the item alone.
+
+    Different items get different ones: digits and letters of phones, ids and local parts are permuted, names and streets
+    get a word of their own, as :func:`redraws` makes sure with ``again``.
+    """
+    at = iter(hmac.new(key.encode(), f"s:{kind}:{what}".encode(), hashlib.sha512).digest() * (1 + len(written) // 32))
+    if kind in ("phone", "id_number", "email"):
+        local, host = written, ""
+        if kind == "email":
+            local, host = [*re.split(r"(?=@|\s?[(\[{]|\sAT\s|\sat\s)", written, maxsplit=1), ""][:2]
+        plain = item(local)
+        if kind == "phone":
+            # the first four digits and all letters stay
+            digits = re.sub("[^0-9]", "", plain)
+            new = iter(digits[:4] + permuted(f"{kind}:{digits[:4]}", digits[4:], key))
+            put = lambda c: next(new) if c in "0123456789" else str(next(at) % 10) if c.isdigit() else c
+        else:
+            new = iter(permuted(kind, plain, key))
+            put = lambda c: (next(new).upper() if c.isupper() else next(new)) if c.isascii() and c.isalnum() else str(next(at) % 10) if c.isdigit() else chr(97 + next(at) % 26) if c.isalpha() else c
+        return "".join(map(put, local)) + host
+    number = drawn(kind, what, key, again)
+    own = "".join(SYLLABLES[number // len(SYLLABLES) ** i % len(SYLLABLES)] for i in range(4)).title()
     if kind == "street":
-        number = lambda m: str(1 + next(at) % 199)
         kept = rf"(?:{_EN}|{_FR}|{_ES}|de|la|las|los|del|des|du|bis|ter)\b\.?|C/"
-        return re.sub(r"\d+|[^\W\d]+", lambda m: number(m) if m[0].isdigit() else m[0] if re.fullmatch(kept, m[0]) else word() + (re.search(rf"(?:{_DE})$", m[0]) or [""])[0], written)
+        # the first word is the street's own, more are only for the form
+        names = iter([own])
+        made = lambda m: m[0] if re.fullmatch(kept, m[0]) else next(names, (SYLLABLES[next(at)] + SYLLABLES[next(at)]).title()) + (re.search(rf"(?:{_DE})$", m[0]) or [""])[0]
+        if any(not re.fullmatch(kept, w) for w in re.findall(r"[^\W\d]+", written)):
+            return re.sub(r"\d+|[^\W\d]+", lambda m: str(1 + next(at) % 199) if m[0].isdigit() else made(m), written)
+        return re.sub(r"[0-9]+", lambda m: permuted(kind, m[0], key), written)
     first = re.search(r"[^\W\d_]{3,}", written.split(",")[-1] if "," in written else written)
     female = bool(first) and (first[0].title() in FEMALE or first[0].lower().endswith("a"))
-    given, family = GIVEN_NAMES["f" if female else "m"][next(at) % 16], word()
+    given, family = GIVEN_NAMES["f" if female else "m"][next(at) % 16], own
     out = f"{family}, {given}" if "," in written else f"{written[0]}. {family}" if re.match(r"^\w\.", written) else f"{family.upper()} {given}" if written.split(" ")[0].isupper() and not written.isupper() else f"{given} {family}"
     return out.upper() if written.isupper() else out.lower() if written.islower() else out
 
 
+def redraws(items: DataFrame, key: str, space: int = WORDS) -> dict[tuple[str, str], int]:
+    """How often names and streets of ``kind``, ``item`` have to be drawn anew until no two share a word.
+
+    Of n items about n² / 2 ``space`` have to, 50 of ten million, so what the driver holds stays small.
+    """
+    again: dict[tuple[str, str], int] = {}
+    while True:
+        word = F.pandas_udf(lambda k, i, again=dict(again): pd.Series([drawn(a, b, key, again.get((a, b), 0), space) for a, b in zip(k, i)]), "bigint")
+        shared = items.withColumn("word", word("kind", "item")).groupBy("kind", "word").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("item")).alias("i")).where("n > 1")
+        shared = shared.select("kind", F.explode(F.slice("i", 2, 1 << 30)).alias("item")).collect()
+        if not shared:
+            return again
+        for r in shared:
+            again[r.kind, r.item] = again.get((r.kind, r.item), 0) + 1
+
+
 def clashes(items: DataFrame, key: str) -> list[tuple[str, str]]:
     """Kinds and items whose codes another item shares; none is expected, and their number is checked."""
     items = items.select("kind", "item").distinct()
@@ -231,6 +291,8 @@ def replace(messages: DataFrame, key: str = "change me", style: str = "placehold
     Items that differ only in case, blanks and signs get the same replacement. Null fields stay null.
     """
     lists = learn_names(messages)
+    if style == "surrogate":
+        return _made_up(messages, key, lists)
     parts = messages.select("seq", F.concat_ws("\n", "text", "from_email", "from_name").alias("text"))
     long = frozenset(clashes(find(parts, lists), key))
     given, endings = lists
@@ -239,18 +301,76 @@ def replace(messages: DataFrame, key: str = "change me", style: str = "placehold
         names = _names(tuple(given), tuple(endings))
 
         def put(text, only=None):
-            if not isinstance(text, str) or not text.strip():
-                return text
-            out, last = [], 0
-            spans = entities(text, names) or ([(0, len(text), only)] if only else [])
-            for a, b, kind in spans:
-                what = item(text[a:b])
-                size = LONG if (kind, what) in long else CODE
-                out += [text[last:a], f"[{kind.upper()}_{code(kind, what, key, size)}]" if style == "placeholder" else surrogate(kind, text[a:b], what, key, size)]
-                last = b
-            return "".join([*out, text[last:]])
+            def one(written, kind):
+                what = item(written)
+                return f"[{kind.upper()}_{code(kind, what, key, LONG if (kind, what) in long else CODE)}]"
+
+            return _put(text, _spans(text, names, only), one)
 
         for df in batches:
             yield pd.DataFrame({"seq": df["seq"], "from_name": [put(x, "name") for x in df["from_name"]], "from_email": [put(x, "email") for x in df["from_email"]], "text": [put(x) for x in df["text"]]})
 
-    return spread(messages.select("seq", "from_name", "from_email", "text")).mapInPandas(run, "seq BIGINT, from_name STRING, from_email STRING, text STRING")
+    return spread(messages.select("seq", *FIELDS)).mapInPandas(run, "seq BIGINT, from_name STRING, from_email STRING, text STRING")
+
+
+#: The fields that are replaced, and what a field without any item is as a whole.
+FIELDS = {"from_name": "name", "from_email": "email", "text": None}
+
+
+def _spans(text, names: Names, only: str | None) -> list[tuple[int, int, str]]:
+    if not isinstance(text, str) or not text.strip():
+        return []
+    return entities(text, names) or ([(0, len(text), only)] if only else [])
+
+
+def _put(text, spans, one):
+    if not spans:
+        return text
+    out, last = [], 0
+    for a, b, kind in spans:
+        out += [text[last:a], one(text[a:b], kind)]
+        last = b
+    return "".join([*out, text[last:]])
+
+
+def _told(written: str) -> str:
+    """The item; one without a letter from a to z is told apart by what is written."""
+    return item(written) or " ".join(written.lower().split())
+
+
+def _made_up(messages: DataFrame, key: str, lists: tuple[list[str], list[str]]) -> DataFrame:
+    """Texts are searched once; where the items stand is saved beside them, so that the words of all are checked before any is written."""
+    given, endings = lists
+
+    def mark(batches):
+        names = _names(tuple(given), tuple(endings))
+        short = lru_cache(1 << 17)(lambda x, only: _spans(x, names, only))  # names and addresses recur
+        for df in batches:
+            out, items = {"seq": df["seq"]}, [set() for _ in range(len(df))]
+            for c, only in FIELDS.items():
+                out[c], at = df[c], []
+                for x, mine in zip(df[c], items):
+                    found = short(x, only) if only else _spans(x, names, only)
+                    mine.update(f"{k}:{_told(x[a:b])}" for a, b, k in found if k in ("name", "street"))
+                    at.append(" ".join(f"{a},{b},{k}" for a, b, k in found))
+                out["at_" + c] = at
+            yield pd.DataFrame(out | {"items": [sorted(x) for x in items]})
+
+    schema = "seq BIGINT, " + ", ".join(f"{c} STRING, at_{c} STRING" for c in FIELDS) + ", items ARRAY<STRING>"
+    marked = save(spread(messages.select("seq", *FIELDS)).mapInPandas(mark, schema), "marked")
+    items = save(marked.select(F.explode("items").alias("x")).distinct().selectExpr("substring_index(x, ':', 1) AS kind", "substring(x, instr(x, ':') + 1) AS item"), "items")
+    again = redraws(items, key)
+    discard(messages.sparkSession, items)
+
+    def run(batches):
+        def one(written, kind):
+            what = _told(written)
+            return surrogate(kind, written, what, key, again.get((kind, what), 0))
+
+        for df in batches:
+            out = {"seq": df["seq"]}
+            for c in FIELDS:
+                out[c] = [_put(x, [(int(a), int(b), k) for a, b, k in (y.split(",") for y in at.split())], one) for x, at in zip(df[c], df["at_" + c])]
+            yield pd.DataFrame(out)
+
+    return marked.drop("items").mapInPandas(run, "seq BIGINT, from_name STRING, from_email STRING, text STRING")
