@@ -34,3 +34,15 @@ def test_found_and_restored(spark, messages):
 
 def test_empty(messages):
     assert N.examine(messages([])).count() == 0
+
+
+def test_lost_characters_come_from_twins(messages):
+    good = _texts()
+    lose = lambda t: "".join(N.garble(c, "cp1252", "utf-8") if ord(c) > 127 else c for c in t)
+    rows = [{"seq": i, "text": t} for i, t in enumerate(good * 4)] + [{"seq": 700 + i, "text": t} for i, t in enumerate(["Le mot est pêche ici", "Le mot est pèche ici"] * 3)]
+    rows += [{"seq": 1000 + i, "text": "> > " + lose(t) + " \nok", "subject": lose(t)} for i, t in enumerate(good[:12])] + [{"seq": 2000, "text": lose("Le mot est pêche ici")}, {"seq": 2001, "text": lose("Jamais écrit ailleurs, voilà")}]
+    got = {(r.seq, r.field_name): r.restored for r in N.examine(messages(rows, ", line STRING, n BIGINT")).collect()}
+    for i, t in enumerate(good[:12]):
+        assert got[1000 + i, "text"] == "> > " + t + " \nok" and got[1000 + i, "subject"] == t
+    assert got[2000, "text"] == "Le mot est p�che ici" and "�" in got[2001, "text"]
+    assert {k for k in got} == {(r.seq, r.field_name) for r in N.examine(messages(rows, ", line STRING, n BIGINT"), twins=False).collect()}

@@ -24,10 +24,13 @@ from threadloom.sources.tables import spread
 CHARSETS = ["utf-8", "cp1252", "latin-1", "cp1251", "cp850", "cp437", "mac_roman", "koi8_r", "iso8859_2", "iso8859_5"]
 #: Least letters a line must have left for its twins to be looked for, and least votes of a transformation.
 SKELETON, VOTES = 8, 3
+#: Least letters of a line whose lost characters a twin may give back; the twin must yield the very line.
+LOST_SKELETON = 4
 #: Buckets of the table of neighbourhoods.
 BUCKETS = 1 << 18
 
 _NON = re.compile(r"[^\x00-\x7f]+")
+_PREFIX, _END = re.compile(r"(?:[ \t>|:]|[A-Z]{1,3}>)*"), " \t\n\x0b\f\r"
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _FRAME = " \t\r\n\"'()[]{},;:.!?/<>-=*|«»„“”‹›"
 
@@ -87,6 +90,10 @@ def align(a: str, b: str) -> list[tuple[str, str, str, str]]:
     return []
 
 
+def _stripped(line: str):
+    return F.regexp_replace(line, r"^(?:[ \t>|:]|[A-Z]{1,3}>)+|\s+$", "")
+
+
 def lines(messages: DataFrame) -> DataFrame:
     """``line``, ``n``: the distinct lines with non-ASCII characters of texts and subjects, without quotation prefixes.
 
@@ -94,7 +101,7 @@ def lines(messages: DataFrame) -> DataFrame:
     """
     both = messages.select(F.explode(F.array("text", "subject")).alias("t")).where(F.col("t").rlike(r"[^\x00-\x7F]"))
     rows = both.select(F.explode(F.split("t", "\n")).alias("line")).where(F.col("line").rlike(r"[^\x00-\x7F]"))
-    rows = rows.select(F.regexp_replace("line", r"^(?:[ \t>|:]|[A-Z]{1,3}>)+|\s+$", "").alias("line"))
+    rows = rows.select(_stripped("line").alias("line"))
     return rows.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -310,31 +317,91 @@ def _shown(line: str, fixed: str, got: list[tuple[int, str]]) -> bool:
     return len(got) == 1 and c in "“”„’‘" and fixed[i - 1 : i] == " " and fixed[i + 1 : i + 2] == " "
 
 
-def examine(messages: DataFrame) -> DataFrame:
+def lost_form(lost: str, clean: str) -> bool:
+    """Whether ``clean``, its segments written in one charset and read as UTF-8, gives ``lost``; equal segments may stand."""
+    x, y = _NON.findall(lost), _NON.findall(clean)
+    if len(x) != len(y) or _NON.split(lost) != _NON.split(clean):
+        return False
+    odd = [(s, t) for s, t in zip(x, y) if s != t]
+    return bool(odd) and any(all(garble(t, w, "utf-8") == s for s, t in odd) for w in CHARSETS[1:])
+
+
+def agreed(lost: str, twins: list[str]) -> str:
+    """``lost`` with the segments on which all twins agree."""
+    found = [_NON.findall(t) for t in twins]
+    new = iter([s[0] if len(set(s)) == 1 else x for x, *s in zip(_NON.findall(lost), *found)])
+    return _NON.sub(lambda _: next(new), lost)
+
+
+def recovered(counted: DataFrame, learned: list[tuple[str, str]], table: np.ndarray) -> DataFrame:
+    """``line``, ``fixed`` of the lines with U+FFFD that have clean twins, by shuffled joins on the skeleton."""
+    bone = F.regexp_replace("line", r"[^\x00-\x7F]+", "\x01")
+    rows = counted.where("line is not null").withColumn("bone", bone).where(F.regexp_count("bone", F.lit("[A-Za-z]")) >= LOST_SKELETON).withColumn("key", F.xxhash64("bone"))
+    is_lost = F.contains(F.col("line"), F.lit("�"))
+    pairs = rows.where(is_lost).select("key", "line").join(rows.where(~is_lost).select("key", F.col("line").alias("twin")), "key").select("line", "twin")
+    sent = counted.sparkSession.sparkContext.broadcast((learned, table))
+
+    def run(batches):
+        repair = Repair(*sent.value)
+        for df in batches:
+            kept = [lost_form(a, b) and repair.line(b)[1] is None for a, b in zip(df["line"], df["twin"])]
+            yield df[kept]
+
+    fixed = F.pandas_udf(lambda a, b: pd.Series([agreed(x, list(y)) for x, y in zip(a, b)], dtype="object"), "string")
+    out = pairs.mapInPandas(run, "line STRING, twin STRING").groupBy("line").agg(F.collect_set("twin").alias("twins"))
+    return out.select("line", fixed("line", "twins").alias("fixed")).where("fixed <> line")
+
+
+def _core(line: str) -> tuple[str, str, str]:
+    """Quotation prefix, line as :func:`lines` counts it, and blanks after it."""
+    start = _PREFIX.match(line).end()
+    core = line[start:].rstrip(_END)
+    return line[:start], core, line[start + len(core) :]
+
+
+def examine(messages: DataFrame, twins: bool = True) -> DataFrame:
     """``seq``, ``field_name``, ``restored`` of every text and subject that was decoded wrongly, all or in part.
 
-    ``restored`` is the field with all that can be put right put right; what is lost stays U+FFFD. Null and empty
-    fields are none, copies are given as often as they stand, foreign scripts and sequences shown as examples are none.
+    ``restored`` is the field with all that can be put right put right; what is lost comes from the clean ``twins`` of its
+    line, and stays U+FFFD where there are none or they disagree. Null and empty fields are none, copies are given as often
+    as they stand, foreign scripts and sequences shown as examples are none.
     """
+    spark = messages.sparkSession
     counted = save(lines(messages), "lines")
     learned, table = learn(counted), surroundings(counted)
-    discard(messages.sparkSession, counted)
-    sent = messages.sparkSession.sparkContext.broadcast((learned, table))
+    known = save(recovered(counted, learned, table), "twins") if twins else None
+    discard(spark, counted)
+    sent = spark.sparkContext.broadcast((learned, table))
 
     def run(batches):
         repair = Repair(*sent.value)
         for df in batches:
             rows = []
-            for seq, name, text in zip(df["seq"], df["field_name"], df["t"]):
+            for seq, name, text, pairs in zip(df["seq"], df["field_name"], df["t"], df["twins"] if twins else [None] * len(df)):
                 out, found = [], False
+                clean = dict(x.split("\n") for x in pairs) if pairs is not None else {}
                 for line in text.split("\n"):
                     if not line.isascii():
+                        was = line
                         line, how = repair.line(line)
                         found |= how is not None
+                        if how is not None and clean:
+                            before, core, after = _core(was)
+                            if core in clean:
+                                line = repair.line(before + clean[core] + after)[0]
                     out.append(line)
                 if found:
                     rows.append((seq, name, "\n".join(out)))
             yield pd.DataFrame(rows, columns=["seq", "field_name", "restored"])
 
     fields = messages.select("seq", F.explode(F.map_from_arrays(F.array(F.lit("text"), F.lit("subject")), F.array("text", "subject"))).alias("field_name", "t")).where(F.col("t").rlike(r"[^\x00-\x7F]"))
-    return spread(fields).mapInPandas(run, "seq BIGINT, field_name STRING, restored STRING")
+    schema = "seq BIGINT, field_name STRING, restored STRING"
+    if not twins:
+        return spread(fields).mapInPandas(run, schema)
+    # only fields with lost characters meet the twins' table, which grows with the corpus
+    is_lost = F.contains(F.col("t"), F.lit("�"))
+    lost = fields.where(is_lost)
+    each = lost.select("seq", "field_name", F.explode(F.split("t", "\n")).alias("line")).where(F.contains(F.col("line"), F.lit("�"))).withColumn("line", _stripped("line")).distinct()
+    pairs = each.join(known, "line").groupBy("seq", "field_name").agg(F.collect_list(F.concat_ws("\n", "line", "fixed")).alias("twins"))
+    lost = lost.join(pairs, ["seq", "field_name"], "left")
+    return spread(fields.where(~is_lost).withColumn("twins", F.lit(None).cast("array<string>"))).mapInPandas(run, schema).unionByName(lost.mapInPandas(run, schema))

@@ -13,7 +13,7 @@ from threadloom.sources.tables import table
 
 
 def p2_found(spark, d):
-    return examine(table(spark, d, "messages")).select("seq", "field_name")
+    return examine(table(spark, d, "messages"), twins=False).select("seq", "field_name")
 
 
 def p2_restored(spark, d):
