@@ -121,3 +121,13 @@ def test_patterns():
     p = S.pattern_columns(window=5, syntactic=True, groups=24)
     assert len(p) == 5 * (36 + 24) and S.pattern_lines(p)[0] == "*00000:%x[-2,0]"
     assert S.pattern_columns(syntactic=False, groups=0, thematic=True)[0][1] == [(-2, 42)]
+
+
+def test_all_boundaries_are_combined(spark, tmp_path):
+    from threadloom.plans import segments
+
+    acts = ["Q", "A"] * 10
+    spark.createDataFrame([("t", 1, i + 1, f"1.{i + 1}", "x") for i in range(20)], "thread STRING, doc_no INT, sent_no INT, sid STRING, text STRING").write.parquet(str(tmp_path / "corpus_sentences.parquet"))
+    spark.createDataFrame([("t", f"1.{i + 1}", i, f"l{i}", a, "T") for i, a in enumerate(acts)], "thread STRING, sid STRING, ord INT, label_id STRING, tag STRING, boundary STRING").write.parquet(str(tmp_path / "bc3_labelled.parquet"))
+    got = [r.label for r in segments.QUERIES["combine_results_whole"](spark, str(tmp_path)).collect()]
+    assert got == ["T"] * 20

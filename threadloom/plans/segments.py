@@ -55,6 +55,8 @@ QUERIES = {
     "score_table": lambda s, d: S.scores(_seq(s, d)),
     "periodic_baseline": lambda s, d: S.periodic_baseline(_seq(s, d)),
     "combine_results": lambda s, d: S.combined(_seq(s, d), S.periodic_baseline(_seq(s, d)), max_boundaries=3),
+    # all boundaries, the original's default; the query above has the three of its SQL
+    "combine_results_whole": lambda s, d: S.combined(_seq(s, d), S.periodic_baseline(_seq(s, d))),
     "segment_ids": lambda s, d: S.segments(_seq(s, d)),
     "segment_vote": lambda s, d: S.segment_vote(_seq(s, d)),
     "majority_act": lambda s, d: S.majority(_seq(s, d)),
@@ -76,6 +78,7 @@ SQL = {
     "combine_results": f"""WITH {_N}, {_BASE}, j AS (SELECT fold, pos, CASE WHEN baseline = 'T' THEN 1 WHEN result = 'T' THEN confidence ELSE 0 END AS score FROM q JOIN b USING (fold, pos)),
 k AS (SELECT fold, pos FROM j WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY score DESC, pos) <= 3)
 SELECT fold, pos, CASE WHEN (fold, pos) IN (SELECT (fold, pos) FROM k) THEN 'T' ELSE 'F' END AS label FROM j""",
+    "combine_results_whole": f"WITH {_N}, {_BASE} SELECT fold, pos, CASE WHEN baseline = 'T' OR result = 'T' AND confidence >= 0.75 THEN 'T' ELSE 'F' END AS label FROM q JOIN b USING (fold, pos)",
     "segment_ids": f"WITH {_A}, {_SEG} SELECT * FROM g",
     "segment_vote": f"WITH {_A}, {_SEG}, v AS (SELECT fold, segment, act, max(seen) AS seen FROM (SELECT *, count(*) OVER (PARTITION BY fold, act ORDER BY pos) AS seen FROM g) GROUP BY ALL) SELECT fold, segment, act AS vote FROM v QUALIFY row_number() OVER (PARTITION BY fold, segment ORDER BY seen DESC, act) = 1",
     "majority_act": f"WITH {_A} SELECT fold, act FROM (SELECT fold, act, count(*) AS n FROM q GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY fold ORDER BY n DESC, act) = 1",
