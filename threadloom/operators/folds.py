@@ -3,15 +3,16 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.sources.scratch import save
 
 
-def ranked(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+def ranked(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     """Adds ``i``, the rank from 0 by the distinct string ``key``, without one window over all rows.
 
-    Rows are numbered within range partitions by ``key``; the partitions' counts, one number each, give the offsets.
+    Rows are numbered within range partitions by ``key``, as many as the session shuffles into; the partitions' counts,
+    one number each, give the offsets.
     """
-    from threadloom.sources.scratch import save
-
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = save(df.repartitionByRange(buckets, key).withColumn("_p", F.spark_partition_id()), "ranked")
     counts = parts.groupBy("_p").count()
     before = counts.selectExpr("_p", "coalesce(sum(count) OVER (ORDER BY _p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _before")
@@ -33,5 +34,3 @@ def holdout(df: DataFrame, key: str, share: float = 0.9) -> DataFrame:
 def line_folds(lines: DataFrame, k: int = 10) -> DataFrame:
     """SMP3: fold of each line by its number in its file, for those who want messages cut; :func:`k_folds` keeps them whole."""
     return lines.select("filename", "phys_no", F.pmod(F.col("phys_no") - 1, F.lit(k)).cast("int").alias("fold")).distinct()
-
-

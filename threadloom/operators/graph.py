@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.ids import clean_id
 from threadloom.operators.dedup import kept_rows
-from threadloom.operators.threads import is_start, link_rows, reply_links, roots, running_number
+from threadloom.operators.threads import is_start, link_rows, paths, reply_links, roots, running_number
 from threadloom.sources.scratch import save
 
 
 class Graph:
-    """Edges, starts and resolved threads of a message table; each is computed once and kept in the shared folder."""
+    """Edges, starts and resolved threads of a message table; each is computed once and kept in the shared folder.
+
+    What is kept are narrow rows: no text and no file name. Operators that need those read them from the messages.
+    """
 
     def __init__(self, messages: DataFrame):
         self.messages = messages
-        self.rows = save(link_rows(messages, "filename", "text"), "rows")
+        self.rows = save(link_rows(messages), "rows")
         self.edges = save(reply_links(self.rows), "edges")
         self.starts = self.rows.where(is_start()).select("seq")
 
@@ -70,33 +73,28 @@ class Graph:
     def tree(self) -> DataFrame:
         """SRT4: every message of a thread with its place in pre-order (``path``, a text that sorts) and its indented id.
 
-        One join a level of the deepest thread; each level is written, so that no lineage grows.
+        Pointer doubling: a row holds the part of its path below its pointer, so a thread of n levels takes log2(n) joins.
+        The paths themselves are the result and as long as their thread is deep.
         """
         cid = self.rows.select("seq", "cid")
-        level = save(self.starts.select("seq", F.format_string("%019d", "seq").alias("path"), F.lit(0).alias("depth")), "tree")
-        levels = [level]
-        while True:
-            up = level.select(F.col("seq").alias("parent"), "path", "depth")
-            level = save(self.edges.join(up, "parent").select("seq", F.concat("path", F.format_string("/%019d", "seq")).alias("path"), (F.col("depth") + 1).alias("depth")), "tree")
-            if level.isEmpty():
-                break
-            levels.append(level)
-        out = levels[0]
-        for x in levels[1:]:
-            out = out.unionByName(x)
+        out = paths(self.edges, self.starts)
         return out.join(cid, "seq").select("seq", "path", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.col("cid")).alias("entry"))
 
+    def kept(self, condition, *columns: str) -> DataFrame:
+        """``columns`` of the kept rows with ``condition``, read from the messages where it is pushed down."""
+        return self.messages.where(condition).select("seq", *columns).join(self.rows.select("seq"), "seq", "left_semi")
+
     def couples(self) -> DataFrame:
-        """JOIN2: the last inline reply to each message with the texts of both; both sides need a file name."""
-        inline = self.rows.where(inline_reply(F.col("text")) & F.col("filename").isNotNull()).select("seq", F.col("filename").alias("reply_file"))
-        source = self.rows.where("filename IS NOT NULL").select(F.col("seq").alias("parent"), F.col("filename").alias("source_file"))
+        """JOIN2: the last inline reply to each message and the file names of both; both sides need one."""
+        inline = self.kept(inline_reply(F.col("text")) & F.col("filename").isNotNull(), "filename").withColumnRenamed("filename", "reply_file")
+        source = self.kept(F.col("filename").isNotNull(), "filename").select(F.col("seq").alias("parent"), F.col("filename").alias("source_file"))
         pairs = inline.join(self.edges, "seq").join(source, "parent")
         return pairs.groupBy("parent").agg(F.max_by(F.struct("seq", "reply_file", "source_file"), "seq").alias("r")).select(F.col("parent").alias("source_seq"), F.col("r.seq").alias("reply_seq"), "r.source_file", "r.reply_file")
 
     def failures(self) -> DataFrame:
         """Inline replies that make no couple because a parent or a file name is missing."""
-        inline = self.rows.where(inline_reply(F.col("text"))).select("seq", "filename")
-        source = self.rows.where("filename IS NOT NULL").select(F.col("seq").alias("parent"))
+        inline = self.kept(inline_reply(F.col("text")), "filename")
+        source = self.kept(F.col("filename").isNotNull()).select(F.col("seq").alias("parent"))
         good = inline.where("filename IS NOT NULL").join(self.edges, "seq").join(source, "parent").select("seq")
         return inline.select("seq").join(good, "seq", "left_anti")
 

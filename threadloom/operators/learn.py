@@ -31,12 +31,6 @@ def _hash(features) -> np.ndarray:
     return np.array([zlib.crc32(f.encode()) % BUCKETS for f in features], "int64")
 
 
-def _sequences(df: pd.DataFrame):
-    for fold, part in df.groupby("fold", sort=False):
-        part = part.sort_values("pos")
-        yield fold, part
-
-
 def train_crf(rows: DataFrame, rounds: int = 5, labels: list[str] = LABELS) -> tuple[np.ndarray, np.ndarray]:
     """CRF2: an averaged structured perceptron over hashed features, by iterative parameter mixing.
 

@@ -81,6 +81,23 @@ def roots(links: DataFrame, starts: DataFrame) -> DataFrame:
     return state.where("done").select("seq", F.col("ptr").alias("root"), "depth")
 
 
+def paths(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """``seq``, ``depth``, ``path`` (the numbers from the root down, 19 digits each, split by ``/``) as :func:`roots` resolves them."""
+    spark = links.sparkSession
+    number = F.format_string("%019d", "seq")
+    reached = save(roots(links, starts).select("seq", "depth"), "depths")
+    start = reached.where("depth = 0").select("seq", F.col("seq").alias("ptr"), number.alias("path"), F.lit(True).alias("done"))
+    rest = links.join(reached.where("depth > 0"), "seq", "left_semi").select("seq", F.col("parent").alias("ptr"), number.alias("path"), F.lit(False).alias("done"))
+    state = save(rest.unionByName(start), "paths")
+    while not state.where(~F.col("done")).isEmpty():
+        to = state.select(F.col("seq").alias("ptr"), F.col("ptr").alias("next"), F.col("path").alias("above"), F.col("done").alias("end"))
+        moved = state.where(~F.col("done")).join(to, "ptr").select("seq", F.col("next").alias("ptr"), F.concat_ws("/", "above", "path").alias("path"), F.col("end").alias("done"))
+        after = save(state.where("done").unionByName(moved), "paths")
+        discard(spark, state)
+        state = after
+    return state.select("seq", "path").join(reached, "seq")
+
+
 def link_rows(messages: DataFrame, *more: str) -> DataFrame:
     """The kept rows as :func:`reply_links` needs them, and the columns ``more``."""
     ref = F.when(F.col("in_reply_to") != "", clean_id(F.col("in_reply_to")))

@@ -17,8 +17,8 @@ from threadloom.sources.tables import table
 
 
 def _couples(s, d):
-    g = G.Graph(table(s, d, "messages"))
-    text = g.rows.select("seq", "text")
+    m = table(s, d, "messages")
+    g, text = G.Graph(m), m.select("seq", "text")
     c = g.couples().select("source_seq", "reply_seq")
     return c.join(text.select(F.col("seq").alias("source_seq"), F.col("text").alias("source_text")), "source_seq").join(text.select(F.col("seq").alias("reply_seq"), F.col("text").alias("reply_text")), "reply_seq")
 

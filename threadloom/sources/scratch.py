@@ -1,6 +1,7 @@
 """Tables written in the shared checkpoint folder, to cut lineage so that a lost executor costs no recomputation."""
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ _written: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (as in tests) one of our own."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and one machine runs all (as in tests) one of our own."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.sparkContext.setCheckpointDir(d)
         d = spark.sparkContext.getCheckpointDir()
