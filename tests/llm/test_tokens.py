@@ -1,3 +1,7 @@
+import base64
+import random
+import string
+import time
 from pathlib import Path
 
 import pytest
@@ -31,6 +35,30 @@ def test_cache_can_be_cleared(monkeypatch):
         assert e.encode(TEXTS) == _reference(TEXTS)
 
 
+def _words():
+    rng = random.Random(3)
+    some = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    return [some(20_000, string.ascii_lowercase), some(8_000, string.digits), base64.b64encode(rng.randbytes(20_000)).decode(), some(3_000, "漢字日本語中文"), "abc" * 3_333 + "th" * 500 + "0" * 777, "-" * 9_001, some(1_000_000, string.ascii_letters)]
+
+
+def test_long_words_are_exact_and_take_linear_time():
+    words = _words()
+    e = tokens.Encoder()
+    began = time.process_time()
+    got = e.encode(words)
+    assert time.process_time() - began < 60 and not Path(".tmp").exists()
+    assert got == _reference(words)
+
+
+def test_blocks_that_share_no_token(monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK", 5)
+    monkeypatch.setattr(tokens, "OVERLAP", 3)
+    monkeypatch.setattr(tokens, "LONG", 10)
+    monkeypatch.setattr(tokens, "ROUNDS", 2)
+    words = [w[:700] for w in _words()] + ["internationalization" * 9]
+    assert tokens.Encoder().encode(words) == _reference(words)
+
+
 def _packed(spark, sizes, capacity=10, **more):
     df = spark.createDataFrame([(i, " a" * n if n is not None else None) for i, n in enumerate(sizes)], "doc_id BIGINT, text STRING").repartition(3)
     kinds = spark.createDataFrame([("short", capacity), ("none", None), ("zero", 0)], "container_kind STRING, capacity_tokens INT")
@@ -38,8 +66,6 @@ def _packed(spark, sizes, capacity=10, **more):
 
 
 def test_packing(spark):
-    import random
-
     random.seed(2)
     sizes = [random.randint(0, 14) for _ in range(400)] + [None, 35, 30]
     rows, kinds = _packed(spark, sizes, windows=4)
