@@ -1,10 +1,13 @@
 """Only the lines that an e-mail's sender newly wrote (problem 7).
 
-Each message meets the text of the message it answers. Paragraphs are compressed with two dictionaries: the ancestor's
-text and the sender's closings (what stands below signatures, learned from all messages). A paragraph that shrinks
-abnormally is suspected; its lines are then compared exactly, blanks, quotation marks and wrongly decoded characters
-aside, and only lines that overlap are taken out. Quotation marks, the lines that introduce quotations, signature
-marks, the sender's name and notices are read from their forms. All else is kept.
+Each message meets two dictionaries: the text of the message it answers, with what that quotes of earlier ancestors, and
+its sender's closings (lines that stand below signatures in several of the sender's messages, learned from all
+messages). Paragraphs are compressed with them. One that shrinks abnormally is suspected; its lines are then compared
+exactly, blanks, quotation marks and wrongly decoded characters aside, and only lines that overlap are taken out.
+Notices that no dictionary of the sender holds are compressed with the closings of the whole archive that share words
+with them. What no dictionary can say (an ancestor that isn't there, a sender's first message) is read from its form:
+quotation marks, the lines that introduce quotations, signature marks, names and legal words. All else is kept.
+:meth:`Reducer.decide` tells for every line which of these decided.
 """
 
 import re
@@ -13,18 +16,28 @@ from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.ids import clean_id
 from threadloom.llm.privacy import Names, _names, learn_names
-from threadloom.operators.dedup import first_of_each
+from threadloom.sources.scratch import save
 from threadloom.sources.tables import spread
 
 #: Share of its size that a paragraph must lose to a dictionary to be suspected.
 GAIN = 0.35
-#: Messages below whose signature a closing must stand, its least share there, most closings kept.
-CLOSING, TAIL, MOST = 8, 0.75, 20_000
+#: Bytes of a dictionary that one compression sees, how many of them the next piece repeats, and most bytes of text it compresses.
+PIECE, REPEAT, PART = 28_000, 8_000, 4_000
+#: Messages below whose signatures a closing of the archive must stand, and its least share there of all it occurs.
+CLOSING, TAIL = 8, 0.75
+#: Least share that a closing must have of all lines below signatures, which bounds the archive's closings, and of the
+#: sender's, which bounds a sender's; messages of one sender in which it must stand. Rarer closings of the archive are the senders'.
+COMMON, OWN, TWICE = 1 / 50_000, 1 / 500, 2
+#: Words of a shingle by which the archive's closings are looked up, and share of a paragraph's words that they must cover.
+SHINGLE, COVERED = 4, 0.6
+#: Pieces into which the rows of one sender are dealt for the join with the sender's closings.
+SALT = 16
 
 X = "\u0080-￿"
 _MARK = re.compile(r"[ \t]?(?:>|\||:|»|├╗|┬╗|╗|Â»|В»|¬ª|ª|�|[A-Z]{2,3}>)[ \t]?")
@@ -66,25 +79,98 @@ def unmarked(line: str) -> tuple[int, str]:
     return n, line
 
 
-@lru_cache(4096)
-def _bones_of(text: str) -> tuple[str, frozenset]:
-    """The ancestor's text without marks and blanks, and its lines."""
-    lines = [bone(unmarked(x)[1]) for x in text.split("\n")]
-    return "".join(lines), frozenset(x for x in lines if x)
+class Dictionary:
+    """A text that paragraphs are compressed with: its lines and their whole without marks and blanks, and its bytes in pieces."""
+
+    def __init__(self, text: str, masked: bool = False):
+        self.text, self.hit = text, 0
+        bones = [bone(unmarked(x)[1]) for x in text.split("\n")]
+        if masked:
+            bones = [figures(x) for x in bones]
+        self.whole, self.lines = "".join(bones), frozenset(x for x in bones if x)
+        self._pieces: list[bytes] | None = None
+
+    @property
+    def pieces(self) -> list[bytes]:
+        if self._pieces is None:
+            raw = self.text.encode(errors="replace")
+            self._pieces = [raw[i : i + PIECE] for i in range(0, max(len(raw) - REPEAT, 1), PIECE - REPEAT)]
+        return self._pieces
+
+    def gain(self, paragraph: str) -> float:
+        """Share of its compressed size that the paragraph loses to this dictionary, whatever the size of either.
+
+        Long paragraphs are compressed part by part, each with the piece of the dictionary that serves it best; the one
+        that served the part before is tried first and is enough if the gain is abnormal.
+        """
+        raw = paragraph.encode(errors="replace")
+        plain = rest = 0
+        for i in range(0, len(raw), PART):
+            part = raw[i : i + PART]
+            alone = _packed(part)
+            best, n = alone, len(self.pieces)
+            for k in range(n):
+                size = _packed(part, self.pieces[(self.hit + k) % n])
+                if size < best:
+                    best = size
+                    if 1 - size / alone >= 2 * GAIN:
+                        self.hit = (self.hit + k) % n
+                        break
+            plain, rest = plain + alone, rest + best
+        return 1 - rest / plain if plain else 0.0
+
+
+def _packed(raw: bytes, dictionary: bytes | None = None) -> int:
+    z = zlib.compressobj(6, zlib.DEFLATED, -15, 8, zlib.Z_DEFAULT_STRATEGY, *([dictionary] if dictionary else []))
+    return len(z.compress(raw)) + len(z.flush())
+
+
+@lru_cache(2048)
+def _dictionary(text: str, masked: bool = False) -> Dictionary:
+    return Dictionary(text, masked)
+
+
+class Closings:
+    """The closings of the whole archive, looked up by shingles of words."""
+
+    def __init__(self, lines):
+        self.lines, self.known, self.index = list(lines), frozenset(figures(bone(x)) for x in lines), {}
+        for i, x in enumerate(self.lines):
+            for w in self.shingles(x.split()):
+                self.index.setdefault(w, []).append(i)
+
+    @staticmethod
+    def shingles(words: list[str]) -> list[tuple]:
+        words = [figures(x) for x in words]
+        return list(zip(*(words[i:] for i in range(SHINGLE))))
+
+    def taken(self, text: str) -> bool:
+        """Whether a paragraph is made of closings: shingles name the closings, the gain with these must be abnormal, and they must cover it."""
+        words = text.split()
+        if len(words) < 2 * SHINGLE or not self.index:
+            return False
+        found = [self.index.get(w) for w in self.shingles(words)]
+        if sum(x is not None for x in found) < COVERED / 2 * len(words):
+            return False
+        near = dict.fromkeys(i for x in found if x for i in x)
+        if Dictionary("\n".join(self.lines[i] for i in near)).gain(text) < GAIN:
+            return False
+        covered = set()
+        for i, x in enumerate(found):
+            if x:
+                covered.update(range(i, i + SHINGLE))
+        return len(covered) >= COVERED * len(words)
 
 
-def gain(paragraph: str, dictionary: bytes) -> float:
-    """Share of the compressed size that the dictionary saves."""
-    raw = paragraph.encode()
-    plain = len(zlib.compress(raw, 6))
-    z = zlib.compressobj(6, zlib.DEFLATED, zlib.MAX_WBITS, 8, zlib.Z_DEFAULT_STRATEGY, dictionary[-32_000:])
-    return 1 - len(z.compress(raw) + z.flush()) / plain
+#: What settled a line: it is blank, new, overlaps with an ancestor or a closing after an abnormal gain, or by its form.
+BLANK, NEW, ANCESTOR, OWN_CLOSING, FORM = "blank", "new", "ancestor", "closing", "form"
 
 
 class Reducer:
-    def __init__(self, names: Names, closings):
-        self.names, self.closings = names, frozenset(closings)
-        self.dictionary = "\n".join(closings).encode()
+    """Tells new lines from others; ``forms=False`` leaves all to the dictionaries."""
+
+    def __init__(self, names: Names, closings, forms: bool = True):
+        self.names, self.closings, self.forms = names, Closings(closings), forms
         self.seen: dict = {}
         self.given = names.given_line if names.full is not None else None
 
@@ -105,39 +191,102 @@ class Reducer:
         s = re.sub(r"\s*[<(]\S+@\S+[>)]$", "", s)
         return any(b - a >= len(s) for a, b in self.names.find(s))
 
-    def _closing(self, part: list[str]) -> bool:
-        """Whether the lines of a paragraph are known closings: abnormal gain, then exact sentences."""
+    def _closing(self, part: list[str]) -> str | None:
+        """Whether the lines of a paragraph are known closings, by the archive's closings or by legal words and exact sentences."""
         if any(_BYE.match(x.strip()) for x in part):
-            return False
+            return None
         text = " ".join(x.strip() for x in part)
+        if self.closings.taken(text):
+            return OWN_CLOSING
+        if not self.forms:
+            return None
         legal = len(_LEGAL.findall(text))
         if legal > 1 or all(_DEVICE.match(x) for x in part):
-            return True
-        if not legal and not any(figures(bone(x)) in self.closings for x in part):
-            return False
+            return FORM
+        known = self.closings.known
+        if not legal and not any(figures(bone(x)) in known for x in part):
+            return None
         sentences = [b for x in re.split(r"(?<=[.!?:]) ", text) if (b := figures(bone(x)))]
         size = sum(map(len, sentences))
-        return size > 0 and sum(len(b) for b in sentences if b in self.closings) >= 0.6 * size
+        return FORM if size > 0 and sum(len(b) for b in sentences if b in known) >= 0.6 * size else None
 
-    def lines(self, text: str, ancestor: str | None = None) -> list[int]:
-        """Numbers, from 1, of the non-blank lines that are new."""
+    def lines(self, text: str, ancestor: str | None = None, own: str | None = None) -> list[int]:
+        """Numbers, from 1, of the non-blank lines that are new; ``ancestor``: the answered text, ``own``: the sender's closings."""
+        return [i for i, how in enumerate(self.decide(text, ancestor, own), 1) if how == NEW]
+
+    def decide(self, text: str, ancestor: str | None = None, own: str | None = None) -> list[str]:
+        """What settled each line."""
         rows = [x.rstrip("\r") for x in text.split("\n")]
         n = len(rows)
-        old = [False] * n
+        old: list = [None] * n
         blank = [not x or x.isspace() for x in rows]
         marks = [None if blank[i] or not (m := _MARK.match(x)) else m[0].strip() for i, x in enumerate(rows)]
+        source = _dictionary(ancestor) if ancestor else None
+        same = self._overlaps(rows, blank, marks, source) if source else old
+        if source:
+            for i in range(n):
+                if same[i] and marks[i] is not None:
+                    old[i] = ANCESTOR
+        if self.forms:
+            self._quotations(rows, blank, marks, old, same, source, ancestor)
+        if source:
+            self._copies(rows, blank, marks, old, same)
+        if own:
+            self._own(rows, blank, old, _dictionary(own, True))
+        self._signatures(rows, blank, old)
+        return [BLANK if blank[i] else old[i] or NEW for i in range(n)]
+
+    @staticmethod
+    def _overlaps(rows, blank, marks, source) -> list:
+        """Which lines stand in the ancestor: those of paragraphs with abnormal gain that overlap exactly."""
+        n, out = len(rows), [None] * len(rows)
+        a = 0
+        while a < n:
+            if blank[a]:
+                a += 1
+                continue
+            b = a + 1
+            while b < n and not blank[b] and marks[b] == marks[a]:
+                b += 1
+            hits, plain = [], []
+            for i in range(a, b):
+                if marks[i] is None:
+                    x, short = rows[i], 8
+                elif _OWN_MARKED.match(rows[i]) or _PATH.match(rows[i]):
+                    # what looks like a quotation but may be the sender's own must be a line of the ancestor
+                    x, short = rows[i][1:].lstrip(), 1 << 30
+                else:
+                    x, short = unmarked(rows[i])[1], 3 if marks[i][:1] == ">" else 8
+                plain.append(x)
+                k = bone(x)
+                if k and (k in source.lines and (marks[i] is None or marks[i][:1] == ">" or len(k) > 8) or len(k) > short and k in source.whole):
+                    hits.append(i)
+            if hits and source.gain("\n".join(plain)) >= GAIN:
+                for i in hits:
+                    out[i] = ANCESTOR
+            a = b
+        return out
+
+    def _quotations(self, rows, blank, marks, old, same, source, ancestor) -> None:
+        """Quotations by their form: introductions, marks, headers, and copies below introductions."""
+        n = len(rows)
+        whole, known = (source.whole, source.lines) if source else ("", frozenset())
+
+        def take(a, b):
+            for j in range(a, b):
+                old[j] = old[j] or same[j] or FORM
+
         intros = {i: k for i in range(n) if not blank[i] and (k := self._intro(rows, i, marks))}
         for i, k in intros.items():
-            old[i : i + k] = [True] * k
-        whole, known = _bones_of(ancestor) if ancestor else ("", frozenset())
+            take(i, i + k)
         if any(marks):
             self._marked(rows, marks, old, blank, intros, whole, known)
         # a message copied below its header stands to the end
         for i in range(n):
-            if not old[i] and not blank[i] and (rows[i][0] in "-_FVD"):
+            if (not old[i] or same[i]) and not blank[i] and (rows[i][0] in "-_FVD"):
                 nxt = next((k for k in range(i + 1, n) if not blank[k]), None)
                 if (_HEADER_MARK.match(rows[i]) and nxt is not None and _HEADER.match(rows[nxt])) or (_HEADER.match(rows[i]) and nxt is not None and _FIELD.match(rows[nxt])):
-                    old[i:] = [True] * (n - i)
+                    take(i, n)
                     break
         # a copy without marks below its introduction, which may begin with the ancestor's own quotations:
         # to the last line that overlaps with the ancestor, without it to the end
@@ -148,15 +297,12 @@ class Reducer:
                 k += 1
             if k < n and (not old[k] and not (marks[k] and not _OWN_MARKED.match(rows[k])) or k in intros and not marks[i] or known and len(first) > 3 and bone(rows[k]) == bone(first) and unmarked(rows[k])[0] == unmarked(first)[0]):
                 last = n - 1
-                if known and (same := [j for j in range(k, n) if not blank[j] and self._in(rows[j], whole)]) and same[0] == k:
-                    last = same[-1]
+                if known and (equal := [j for j in range(k, n) if not blank[j] and self._in(rows[j], whole)]) and equal[0] == k:
+                    last = equal[-1]
                     tail = [j for j in range(last + 1, n) if not blank[j]]
                     if len(tail) <= 1 and not any(self._is_name(rows[j]) or _SIGN.match(rows[j]) for j in tail):
                         last = n - 1
-                old[i : last + 1] = [True] * (last + 1 - i)
-        self._copies(rows, blank, old, whole, known, ancestor)
-        self._signatures(rows, blank, old)
-        return [i + 1 for i in range(n) if not old[i] and not blank[i]]
+                take(i, last + 1)
 
     @staticmethod
     def _marked(rows, marks, old, blank, intros, whole, known) -> None:
@@ -180,7 +326,7 @@ class Reducer:
                     continue
                 if _PATH.match(rows[i]) and bone(rows[i][1:]) not in known and (known or not intros):
                     continue
-                old[i] = True
+                old[i] = FORM
 
     def _in(self, line: str, whole: str) -> bool:
         b = bone(unmarked(line)[1])
@@ -198,19 +344,31 @@ class Reducer:
             return 2
         return 0
 
-    def _copies(self, rows, blank, old, whole, known, ancestor) -> None:
-        """Paragraphs copied from the ancestor without any mark: abnormal gain, then whole lines that overlap."""
-        if not known:
-            return
-        data = ancestor.encode()
-        for a, b in _paragraphs(rows, blank, old):
-            text = "\n".join(rows[a:b])
-            if len(text) < 60 or gain(text, data) < GAIN:
+    @staticmethod
+    def _copies(rows, blank, marks, old, same) -> None:
+        """Runs copied from the ancestor without any mark: two lines of some length or more, one after another but for blanks."""
+        run: list[int] = []
+        for i in range(len(rows) + 1):
+            if i < len(rows) and (blank[i] and run or same[i] and marks[i] is None):
+                if not blank[i]:
+                    run.append(i)
                 continue
-            same = [i for i in range(a, b) if len(bone(rows[i])) > 20 and bone(rows[i]) in whole]
-            if sum(len(rows[i]) for i in same) >= 0.8 * len(text) and len(same) > 1:
-                for i in range(a, b):
-                    old[i] = True
+            if sum(len(bone(rows[j])) > 20 for j in run) > 1:
+                for j in run:
+                    old[j] = old[j] or ANCESTOR
+            run = []
+
+    @staticmethod
+    def _own(rows, blank, old, own: Dictionary) -> None:
+        """The sender's closings: the last lines that aren't quoted, as far as they stand in the dictionary and shrink abnormally."""
+        i, block = len(rows) - 1, []
+        while i >= 0 and (blank[i] or old[i] or figures(bone(rows[i])) in own.lines and not _BYE.match(rows[i].strip())):
+            if not blank[i] and not old[i]:
+                block.append(i)
+            i -= 1
+        if block and own.gain("\n".join(rows[i] for i in reversed(block))) >= GAIN:
+            for i in block:
+                old[i] = OWN_CLOSING
 
     def _signatures(self, rows, blank, old) -> None:
         n = len(rows)
@@ -220,10 +378,15 @@ class Reducer:
                 i += 1
                 continue
             x = rows[i]
-            end = i
+            end, how = i, FORM
             while end < n and not blank[end] and not old[end]:
                 end += 1
-            if _FOOTER.match(x):
+            if not self.forms:
+                if not ((i == 0 or blank[i - 1] or old[i - 1]) and (how := self._closing(rows[i:end]))):
+                    i += 1
+                    continue
+                stop = end
+            elif _FOOTER.match(x):
                 stop = end
             elif _SIGN.match(x):
                 k = i + 1
@@ -235,69 +398,82 @@ class Reducer:
                 for k in range(i + 1, end):
                     if _SIGN.match(rows[k]) or _FOOTER.match(rows[k]):
                         break
-            elif (i == 0 or blank[i - 1] or old[i - 1]) and self._closing(rows[i:end]):
-                stop = end
-            elif _DEVICE.match(x) or figures(bone(x)) in self.closings and not _BYE.match(x.strip()) and any(old[k] or _BYE.match(rows[k].strip()) for k in range(max(0, i - 3), i)):
+            elif (i == 0 or blank[i - 1] or old[i - 1]) and (taken := self._closing(rows[i:end])):
+                stop, how = end, taken
+            elif _DEVICE.match(x) or figures(bone(x)) in self.closings.known and not _BYE.match(x.strip()) and any(old[k] or _BYE.match(rows[k].strip()) for k in range(max(0, i - 3), i)):
                 stop = i + 1
             else:
                 i += 1
                 continue
             for k in range(i, stop):
-                old[k] = True
+                old[k] = how
             i = max(stop, i + 1)
 
 
-def _paragraphs(rows, blank, old):
-    a = None
-    for i in range(len(rows) + 1):
-        inside = i < len(rows) and not blank[i] and not old[i]
-        if inside and a is None:
-            a = i
-        elif not inside and a is not None:
-            yield a, i
-            a = None
-
-
 def figures(b: str) -> str:
     return re.sub(r"\d", "9", b)
 
 
-def learn_closings(messages: DataFrame) -> list[str]:
-    """Sentences that stand below signature marks and closing phrases and hardly elsewhere, from all messages without quotations.
-
-    Counted in each task before they are shuffled; what is kept is a vocabulary of phrases that many messages share,
-    cut at ``MOST`` by how often they occur.
+def _below(text: str) -> tuple[list[str], list[str]]:
+    """The sender's own lines above and below the last signature mark, closing phrase or initials; copies below headers are no own lines."""
+    rows = [x.rstrip("\r") for x in text.split("\n")]
+    marks = [bool(_MARK.match(x)) for x in rows]
+    own = []
+    for i, x in enumerate(rows):
+        if not x.strip() or marks[i]:
+            continue
+        if _HEADER_MARK.match(x) or _HEADER.match(x) or _INTRO_END.search(x) and not any(marks[i + 1 : i + 4]):
+            break
+        if not _INTRO_END.search(x) and not (i + 1 < len(rows) and _INTRO_START.match(x) and _INTRO_END.search(rows[i + 1])):
+            own.append(x)
+    tail = max((i for i, x in enumerate(own) if _SIGN.match(x) or _BYE.match(x.strip()) or _INITIALS.match(x.strip())), default=None)
+    if tail is None:
+        return own, []
+    # marks just above belong to what is below
+    return own[: tail + 1], [x.strip() for x in own[tail + 1 :]]
+
+
+def learn_closings(messages: DataFrame) -> tuple[list[str], DataFrame]:
+    """The archive's closings, and ``sender``, ``own``: those of each sender; from the unquoted lines of all messages.
+
+    Lines are counted in each task before they are shuffled, as hashes and, where they stand below a signature, with the
+    line. A closing stands there in ``TAIL`` of its occurrences; figures count as equal. The archive's have ``COMMON`` of
+    all lines there, so there are 50 000 at most; a sender's stand in ``TWICE`` messages and have ``OWN`` of the
+    sender's, so there are 500 at most.
     """
 
     def run(batches):
         by: Counter = Counter()
+        line: dict = {}
         for df in batches:
-            for text in df["text"]:
-                rows = [x.rstrip("\r") for x in text.split("\n")]
-                while rows and not rows[-1].strip():
-                    rows.pop()
-                tail = max((i for i, x in enumerate(rows) if _SIGN.match(x) or _BYE.match(x.strip()) or _INITIALS.match(x.strip())), default=None)
-                if tail is None or any(_MARK.match(x) or _INTRO_END.search(x) for x in rows):
-                    continue
-                part: list[str] = []
-                for i, x in enumerate([*rows, ""]):
-                    if x.strip() and not _MARK.match(x):
-                        part.append(x.strip())
-                    elif part:
-                        for below in (False, True):
-                            own = [y for k, y in enumerate(part, i - len(part)) if (k > tail) == below and not _BYE.match(y)]
-                            for s in {figures(bone(y)) for y in [*own, *re.split(r"(?<=[.!?:]) ", " ".join(own))]}:
-                                if 12 <= len(s) <= 200:
-                                    by[s, below] += 1
-                        part = []
+            for who, text in zip(df["sender"], df["text"]):
+                above, below = _below(text)
+                for x in {figures(bone(x)) for x in above}:
+                    by[None, xxhash.xxh64_intdigest(x) - (1 << 63)] += 1
+                for k, x in {figures(bone(x)): x for x in below}.items():
+                    if k and not _BYE.match(x):
+                        h = xxhash.xxh64_intdigest(k) - (1 << 63)
+                        by[who or "", h] += 1
+                        line[h] = x
             if len(by) > 300_000:
-                yield pd.DataFrame([(s, t, k) for (s, t), k in by.items()], columns=["s", "below", "n"])
+                yield table(by, line)
                 by.clear()
-        yield pd.DataFrame([(s, t, k) for (s, t), k in by.items()], columns=["s", "below", "n"])
+                line.clear()
+        yield table(by, line)
 
-    rows = spread(messages.where("text is not null").select("text")).mapInPandas(run, "s STRING, below BOOLEAN, n BIGINT")
-    total = rows.groupBy("s").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("below"), F.col("n")).otherwise(0)).alias("b"))
-    return [r.s for r in total.where((F.col("b") >= CLOSING) & (F.col("b") >= TAIL * F.col("n"))).orderBy(F.desc("b"), "s").limit(MOST).collect()]
+    def table(by, line):
+        return pd.DataFrame([(w, h, None if w is None else line[h], n) for (w, h), n in by.items()], columns=["sender", "h", "line", "n"])
+
+    texts = messages.where("text is not null").select(F.lower("from_email").alias("sender"), "text")
+    rows = save(spread(texts).mapInPandas(run, "sender STRING, h BIGINT, line STRING, n BIGINT"), "closings")
+    below = F.when(F.col("sender").isNotNull(), F.col("n")).otherwise(0)
+    total = rows.groupBy("h").agg(F.sum("n").alias("n"), F.sum(below).alias("b"), F.max("line").alias("line")).where((F.col("b") > 0) & (F.col("b") >= TAIL * F.col("n")))
+    size = rows.where("sender is not null").agg(F.sum("n").alias("n")).collect()[0].n or 0
+    common = total.where(F.col("b") >= max(CLOSING, COMMON * size)).select("line").collect()
+    of = rows.where("sender <> ''").groupBy("sender", "h").agg(F.sum("n").alias("n"), F.max("line").alias("line"))
+    most = of.groupBy("sender").agg(F.sum("n").alias("all"))
+    of = of.where(F.col("n") >= TWICE).join(most, "sender").where(F.col("n") >= OWN * F.col("all")).join(total.select("h"), "h", "left_semi")
+    return sorted(r.line for r in common), of.groupBy("sender").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("own"))
 
 
 @lru_cache(2)
@@ -305,38 +481,46 @@ def _reducer(given: tuple, endings: tuple, closings: tuple) -> Reducer:
     return Reducer(_names(given, endings), closings)
 
 
-def with_ancestors(messages: DataFrame) -> DataFrame:
-    """``seq``, ``text``, ``before``: each message with the text of the kept row its ``in_reply_to`` names, or null.
+def with_dictionaries(messages: DataFrame, closings: DataFrame) -> DataFrame:
+    """``seq``, ``text``, ``before``, ``own``: each message with the text of the kept row its ``in_reply_to`` names, and its sender's closings, or null.
 
-    Rows without a link aren't shuffled. Texts that no message answers are left out before the join, and adaptive
-    execution splits an ancestor that very many messages answer.
+    A sender's rows are dealt into ``SALT`` pieces, each with a copy of the (short) closings. Texts of ancestors are
+    moved once: the aggregate that picks the kept row of an identifier leaves them where the replies are joined, and
+    adaptive execution splits an ancestor that very many messages answer. Rows without a link aren't part of that join.
     """
     ref = F.when(F.col("in_reply_to") != "", clean_id(F.col("in_reply_to")))
-    rows = messages.where("text is not null").select("seq", "text", ref.alias("ref"))
+    rows = messages.where("text is not null").select("seq", "text", ref.alias("ref"), F.lower("from_email").alias("sender"), F.pmod("seq", F.lit(SALT)).alias("salt"))
+    dealt = closings.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")))
+    rows = rows.join(dealt, ["sender", "salt"], "left").select("seq", "text", "ref", "own")
     ident = clean_id(F.col("message_id"))
-    asked = rows.where("ref is not null").select(F.col("ref").alias("id")).distinct()
-    first = first_of_each(messages, ident)
-    ids = messages.where(ident.isNotNull()).select("seq", ident.alias("id")).join(first, "seq", "left_semi").join(asked, "id")
-    texts = messages.where("text is not null").select("seq", F.col("text").alias("before")).join(ids, "seq").select("id", "before")
+    texts = messages.where(ident.isNotNull()).groupBy(ident.alias("id")).agg(F.min_by("text", "seq").alias("before")).where("before is not null")
     replies = rows.where("ref is not null")
-    return replies.join(texts, replies["ref"] == texts["id"], "left").select("seq", "text", "before").unionByName(rows.where("ref is null").select("seq", "text", F.lit(None).cast("string").alias("before")))
+    alone = rows.where("ref is null").select("seq", "text", F.lit(None).cast("string").alias("before"), "own")
+    return replies.join(texts, replies["ref"] == texts["id"], "left").select("seq", "text", "before", "own").unionByName(alone)
 
 
-def new_lines(messages: DataFrame) -> DataFrame:
-    """``seq``, ``line_no``, ``line``: the lines newly written by the sender, lines counted from 1 between line feeds.
+def settled_lines(messages: DataFrame) -> DataFrame:
+    """``seq``, ``line_no``, ``line``, ``how`` of every non-blank line, lines counted from 1 between line feeds.
 
-    Null, empty and blank texts have none; repeated rows are given as often as they stand.
+    ``how`` is ``new``, or what settled that it isn't: ``ancestor`` and ``closing`` by compression and exact overlap, ``form``.
+    Null, empty and blank texts have no line; repeated rows are given as often as they stand.
     """
     given, endings = map(tuple, learn_names(messages))
-    closings = tuple(learn_closings(messages))
+    common, closings = learn_closings(messages)
+    common = tuple(common)
 
     def run(batches):
-        r = _reducer(given, endings, closings)
+        r = _reducer(given, endings, common)
         for df in batches:
             rows = []
-            for seq, text, before in zip(df["seq"], df["text"], df["before"]):
-                parts = text.split("\n")
-                rows += [(seq, i, parts[i - 1]) for i in r.lines(text, before if isinstance(before, str) else None)]
-            yield pd.DataFrame(rows, columns=["seq", "line_no", "line"])
+            for seq, text, before, own in zip(df["seq"], df["text"], df["before"], df["own"]):
+                how = r.decide(text, before if isinstance(before, str) else None, own if isinstance(own, str) else None)
+                rows += [(seq, i, x, h) for i, (x, h) in enumerate(zip(text.split("\n"), how), 1) if h != BLANK]
+            yield pd.DataFrame(rows, columns=["seq", "line_no", "line", "how"])
+
+    return with_dictionaries(messages, closings).mapInPandas(run, "seq BIGINT, line_no INT, line STRING, how STRING")
 
-    return with_ancestors(messages).mapInPandas(run, "seq BIGINT, line_no INT, line STRING")
+
+def new_lines(messages: DataFrame) -> DataFrame:
+    """``seq``, ``line_no``, ``line``: the lines newly written by the sender, of :func:`settled_lines`."""
+    return settled_lines(messages).where(F.col("how") == NEW).drop("how")

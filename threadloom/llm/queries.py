@@ -3,7 +3,7 @@
 from threadloom.llm.consensus import consensus
 from threadloom.llm.conversations import conversations
 from threadloom.llm.encoding import examine
-from threadloom.llm.newtext import new_lines
+from threadloom.llm.newtext import new_lines, settled_lines
 from threadloom.llm.packing import fill, pack
 from threadloom.llm.privacy import find as find_items
 from threadloom.llm.privacy import replace as replace_items
@@ -60,6 +60,11 @@ def p7_lines(spark, d):
     return new_lines(table(spark, d, "messages"))
 
 
+def p7_settled(spark, d):
+    """How many lines are new, and how many others compression or their form settled."""
+    return settled_lines(table(spark, d, "messages")).groupBy("how").count()
+
+
 def p8_ids(spark, d):
     return token_ids(table(spark, d, "documents"))
 
@@ -80,5 +85,5 @@ def p10_clean(spark, d):
     return clean_documents(table(spark, d, "documents")).select("doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_conversations": p3_conversations, "p4_found": p4_found, "p4_placeholders": p4_placeholders, "p4_surrogates": p4_surrogates, "p5_found": p5_found, "p5_agreement": p5_agreement, "p5_reliability": p5_reliability, "p7_found": p7_found, "p7_lines": p7_lines, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_clean": p10_clean}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_conversations": p3_conversations, "p4_found": p4_found, "p4_placeholders": p4_placeholders, "p4_surrogates": p4_surrogates, "p5_found": p5_found, "p5_agreement": p5_agreement, "p5_reliability": p5_reliability, "p7_found": p7_found, "p7_lines": p7_lines, "p7_settled": p7_settled, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill, "p10_found": p10_found, "p10_clean": p10_clean}
 SQL = {}
