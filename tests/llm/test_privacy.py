@@ -35,30 +35,61 @@ def test_find_and_replace(messages):
     m = messages(rows, ", kind STRING, item STRING, code STRING")
     got = {(r.seq, r.kind, r.item) for r in P.find(m).collect()}
     assert got == {(20, "name", "aliceyariholt"), (20, "email", "ayxtest"), (20, "phone", "600000492")}
-    r = P.replace(m).where("seq = 20").collect()[0]
+    r = P.replace(m, "k").where("seq = 20").collect()[0]
     assert "YARIHOLT" not in r.text and "600000492" not in r.text and r.from_name in r.text and r.from_email in r.text and r.text.startswith("Ask [NAME_")
-    s = P.replace(m, style="surrogate").where("seq = 20").collect()[0]
-    assert s.from_email.endswith("@x.test") and "ay@" not in s.text and s.from_email in s.text
-    assert P.replace(m).where("seq = 21").collect()[0].text == "" and P.find(messages([])).count() == 0
+    s = P.replace(m, "k", style="surrogate").where("seq = 20").collect()[0]
+    assert s.from_email.endswith(".test") and "@x." not in s.from_email and "ay@" not in s.text and s.from_email in s.text
+    assert s.text.startswith(f"Ask {s.from_name.upper()} or ")
+    assert P.replace(m, "k").where("seq = 21").collect()[0].text == "" and P.find(messages([])).count() == 0
 
 
 def test_surrogates_keep_the_form():
     assert P.surrogate("phone", "(212) 555-0188", "2125550188", "k")[:5] == "(212)"
-    for w in ("Alice Yariholt", "YARIHOLT Alice", "Yariholt, Alice", "A. Yariholt", "alice yariholt"):
-        s = P.surrogate("name", w, "x", "k")
-        assert s != w and s.islower() == w.islower() and ("," in s) == ("," in w)
     assert P.surrogate("street", "188 Willow Avenue", "x", "k").endswith(" Avenue")
+    host = lambda w: P.surrogate("email", w, P.item(w), "k")
+    assert host("a.b@news.x.test") == host("a.b [at] news [dot] x [dot] test").replace(" [at] ", "@").replace(" [dot] ", ".") and "news" not in host("a.b@news.x.test")
+    with pytest.raises(ValueError):
+        P.replace(None, "")
 
 
-def test_clashes(spark, monkeypatch):
-    df = spark.createDataFrame([("phone", str(i)) for i in range(600)], "kind STRING, item STRING")
-    assert P.clashes(df, "k") == []
+def test_a_person_stays_one():
+    one = lambda w: P.surrogate_name(w, NAMES, "k", {})
+    given, family = one("Alice Yariholt").split(" ")
+    assert one("Yariholt, Alice") == f"{family}, {given}" and one("YARIHOLT Alice") == f"{family.upper()} {given}" and one("ALICE YARIHOLT") == f"{given} {family}".upper() and one("alice yariholt") == f"{given} {family}".lower()
+    assert one("A. Yariholt") == f"{given[0]}. {family}" and one("Alice\n> Yariholt") == f"{given}\n> {family}" and one("Alice de la Yariholt") == f"{given} de la {family}" and one("Zoé Yariholt").endswith(" " + family)
+    assert one("Alice Yariholt-Garozan").split(" ")[1] == f"{family}-{one('Zoé Garozan').split(' ')[1]}"
+    assert given.endswith("a") and one("Gérard Yariholt").split(" ")[0].endswith("o") and one("Luca Yariholt").split(" ")[0].endswith("o")
+    assert one("Анна Петрова") != "Анна Петрова" and all("\u0400" <= c <= "\u04ff" for c in one("Анна Петрова") if c != " ") and len(one("山田")) >= 2 and not one("山田").isascii()
+    assert len({one(f"{c}. Yariholt") for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZÉ"}) == 27
+
+
+def test_short_family_names(messages):
+    names = P.Names(["Alice", "Jan"], ["holt", "^kim", "^diaz"])
+    text = "Ask Alice Kim or DIAZ, Jan. Kimono and A. Kim, not kim alone, nor Alice Kimble."
+    assert {text[a:b] for a, b in names.find(text)} == {"Alice Kim", "DIAZ, Jan", "A. Kim"}
+    m = messages([{"seq": i, "from_name": f"{g} {f}"} for i, (g, f) in enumerate((g, f) for g in ("Alice", "Jan") for f in ("Kim", "Diaz", "Yariholt", "Wesiholt", "Po"))])
+    assert [set(x) for x in P.learn_names(m)] == [{"Alice", "Jan"}, {"holt", "^kim", "^diaz", "^po"}]
+
+
+def test_many_names_are_the_same_as_few(monkeypatch):
+    text = "Alice Yariholt, CORINIER Gérard and ZoÃ© de la Garozan; Garozan, Óscar. P. Garozan, Bob Yariholt"
+    few = [text[a:b] for a, b in NAMES.find(text)]
+    monkeypatch.setattr(P, "PATTERN", 1)
+    many = P.Names(GIVEN, ENDINGS)
+    assert [text[a:b] for a, b in many.find(text)] == few and len(few) == 5 and many.is_given("Zoé") and not many.is_given("Zoé b") and not many.is_given("Bob")
+
+
+def test_clashes(spark):
+    df = spark.createDataFrame([("phone", str(i)) for i in range(600)] * 2, "kind STRING, item STRING")
+    assert P.clashes(df, "k").count() == 0
+    shared = P.clashes(df, "k", size=1).collect()  # 600 items on 256 codes
+    assert len(shared) > 100 and all(r["items"] > 1 for r in shared)
 
 
 def test_surrogates_are_distinct(spark, messages):
     people = [f"{g} {chr(65 + i // 26 % 26)}{chr(97 + i % 26)}{'abcdefg'[i // 676]}riholt" for i in range(4500) for g in ("Alice", "Zoé")]
     m = messages([{"seq": i, "from_name": n, "from_email": f"a{i}@x.test", "text": None} for i, n in enumerate([*people, "山田", "田中"])])
-    got = P.replace(m, style="surrogate").collect()
+    got = P.replace(m, "k", style="surrogate").collect()
     assert len({r.from_name for r in got}) == len({r.from_email for r in got}) == 9002
     assert len({P.surrogate("phone", f"(212) 555-{i:04d}", f"212555{i:04d}", "k") for i in range(10_000)}) == 10_000
     assert len({P.surrogate("id_number", f"AB {i:03d} C", f"ab{i:03d}c", "k") for i in range(1000)}) == 1000
