@@ -29,10 +29,22 @@ def test_truth_is_found(spark):
     out, people = C.consensus(_table(spark, rows))
     got = {r.sid: r for r in out.collect()}
     assert sum(got[s].tag == t for s, t in truth.items()) / len(truth) > 0.9
-    r = dict(zip(people["annotator"], people["reliability"]))
+    r = {x.annotator: x.reliability for x in people.collect()}
     assert r["good1"] > r["mid"] > r["spam1"] and all(0 <= x.agreement <= 1 for x in got.values())
 
 
+def test_many_annotators_by_join(spark):
+    """Beyond the bound of the broadcast: the same acts and bounds, one for every annotator."""
+    random.seed(5)
+    acts = {f"{i}": random.choice(C.TAGS[:6]) for i in range(150)}
+    rows = [("t", i, f"a{random.randrange(40)}", 1, t if random.random() < 0.8 else random.choice(C.TAGS)) for i, t in acts.items() for _ in range(4)]
+    few, many = C.consensus(_table(spark, rows)), C.consensus(_table(spark, rows), sent=3)
+    one = lambda r: (r.sid, r.tag, round(r.support, 3), round(r.agreement, 6), r.labels)
+    assert sorted(map(one, few[0].collect())) == sorted(map(one, many[0].collect()))
+    two = lambda r: (r.annotator, r.n, round(r.error_bound, 3))
+    assert sorted(map(two, few[1].collect())) == sorted(map(two, many[1].collect())) and many[1].count() == len({a for _, _, a, _, _ in rows})
+
+
 def test_few_labels_and_empty(spark):
     out, _ = C.consensus(_table(spark, [("t", "1", a, 1, "O") for a in "ab"] + [("t", "2", a, 1, g) for a, g in zip("abc", ("U", "O", "CIV"))]))
     assert [r.sid for r in out.collect()] == ["2"]

@@ -62,7 +62,7 @@ def p5_agreement(spark, d):
 
 
 def p5_reliability(spark, d):
-    return spark.createDataFrame(consensus(table(spark, d, "bc3_labelled"))[1], "annotator STRING, n BIGINT, error_bound DOUBLE, reliability DOUBLE")
+    return consensus(table(spark, d, "bc3_labelled"))[1]
 
 
 def p7_found(spark, d):
