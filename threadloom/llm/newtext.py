@@ -15,7 +15,8 @@ import zlib
 from collections import Counter
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,12 +64,32 @@ _LEGAL = re.compile(
     r"confiden|vertraulich|privileged|rechtlich gesch|informations prot|AVISO LEGAL|^NOTICE:|^HINWEIS:|^AVIS ?:|no liability|haften nicht|responsables de|intended only|destinat|bestimmt\b|before printing|avant d['’]imprimer|Ausdruck n|antes de imprimir|decline toute|free of errors|bind the company|is forbidden|est interdite|nicht gestattet|sin autoriz",
     re.M,
 )
-_NOISE = re.compile(rf"[\s{X}]+")
+_FOREIGN = re.compile(rf"[{X}]+")
 
 
 def bone(s: str) -> str:
     """What is compared: no blanks, no characters that decoding may have changed."""
-    return _NOISE.sub("", s)
+    s = "".join(s.split())
+    return s if s.isascii() else _FOREIGN.sub("", s)
+
+
+_ODD_BLANK = re.compile("[\x0b\x0c\x1c-\x1f]")
+
+
+def bones(text: str) -> list[str]:
+    """:func:`bone` of each line of a text."""
+    t = text.replace(" ", "").replace("\t", "").replace("\r", "")
+    if not t.isascii():
+        t = _FOREIGN.sub("", t)
+    if _ODD_BLANK.search(t):
+        t = _ODD_BLANK.sub("", t)
+    return t.split("\n")
+
+
+def mark_of(line: str):
+    """The match of a quotation mark at the start of a line that isn't blank."""
+    c = line[0]
+    return _MARK.match(line) if not c.islower() and (not c.isascii() or not c.isalnum() or ">" in line[1:4]) else None
 
 
 def unmarked(line: str) -> tuple[int, str]:
@@ -84,10 +105,8 @@ class Dictionary:
 
     def __init__(self, text: str, masked: bool = False):
         self.text, self.hit = text, 0
-        bones = [bone(unmarked(x)[1]) for x in text.split("\n")]
-        if masked:
-            bones = [figures(x) for x in bones]
-        self.whole, self.lines = "".join(bones), frozenset(x for x in bones if x)
+        all_ = [bone(unmarked(x)[1]) if x and mark_of(x) else b for x, b in zip(text.split("\n"), bones(figures(text) if masked else text))]
+        self.whole, self.lines = "".join(all_), frozenset(all_) - {""}
         self._pieces: list[bytes] | None = None
 
     @property
@@ -120,12 +139,14 @@ class Dictionary:
         return 1 - rest / plain if plain else 0.0
 
 
-def _packed(raw: bytes, dictionary: bytes | None = None) -> int:
-    z = zlib.compressobj(6, zlib.DEFLATED, -15, 8, zlib.Z_DEFAULT_STRATEGY, *([dictionary] if dictionary else []))
+def _packed(raw: bytes, dictionary: bytes = b"") -> int:
+    # a small window suffices, and is sooner made, where all fits in it
+    bits, memory = (-13, 5) if len(raw) + len(dictionary) < 7_900 else (-15, 8)
+    z = zlib.compressobj(6, zlib.DEFLATED, bits, memory, zlib.Z_DEFAULT_STRATEGY, *([dictionary] if dictionary else []))
     return len(z.compress(raw)) + len(z.flush())
 
 
-@lru_cache(2048)
+@lru_cache(8192)
 def _dictionary(text: str, masked: bool = False) -> Dictionary:
     return Dictionary(text, masked)
 
@@ -141,7 +162,6 @@ class Closings:
 
     @staticmethod
     def shingles(words: list[str]) -> list[tuple]:
-        words = [figures(x) for x in words]
         return list(zip(*(words[i:] for i in range(SHINGLE))))
 
     def taken(self, text: str) -> bool:
@@ -149,6 +169,9 @@ class Closings:
         words = text.split()
         if len(words) < 2 * SHINGLE or not self.index:
             return False
+        # what covers so much holds runs that some of every third shingle lies in
+        if not any(tuple(words[i : i + SHINGLE]) in self.index for i in range(0, len(words), 3)):
+            return False
         found = [self.index.get(w) for w in self.shingles(words)]
         if sum(x is not None for x in found) < COVERED / 2 * len(words):
             return False
@@ -172,7 +195,6 @@ class Reducer:
     def __init__(self, names: Names, closings, forms: bool = True):
         self.names, self.closings, self.forms = names, Closings(closings), forms
         self.seen: dict = {}
-        self.given = names.given_line if names.full is not None else None
 
     def _is_name(self, line: str) -> bool:
         if (out := self.seen.get(line)) is None:
@@ -186,13 +208,13 @@ class Reducer:
             s = s[2:].strip()
         if not s or len(s) > 90 or s[-1] in ",:?!" or s.count(" ") > 6:
             return False
-        if _INITIALS.match(s) or self.given is not None and self.given.match(s):
+        if _INITIALS.match(s) or self.names.is_given(s):
             return True
         s = re.sub(r"\s*[<(]\S+@\S+[>)]$", "", s)
         return any(b - a >= len(s) for a, b in self.names.find(s))
 
-    def _closing(self, part: list[str]) -> str | None:
-        """Whether the lines of a paragraph are known closings, by the archive's closings or by legal words and exact sentences."""
+    def _closing(self, part: list[str], keys) -> str | None:
+        """Whether the lines of a paragraph are known closings, by the archive's closings or by legal words and exact sentences; ``keys``: what is compared of each."""
         if any(_BYE.match(x.strip()) for x in part):
             return None
         text = " ".join(x.strip() for x in part)
@@ -204,7 +226,7 @@ class Reducer:
         if legal > 1 or all(_DEVICE.match(x) for x in part):
             return FORM
         known = self.closings.known
-        if not legal and not any(figures(bone(x)) in known for x in part):
+        if not legal and not any(k in known for k in keys):
             return None
         sentences = [b for x in re.split(r"(?<=[.!?:]) ", text) if (b := figures(bone(x)))]
         size = sum(map(len, sentences))
@@ -220,9 +242,10 @@ class Reducer:
         n = len(rows)
         old: list = [None] * n
         blank = [not x or x.isspace() for x in rows]
-        marks = [None if blank[i] or not (m := _MARK.match(x)) else m[0].strip() for i, x in enumerate(rows)]
+        marks = [None if blank[i] or not (m := mark_of(x)) else m[0].strip() for i, x in enumerate(rows)]
         source = _dictionary(ancestor) if ancestor else None
-        same = self._overlaps(rows, blank, marks, source) if source else old
+        bare = bones(text)
+        same = self._overlaps(rows, blank, marks, source, bare) if source else old
         if source:
             for i in range(n):
                 if same[i] and marks[i] is not None:
@@ -230,14 +253,16 @@ class Reducer:
         if self.forms:
             self._quotations(rows, blank, marks, old, same, source, ancestor)
         if source:
-            self._copies(rows, blank, marks, old, same)
+            self._copies(blank, marks, old, same, bare)
+        # what is compared of the lines that are left
+        keys = [None if blank[i] or old[i] else figures(b) for i, b in enumerate(bare)]
         if own:
-            self._own(rows, blank, old, _dictionary(own, True))
-        self._signatures(rows, blank, old)
+            self._own(rows, blank, old, _dictionary(own, True), keys)
+        self._signatures(rows, blank, old, keys)
         return [BLANK if blank[i] else old[i] or NEW for i in range(n)]
 
     @staticmethod
-    def _overlaps(rows, blank, marks, source) -> list:
+    def _overlaps(rows, blank, marks, source, bare) -> list:
         """Which lines stand in the ancestor: those of paragraphs with abnormal gain that overlap exactly."""
         n, out = len(rows), [None] * len(rows)
         a = 0
@@ -258,7 +283,7 @@ class Reducer:
                 else:
                     x, short = unmarked(rows[i])[1], 3 if marks[i][:1] == ">" else 8
                 plain.append(x)
-                k = bone(x)
+                k = bare[i] if marks[i] is None else bone(x)
                 if k and (k in source.lines and (marks[i] is None or marks[i][:1] == ">" or len(k) > 8) or len(k) > short and k in source.whole):
                     hits.append(i)
             if hits and source.gain("\n".join(plain)) >= GAIN:
@@ -345,24 +370,24 @@ class Reducer:
         return 0
 
     @staticmethod
-    def _copies(rows, blank, marks, old, same) -> None:
+    def _copies(blank, marks, old, same, bare) -> None:
         """Runs copied from the ancestor without any mark: two lines of some length or more, one after another but for blanks."""
         run: list[int] = []
-        for i in range(len(rows) + 1):
-            if i < len(rows) and (blank[i] and run or same[i] and marks[i] is None):
+        for i in range(len(blank) + 1):
+            if i < len(blank) and (blank[i] and run or same[i] and marks[i] is None):
                 if not blank[i]:
                     run.append(i)
                 continue
-            if sum(len(bone(rows[j])) > 20 for j in run) > 1:
+            if sum(len(bare[j]) > 20 for j in run) > 1:
                 for j in run:
                     old[j] = old[j] or ANCESTOR
             run = []
 
     @staticmethod
-    def _own(rows, blank, old, own: Dictionary) -> None:
+    def _own(rows, blank, old, own: Dictionary, keys) -> None:
         """The sender's closings: the last lines that aren't quoted, as far as they stand in the dictionary and shrink abnormally."""
         i, block = len(rows) - 1, []
-        while i >= 0 and (blank[i] or old[i] or figures(bone(rows[i])) in own.lines and not _BYE.match(rows[i].strip())):
+        while i >= 0 and (blank[i] or old[i] or keys[i] in own.lines and not _BYE.match(rows[i].strip())):
             if not blank[i] and not old[i]:
                 block.append(i)
             i -= 1
@@ -370,7 +395,7 @@ class Reducer:
             for i in block:
                 old[i] = OWN_CLOSING
 
-    def _signatures(self, rows, blank, old) -> None:
+    def _signatures(self, rows, blank, old, keys) -> None:
         n = len(rows)
         i = 0
         while i < n:
@@ -382,13 +407,13 @@ class Reducer:
             while end < n and not blank[end] and not old[end]:
                 end += 1
             if not self.forms:
-                if not ((i == 0 or blank[i - 1] or old[i - 1]) and (how := self._closing(rows[i:end]))):
+                if not ((i == 0 or blank[i - 1] or old[i - 1]) and (how := self._closing(rows[i:end], keys[i:end]))):
                     i += 1
                     continue
                 stop = end
-            elif _FOOTER.match(x):
+            elif x[0] == "_" and _FOOTER.match(x):
                 stop = end
-            elif _SIGN.match(x):
+            elif x[0] in "-*_=~" and _SIGN.match(x):
                 k = i + 1
                 while k < n and blank[k] and not old[k]:
                     k += 1
@@ -398,9 +423,9 @@ class Reducer:
                 for k in range(i + 1, end):
                     if _SIGN.match(rows[k]) or _FOOTER.match(rows[k]):
                         break
-            elif (i == 0 or blank[i - 1] or old[i - 1]) and (taken := self._closing(rows[i:end])):
+            elif (i == 0 or blank[i - 1] or old[i - 1]) and (taken := self._closing(rows[i:end], keys[i:end])):
                 stop, how = end, taken
-            elif _DEVICE.match(x) or figures(bone(x)) in self.closings.known and not _BYE.match(x.strip()) and any(old[k] or _BYE.match(rows[k].strip()) for k in range(max(0, i - 3), i)):
+            elif _DEVICE.match(x) or keys[i] in self.closings.known and not _BYE.match(x.strip()) and any(old[k] or _BYE.match(rows[k].strip()) for k in range(max(0, i - 3), i)):
                 stop = i + 1
             else:
                 i += 1
@@ -410,27 +435,30 @@ class Reducer:
             i = max(stop, i + 1)
 
 
+_FIGURE = re.compile(r"\d")
+
+
 def figures(b: str) -> str:
-    return re.sub(r"\d", "9", b)
+    return _FIGURE.sub("9", b)
 
 
 def _below(text: str) -> tuple[list[str], list[str]]:
     """The sender's own lines above and below the last signature mark, closing phrase or initials; copies below headers are no own lines."""
     rows = [x.rstrip("\r") for x in text.split("\n")]
-    marks = [bool(_MARK.match(x)) for x in rows]
+    marks = [bool(x) and mark_of(x) is not None for x in rows]
     own = []
     for i, x in enumerate(rows):
-        if not x.strip() or marks[i]:
+        if marks[i] or not x or x.isspace():
             continue
-        if _HEADER_MARK.match(x) or _HEADER.match(x) or _INTRO_END.search(x) and not any(marks[i + 1 : i + 4]):
+        intro = x.rstrip().endswith(":") and _INTRO_END.search(x)
+        if x[0] in "-_FVD" and (_HEADER_MARK.match(x) or _HEADER.match(x)) or intro and not any(marks[i + 1 : i + 4]):
             break
-        if not _INTRO_END.search(x) and not (i + 1 < len(rows) and _INTRO_START.match(x) and _INTRO_END.search(rows[i + 1])):
-            own.append(x)
-    tail = max((i for i, x in enumerate(own) if _SIGN.match(x) or _BYE.match(x.strip()) or _INITIALS.match(x.strip())), default=None)
-    if tail is None:
-        return own, []
-    # marks just above belong to what is below
-    return own[: tail + 1], [x.strip() for x in own[tail + 1 :]]
+        if not intro and not (x[:3] in _INTRO_WORDS and i + 1 < len(rows) and rows[i + 1].rstrip().endswith(":") and _INTRO_START.match(x) and _INTRO_END.search(rows[i + 1])):
+            own.append(x.strip())
+    for i in range(len(own) - 1, -1, -1):
+        if _SIGN.match(own[i]) or _BYE.match(own[i]) or _INITIALS.match(own[i]):
+            return own[: i + 1], own[i + 1 :]
+    return own, []
 
 
 def learn_closings(messages: DataFrame) -> tuple[list[str], DataFrame]:
@@ -445,14 +473,14 @@ def learn_closings(messages: DataFrame) -> tuple[list[str], DataFrame]:
     def run(batches):
         by: Counter = Counter()
         line: dict = {}
-        for df in batches:
-            for who, text in zip(df["sender"], df["text"]):
+        for batch in batches:
+            for who, text in zip(batch.column("sender").to_pylist(), batch.column("text").to_pylist()):
                 above, below = _below(text)
-                for x in {figures(bone(x)) for x in above}:
-                    by[None, xxhash.xxh64_intdigest(x) - (1 << 63)] += 1
-                for k, x in {figures(bone(x)): x for x in below}.items():
+                for x in set(bones(figures("\n".join(above)))):
+                    by[None, xxhash.xxh64_intdigest(x)] += 1
+                for k, x in dict(zip(bones(figures("\n".join(below))), below)).items():
                     if k and not _BYE.match(x):
-                        h = xxhash.xxh64_intdigest(k) - (1 << 63)
+                        h = xxhash.xxh64_intdigest(k)
                         by[who or "", h] += 1
                         line[h] = x
             if len(by) > 300_000:
@@ -462,10 +490,11 @@ def learn_closings(messages: DataFrame) -> tuple[list[str], DataFrame]:
         yield table(by, line)
 
     def table(by, line):
-        return pd.DataFrame([(w, h, None if w is None else line[h], n) for (w, h), n in by.items()], columns=["sender", "h", "line", "n"])
+        who, hashes = [w for w, _ in by], [h for _, h in by]
+        return pa.RecordBatch.from_arrays([pa.array(who, pa.string()), pa.array(np.array(hashes, "uint64").view("int64")), pa.array([None if w is None else line[h] for w, h in by], pa.string()), pa.array(list(by.values()), pa.int64())], ["sender", "h", "line", "n"])
 
     texts = messages.where("text is not null").select(F.lower("from_email").alias("sender"), "text")
-    rows = save(spread(texts).mapInPandas(run, "sender STRING, h BIGINT, line STRING, n BIGINT"), "closings")
+    rows = save(spread(texts).mapInArrow(run, "sender STRING, h BIGINT, line STRING, n BIGINT"), "closings")
     below = F.when(F.col("sender").isNotNull(), F.col("n")).otherwise(0)
     total = rows.groupBy("h").agg(F.sum("n").alias("n"), F.sum(below).alias("b"), F.max("line").alias("line")).where((F.col("b") > 0) & (F.col("b") >= TAIL * F.col("n")))
     size = rows.where("sender is not null").agg(F.sum("n").alias("n")).collect()[0].n or 0
@@ -499,28 +528,39 @@ def with_dictionaries(messages: DataFrame, closings: DataFrame) -> DataFrame:
     return replies.join(texts, replies["ref"] == texts["id"], "left").select("seq", "text", "before", "own").unionByName(alone)
 
 
-def settled_lines(messages: DataFrame) -> DataFrame:
+def settled_lines(messages: DataFrame, only: str | None = None, fields: tuple = ("seq", "line_no", "line", "how")) -> DataFrame:
     """``seq``, ``line_no``, ``line``, ``how`` of every non-blank line, lines counted from 1 between line feeds.
 
     ``how`` is ``new``, or what settled that it isn't: ``ancestor`` and ``closing`` by compression and exact overlap, ``form``.
-    Null, empty and blank texts have no line; repeated rows are given as often as they stand.
+    ``only`` leaves the lines of one kind, ``fields`` those columns. Null, empty and blank texts have no line; repeated rows are given as often as they stand.
     """
     given, endings = map(tuple, learn_names(messages))
     common, closings = learn_closings(messages)
     common = tuple(common)
 
+    columns = {"seq": pa.int64(), "line_no": pa.int32(), "line": pa.string(), "how": pa.string()}
+    columns = {k: columns[k] for k in fields}
+
     def run(batches):
         r = _reducer(given, endings, common)
-        for df in batches:
-            rows = []
-            for seq, text, before, own in zip(df["seq"], df["text"], df["before"], df["own"]):
-                how = r.decide(text, before if isinstance(before, str) else None, own if isinstance(own, str) else None)
-                rows += [(seq, i, x, h) for i, (x, h) in enumerate(zip(text.split("\n"), how), 1) if h != BLANK]
-            yield pd.DataFrame(rows, columns=["seq", "line_no", "line", "how"])
-
-    return with_dictionaries(messages, closings).mapInPandas(run, "seq BIGINT, line_no INT, line STRING, how STRING")
-
-
-def new_lines(messages: DataFrame) -> DataFrame:
+        for batch in batches:
+            rows: dict = {k: [] for k in columns}
+            for seq, text, before, own in zip(*(batch.column(c).to_pylist() for c in ("seq", "text", "before", "own"))):
+                how = r.decide(text, before, own)
+                at = [i for i, h in enumerate(how) if (h == only if only else h != BLANK)]
+                rows["seq"] += [seq] * len(at)
+                rows["line_no"] += [i + 1 for i in at]
+                if "line" in rows:
+                    lines = text.split("\n")
+                    rows["line"] += [lines[i] for i in at]
+                if "how" in rows:
+                    rows["how"] += [how[i] for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array(v, columns[k]) for k, v in rows.items()], list(columns))
+
+    types = {"seq": "BIGINT", "line_no": "INT"}
+    return with_dictionaries(messages, closings).mapInArrow(run, ", ".join(f"{k} {types.get(k, 'STRING')}" for k in columns))
+
+
+def new_lines(messages: DataFrame, fields: tuple = ("seq", "line_no", "line")) -> DataFrame:
     """``seq``, ``line_no``, ``line``: the lines newly written by the sender, of :func:`settled_lines`."""
-    return settled_lines(messages).where(F.col("how") == NEW).drop("how")
+    return settled_lines(messages, NEW, fields)

@@ -66,7 +66,7 @@ def p5_reliability(spark, d):
 
 
 def p7_found(spark, d):
-    return new_lines(table(spark, d, "messages")).select("seq", "line_no")
+    return new_lines(table(spark, d, "messages"), ("seq", "line_no"))
 
 
 def p7_lines(spark, d):
