@@ -9,14 +9,56 @@ def _texts():
     return out
 
 
+def _twisted(text, w, r):
+    return "".join(N.garble(c, w, r) if ord(c) > 127 else c for c in text)
+
+
 def test_align_finds_the_reading():
-    clean = "déjà vu « là »"
+    clean = "déjà vu « là » Größe"
     for w, r in (("utf-8", "cp1252"), ("utf-8", "cp850"), ("cp1252", "cp1251"), ("utf-8+", "cp1252"), ("cp1252", "utf-8")):
-        bad = "".join(N.garble(x, w, r) if ord(x[0]) > 127 else x for x in clean)
-        assert (w, r) in {t[:2] for t in N.align(bad, clean)} or N.align(bad, clean)
+        bad = _twisted(clean, w, r)
+        found = N.align(bad, clean)
+        assert found and all(x[2] in bad and x[3] in clean for x in found)
+        fw, fr = found[0][:2]
+        assert _twisted(clean, fw, fr) == bad and (fr == r or {fr, r} <= {"cp1252", "latin-1"})
     assert N.align(clean, clean) == [] and N.align("a é", "a e") == []
 
 
+def test_characters_are_aligned():
+    assert N.char_pairs("Gr├╢├ƒe ├╢", "Größe ö") == [("├ƒ", "ß"), ("├╢", "ö")]
+    assert N.char_pairs("a é", "a é") == [] and N.char_pairs("ééé", "éé") == [] and N.char_pairs("�", "é") == []
+    votes = {("β", "é"): 9, ("γ", "è"): 9, ("δ", "à"): 9, ("ε", "ü"): 9, ("ê", "è"): 50, ("ж", "a"): 2}
+    line = [("β", "γ"), ("γ", "δ"), ("ε", "β")]
+    assert N.tables(votes, line[:2], lambda c: 0) == {} and N.tables(votes, line, lambda c: 0 if "α" <= c <= "ω" else 99) == {"β": "é", "γ": "è", "δ": "à", "ε": "ü"}
+
+
+def test_a_charset_that_is_not_listed_is_learned(messages):
+    """Neither of the charsets is among ``CHARSETS``: one byte for each character, and UTF-8 read in a Greek one."""
+    assert not {"cp737", "cp1253", "mac_greek"} & set(N.CHARSETS)
+    good = _texts()
+    single = lambda t: "".join(c.encode("cp1252").decode("cp737") if ord(c) > 127 else c for c in t)
+    double = lambda t: "".join(c.encode().decode("mac_greek") if ord(c) > 127 else c for c in t)
+    rows = [{"seq": i, "text": t} for i, t in enumerate(good * 40)]
+    bad = {9000 + i: (f, t) for i, t in enumerate(good[:60]) for f in [single if i % 2 else double]}
+    rows += [{"seq": s, "text": f(t)} for s, (f, t) in bad.items()]
+    alone = {9500: (single, "Jamais dit à personne, voilà réglé"), 9501: (double, "Une Größe für später, à moitié dit")}  # without twins
+    rows += [{"seq": s, "text": f(t)} for s, (f, t) in alone.items()] + [{"seq": 9900 + i, "text": "Ευχαριστώ, το πρόβλημα λύθηκε"} for i in range(9)]
+    got = {r.seq: r.restored for r in N.examine(messages(rows)).collect()}
+    right = sum(got.get(s) == t for s, (_, t) in {**bad, **alone}.items())
+    assert right >= 0.95 * (len(bad) + len(alone)) and all(s in got for s in alone) and not {s for s in got if s < 9000 or s >= 9900}
+
+
+def test_restoration_of_planted_pairs(messages):
+    """Share of garbled lines, half of them without a twin, that come back as they were."""
+    good = [f"{a} {b} n° {i}" for i in range(40) for a, b in [("Le réglage est grisé à côté,", "voilà l’été"), ("Änderung der Größe später,", "für Jörg"), ("¿Dónde está el año,", "señor Núñez?")]]
+    ways = [("utf-8", "cp1252"), ("cp1252", "cp850"), ("utf-8", "mac_roman"), ("cp1252", "cp1251"), ("utf-8+", "cp1252"), ("utf-8", "koi8_r")]
+    rows = [{"seq": i, "text": t} for i, t in enumerate(good[:90] * 4)]
+    truth = {1000 + i: t for i, t in enumerate(good[30:])}
+    rows += [{"seq": s, "text": _twisted(t, *ways[i % len(ways)])} for i, (s, t) in enumerate(truth.items())]
+    got = {r.seq: r.restored for r in N.examine(messages(rows)).collect()}
+    assert sum(got.get(s) == t for s, t in truth.items()) >= 0.95 * len(truth) and not {s for s in got if s < 1000}
+
+
 def test_found_and_restored(spark, messages):
     good = _texts()
     ways = [("utf-8", "cp1252"), ("cp1252", "cp850"), ("utf-8", "mac_roman"), ("cp1252", "cp1251"), ("utf-8+", "cp1252")]

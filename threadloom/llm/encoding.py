@@ -1,11 +1,12 @@
 """Text that was decoded with the wrong charset: found, and restored where it can be (problem 2).
 
 Lines that agree once their non-ASCII characters are taken out are near-twins. Each is aligned with the most frequent
-line of its group, segment by segment; a pair of charsets that turns every segment of one into that of the other is a
-vote for that transformation and says which side is garbled. The transformations that have votes are then inverted on
-all lines. What an inversion yields counts if it is more usual in its surroundings than what stands there, by counts
-of characters and their neighbours over the whole corpus. Characters that only twins can give back (those lost as
-U+FFFD) come from the twin.
+line of its group, segment by segment. A pair of charsets that turns every segment of one into that of the other is a
+vote for that transformation and says which side is garbled. Where no known pair does, the segments are aligned
+character by character and vote for single mappings, so that a charset nobody listed is learned as a table. What has
+votes enough is then inverted on all lines. What an inversion yields counts if it is more usual in its surroundings than
+what stands there, by counts of characters and their neighbours over the whole corpus. Characters that only twins can
+give back (those lost as U+FFFD) come from the twin.
 """
 
 import re
@@ -22,8 +23,13 @@ from threadloom.sources.tables import spread
 
 # Charsets that text may have been written in or read in.
 CHARSETS = ["utf-8", "cp1252", "latin-1", "cp1251", "cp850", "cp437", "mac_roman", "koi8_r", "iso8859_2", "iso8859_5"]
-#: Least letters a line must have left for its twins to be looked for, and least votes of a transformation.
-SKELETON, VOTES = 8, 3
+#: Least letters a line must have left for its twins to be looked for, and least votes of a transformation, in lines and as a share of all votes.
+SKELETON, VOTES, VOTE_SHARE = 8, 3, 1e-4
+#: Least different characters that a learned table must restore, longest run of characters that stands for one of them,
+#: least share of its votes that a mapping must have among those of the same run, and how much rarer than the original a single character must be.
+TABLE, RUN, SURE, RARER = 4, 4, 0.8, 0.5
+#: Least occurrences of a character that a restored text may hold, in lines and as a share of all characters outside ASCII.
+MET, MET_SHARE = 3, 1e-7
 #: Least letters of a line whose lost characters a twin may give back; the twin must yield the very line.
 LOST_SKELETON = 4
 #: Buckets of the table of neighbourhoods.
@@ -90,6 +96,48 @@ def align(a: str, b: str) -> list[tuple[str, str, str, str]]:
     return []
 
 
+def char_pairs(bad: str, clean: str) -> list[tuple[str, str]]:
+    """What each character of the clean twin's segments stands as, where the runs can be divided evenly; else nothing."""
+    x, y = _NON.findall(bad), _NON.findall(clean)
+    if x == y or len(x) != len(y) or _NON.split(bad) != _NON.split(clean):
+        return []
+    out = set()
+    for s, t in zip(x, y):
+        if s != t:
+            k, rest = divmod(len(s), len(t))
+            if rest or not 1 <= k <= RUN or "�" in s + t:
+                return []
+            out |= {(s[i * k : i * k + k], c) for i, c in enumerate(t) if s[i * k : i * k + k] != c}
+    return sorted(out)
+
+
+def tables(votes: dict, together: list[tuple[str, str]], often, least: float = VOTES) -> dict[str, str]:
+    """The mappings that make up tables of garbled runs: ``votes`` of (run, character), ``often``: how often a character occurs.
+
+    Mappings belong together if their runs stand ``together`` in a line. A table must restore ``TABLE`` characters from
+    as many runs; so variants in spelling, of which there are few, make none. A single character must moreover be rarer
+    than what it stands for.
+    """
+    total: Counter = Counter()
+    for (bad, _), n in votes.items():
+        total[bad] += n
+    sure = {bad: good for (bad, good), n in votes.items() if n >= least and n >= SURE * total[bad] and (len(bad) > 1 or often(bad) < RARER * often(good))}
+    group = {bad: bad for bad in sure}
+
+    def top(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for x, y in together:
+        if x in group and y in group:
+            group[top(x)] = top(y)
+    parts: dict = {}
+    for bad, good in sure.items():
+        parts.setdefault(top(bad), {})[bad] = good
+    return {b: g for part in parts.values() if len(set(part.values())) >= TABLE for b, g in part.items()}
+
+
 def _stripped(line: str):
     return F.regexp_replace(line, r"^(?:[ \t>|:]|[A-Z]{1,3}>)+|\s+$", "")
 
@@ -105,11 +153,12 @@ def lines(messages: DataFrame) -> DataFrame:
     return rows.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
-def learn(counted: DataFrame, votes: int = VOTES) -> list[tuple[str, str]]:
-    """The transformations that near-twins show, most votes first; ``counted`` as :func:`lines` gives it.
+def learn(counted: DataFrame, table: np.ndarray, votes: int = VOTES) -> tuple[list[tuple[str, str]], dict[str, str]]:
+    """The transformations that near-twins show, most votes first, and the mappings of charsets that aren't listed.
 
-    Each line is paired with one representative of its group only. Two readings that undo each other fit the same
-    pairs; the one with more votes stays. The result is bounded by the number of charsets.
+    ``counted`` as :func:`lines` gives it, ``table`` as :func:`surroundings` does. Each line is paired with one
+    representative of its group only. Two readings that undo each other fit the same pairs; the one with more votes
+    stays. A transformation or mapping must have ``VOTE_SHARE`` of all votes, which bounds what is collected.
     """
     rows = counted.withColumn("bone", F.regexp_replace("line", r"[^\x00-\x7F]+", ""))
     rows = rows.where(F.regexp_count("bone", F.lit("[A-Za-z]")) >= SKELETON).withColumn("key", F.xxhash64("bone")).drop("bone")
@@ -120,15 +169,24 @@ def learn(counted: DataFrame, votes: int = VOTES) -> list[tuple[str, str]]:
         by: Counter = Counter()
         for df in batches:
             for a, b in zip(df["line"], df["twin"]):
-                for t in {x[:2] for x in align(a, b)}:
+                found = {("charsets", *x[:2]) for x in align(a, b)}
+                if not found and (single := char_pairs(a, b)):
+                    found = {("map", *x) for x in single} | {("with", single[0][0], x[0]) for x in single[1:]}
+                for t in found:
                     by[t] += 1
-        yield pd.DataFrame([(*k, n) for k, n in by.items()], columns=["w", "r", "n"])
+        yield pd.DataFrame([(*k, n) for k, n in by.items()], columns=["kind", "w", "r", "n"])
 
-    rows = pairs.mapInPandas(run, "w STRING, r STRING, n BIGINT").groupBy("w", "r").agg(F.sum("n").alias("n")).collect()
-    return ranked({(x.w, x.r): x.n for x in rows}, votes)
+    rows = save(pairs.mapInPandas(run, "kind STRING, w STRING, r STRING, n BIGINT").groupBy("kind", "w", "r").agg(F.sum("n").alias("n")), "votes")
+    total = rows.agg(F.sum("n").alias("n")).collect()[0].n or 0
+    least = max(votes, VOTE_SHARE * total)
+    kept = rows.where(F.col("n") >= least).collect()
+    discard(counted.sparkSession, rows)
+    around = Surroundings(table)
+    often = lambda c: table[around.alone(c)]
+    return ranked({(x.w, x.r): x.n for x in kept if x.kind == "charsets"}, least), tables({(x.w, x.r): x.n for x in kept if x.kind == "map"}, [(x.w, x.r) for x in kept if x.kind == "with"], often, least)
 
 
-def ranked(count: dict, votes: int = VOTES) -> list[tuple[str, str]]:
+def ranked(count: dict, votes: float = VOTES) -> list[tuple[str, str]]:
     """Transformations with enough votes, without those outvoted by their inverse."""
     kept = [t for t, n in count.items() if n >= votes and ("utf-8" in t or (n, t) > (count.get(t[::-1], 0), t[::-1]))]
     return sorted(kept, key=lambda t: (-count[t], t))
@@ -195,10 +253,12 @@ def surroundings(counted: DataFrame) -> np.ndarray:
 
 
 class Repair:
-    """Finds and restores garbled lines by learned transformations."""
+    """Finds and restores garbled lines by learned transformations and tables."""
 
-    def __init__(self, learned: list[tuple[str, str]], table: np.ndarray):
-        self.around = Surroundings(table)
+    def __init__(self, learned: list[tuple[str, str]], table: np.ndarray, mapped: dict[str, str] | None = None):
+        self.around, self.mapped = Surroundings(table), mapped or {}
+        self.run = re.compile("|".join(map(re.escape, sorted(self.mapped, key=lambda x: (-len(x), x)))) or r"(?!)")
+        self.met = max(MET, MET_SHARE * float(table.sum()) / 2)
         reads = [r for w, r in learned if w.startswith("utf-8") and r != "utf-8"]
         self.multi = list(dict.fromkeys(["cp1252" if r == "latin-1" else r for r in reads]))
         self.single = [(w, r) for w, r in learned if not w.startswith("utf-8") and r != "utf-8"]
@@ -211,14 +271,14 @@ class Repair:
         often = lambda c: table[self.around.alone(c)]
         for w, r in self.single:
             turn = {c: _back(b, w) for c, b in _table(r).items()}
-            turn = {c: g for c, g in turn.items() if g != "�" and often(g) >= max(3, 0.05 * often(c))}
+            turn = {c: g for c, g in turn.items() if g != "�" and often(g) >= max(self.met, 0.05 * often(c))}
             if hot := [c for c, g in turn.items() if often(g) > often(c)]:
                 self.turn[w, r] = turn
                 self.hot[w, r] = re.compile("[" + "".join(map(re.escape, hot)) + "]")
         self.any_hot = re.compile("|".join(p.pattern for p in self.hot.values()) or r"(?!)")
 
-    def _invert(self, line: str, read: str) -> tuple[str, list[tuple[int, str]]]:
-        """The line with all UTF-8 sequences read in ``read`` put right, and what came out where."""
+    def _invert(self, line: str, read: str, any_: bool = False) -> tuple[str, list[tuple[int, str]]]:
+        """The line with all UTF-8 sequences read in ``read`` put right, and what came out where: characters that the corpus knows, or ``any_``."""
         out, got, last = [], [], 0
         table = _table(read)
         if read == "cp1252":
@@ -231,7 +291,7 @@ class Repair:
             for s in _UTF8.finditer(bytes(data)):
                 c = s[0].decode("utf-8", "ignore")
                 out.append(run[at : s.start()])
-                if c and self.around.table[self.around.alone(c)] >= 3:
+                if c and (any_ or self.around.table[self.around.alone(c)] >= self.met):
                     got.append((sum(map(len, out)), c))
                     out.append(c)
                 else:
@@ -266,7 +326,14 @@ class Repair:
             if _shown(line, fixed, got):
                 return line, None
             again, more = self._invert(fixed, r) if self.lead[r].search(fixed) else (fixed, [])
+            # garbled twice: what stands between the two readings needn't be known
+            if self.lead[r].search(between := self._invert(line, r, True)[0]):
+                whole, got = self._invert(between, r)
+                if got and not self.lead[r].search(whole):
+                    again, more = whole, got
             return (again if more else fixed), r
+        if self.mapped and self.run.search(line) and (by_table := self._by_table(line)):
+            return by_table, "table"
         if not self.any_hot.search(line):
             return line, None
         t = " " + line + " "
@@ -282,6 +349,22 @@ class Repair:
         return (worst[1], worst[2]) if worst else (line, None)
 
 
+    def _by_table(self, line: str) -> str | None:
+        """The line with all runs of learned tables replaced, if that is more usual and no example."""
+        t = " " + line + " "
+        out, got, last = [], [], 0
+        for m in self.run.finditer(t):
+            out.append(t[last : m.start()])
+            got.append((sum(map(len, out)), self.mapped[m[0]], m.start(), m.end()))
+            out.append(self.mapped[m[0]])
+            last = m.end()
+        u = "".join([*out, t[last:]])
+        if _shown(line, u[1:-1], [(i - 1, c) for i, c, *_ in got]):
+            return None
+        gain = sum(self.around.usual(u, i) - min(self.around.usual(t, k) for k in range(a, b)) for i, _, a, b in got)
+        return u[1:-1] if gain > 2.0 * min(1.0, len(got)) + 0.3 * len(got) else None
+
+
 def _back(b: int, written: str) -> str:
     for c, x in _table(written).items():
         if x == b:
@@ -333,13 +416,13 @@ def agreed(lost: str, twins: list[str]) -> str:
     return _NON.sub(lambda _: next(new), lost)
 
 
-def recovered(counted: DataFrame, learned: list[tuple[str, str]], table: np.ndarray) -> DataFrame:
+def recovered(counted: DataFrame, learned: list[tuple[str, str]], table: np.ndarray, mapped: dict[str, str]) -> DataFrame:
     """``line``, ``fixed`` of the lines with U+FFFD that have clean twins, by shuffled joins on the skeleton."""
     bone = F.regexp_replace("line", r"[^\x00-\x7F]+", "\x01")
     rows = counted.where("line is not null").withColumn("bone", bone).where(F.regexp_count("bone", F.lit("[A-Za-z]")) >= LOST_SKELETON).withColumn("key", F.xxhash64("bone"))
     is_lost = F.contains(F.col("line"), F.lit("�"))
     pairs = rows.where(is_lost).select("key", "line").join(rows.where(~is_lost).select("key", F.col("line").alias("twin")), "key").select("line", "twin")
-    sent = counted.sparkSession.sparkContext.broadcast((learned, table))
+    sent = counted.sparkSession.sparkContext.broadcast((learned, table, mapped))
 
     def run(batches):
         repair = Repair(*sent.value)
@@ -368,10 +451,11 @@ def examine(messages: DataFrame, twins: bool = True) -> DataFrame:
     """
     spark = messages.sparkSession
     counted = save(lines(messages), "lines")
-    learned, table = learn(counted), surroundings(counted)
-    known = save(recovered(counted, learned, table), "twins") if twins else None
+    table = surroundings(counted)
+    learned, mapped = learn(counted, table)
+    known = save(recovered(counted, learned, table, mapped), "twins") if twins else None
     discard(spark, counted)
-    sent = spark.sparkContext.broadcast((learned, table))
+    sent = spark.sparkContext.broadcast((learned, table, mapped))
 
     def run(batches):
         repair = Repair(*sent.value)
