@@ -32,3 +32,21 @@ def test_repeats(spark, messages):
 def test_hot_identifier(spark):
     df = spark.range(20000).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("i"))
     assert first_of_each(df, F.col("i")).count() == 20000 - 6667 + 1
+
+
+def test_one_shuffle_and_hot_identifiers(spark, messages, monkeypatch):
+    rows = [{"seq": i if i % 50 else None, "message_id": f"<{i % 7 if i % 3 else 'hot'}>"} for i in range(3000)] + [{"seq": 1, "message_id": "<1>"}]
+    random.Random(2).shuffle(rows)
+    first = {}
+    for r in rows:
+        k = r["message_id"]
+        if r["seq"] is not None and r["seq"] < first.get(k, 1 << 60):
+            first[k] = r["seq"]
+    want = sorted((r["seq"] for r in rows if r["seq"] is not None and r["seq"] != first[r["message_id"]]))
+    for local in (200_000, 2):
+        monkeypatch.setattr("threadloom.operators.dedup.LOCAL", local)
+        found = repeated_deliveries(messages(rows).repartition(5))
+        got = [r.seq for r in found.collect()]
+        assert sorted(x for x in got if x is not None) == want and None in got
+    plan = repeated_deliveries(messages(rows))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(q") == 1 and "Join" not in plan
