@@ -1,5 +1,7 @@
+import random
 from datetime import datetime, timedelta
 
+from threadloom.llm import conversations as C
 from threadloom.llm.conversations import conversations, turns
 
 DAY = datetime(2012, 1, 2)
@@ -24,6 +26,28 @@ def test_threads(messages, mailboxes):
     assert got == {(1, 1, 1, "initiator"), (1, 2, 2, "responder"), (1, 3, 3, "initiator"), (60, 1, 60, "initiator"), (60, 2, 61, "responder")}
 
 
+def test_many_portions_and_late_messages(messages, mailboxes):
+    """Messages arrive long after they were sent, in any order and from clocks that are wrong; the number of portions changes nothing."""
+    rng, rows = random.Random(6), []
+    for t in range(40):
+        start = rng.randrange(900)
+        for k in range(rng.randint(1, 5)):
+            sent = start + rng.choice([0, 1, 5, 45, 100]) * k
+            late = rng.choice([0, 0, 1, 20, 29, 31, 200, -400])
+            rows.append(_m(0, f"{t}.{k}", sent, f"{rng.choice('abc')}@x", f"{t}.{rng.randrange(k)}" if k else None) | {"received_at": DAY + timedelta(days=sent + late), "subject": f"s{t}"})
+    rng.shuffle(rows)
+    rows = [r | {"seq": i + 1} for i, r in enumerate(rows)]
+    one, four, nine = ({(r.root_seq, r.turn, r.seq, r.role) for r in conversations(messages(rows), mailboxes, n).collect()} for n in (1, 4, 9))
+    assert one == four == nine and len(one) > 40
+
+
+def test_blocks_of_a_hot_conversation(messages, mailboxes, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 8)
+    rows = [_m(1, "a")] + [_m(i, f"r{i}", i % 37, f"{i % 3}@x", "a") for i in range(2, 60)]
+    got = conversations(messages(rows), mailboxes).orderBy("turn").collect()
+    assert [r.seq for r in got] == [1] + sorted(range(2, 60), key=lambda i: (i % 37, i)) and [r.turn for r in got] == list(range(1, 60))
+
+
 def test_empty(messages, mailboxes):
     assert conversations(messages([]), mailboxes).count() == 0
 
