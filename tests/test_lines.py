@@ -53,5 +53,5 @@ def test_all_ngrams_are_looked_up(spark, tmp_path):
     from threadloom.plans import tagged
 
     spark.createDataFrame([("f", i + 1, f"I a{i:03d} b{i:03d} c{i:03d}") for i in range(330)], "filename STRING, phys_no INT, raw STRING").write.parquet(str(tmp_path / "tagged_lines.parquet"))
-    got = {r.line_number: r.hits for r in tagged.QUERIES["ngram_hits_whole"](spark, str(tmp_path)).collect()}
+    got = {r.line_number: r.hits for r in tagged.QUERIES["ngram_hits"](spark, str(tmp_path)).collect()}
     assert got == {i + 1: 3 for i in range(330)}

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from threadloom.operators import align as A
 from threadloom.operators import folds as K
 from threadloom.operators import learn as L
@@ -91,7 +93,7 @@ def test_alignment_is_optimal(monkeypatch):
         p = A.align(a, b)
         assert _cost(p, a, b) == best(a, b)
         assert [i for i, _ in p if i is not None] == list(range(len(a))) and [j for _, j in p if j is not None] == list(range(len(b)))
-    monkeypatch.setattr(A, "MOST_CELLS", 200)
+    monkeypatch.setattr(A, "KEPT", 200)
     a = [f"w{i}" for i in range(60)]
     p = A.align(a, ["new", *a[:40], "x", *a[45:]])
     assert [i for i, _ in p if i is not None] == list(range(60)) and sum(i is not None and j is not None for i, j in p) >= 55
@@ -110,11 +112,32 @@ def test_folds(spark):
     assert sum(r.part == "train" for r in K.holdout(df, "name").collect()) == 85
 
 
-def test_crf_learns(spark):
-    rows = [(f"s{s}", i, [f"w={(s * 7 + i) % 3}"], "T" if (s * 7 + i) % 3 == 0 else "F") for s in range(20) for i in range(12)]
-    df = spark.createDataFrame(rows, "fold STRING, pos INT, features ARRAY<STRING>, gold STRING")
-    got = {(r.fold, r.pos): r.result for r in L.label_crf(df, L.train_crf(df, rounds=3)).collect()}
-    assert sum(got[f, p] == g for f, p, _, g in rows) == len(rows)
+def test_crf_learns_by_folds(spark):
+    rows = [(s % 3, f"s{s}", i, [(s * 7 + i) % 3, 7], "T" if (s * 7 + i) % 3 == 0 else "F") for s in range(30) for i in range(12)]
+    df = spark.createDataFrame(rows, "fold INT, sequence STRING, pos INT, ids ARRAY<INT>, gold STRING")
+    got = {(r.sequence, r.pos): r.result for r in L.label_crf_folds(df, L.train_crf_folds(df, 3, buckets=16)).collect()}
+    assert sum(got[f, p] == g for _, f, p, _, g in rows) == len(rows)
+    # a fold's own labels don't reach its model
+    w = [L.train_crf_folds(df.withColumn("gold", F.when(F.col("fold") == 1, x).otherwise(F.col("gold"))), 3, buckets=16)[0] for x in ("T", "F")]
+    assert (w[0][1] == w[1][1]).all() and (w[0][0] != w[1][0]).any()
+    none = df.limit(0)
+    assert L.label_crf_folds(none, L.train_crf_folds(none, 3, buckets=16)).count() == 0
+
+
+def test_alignment_is_the_same_at_every_size(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(30):
+        a, b = ([rng.choice("abcdE") for _ in range(rng.randrange(40))] for _ in range(2))
+        monkeypatch.setattr(A, "KEPT", 1 << 40)
+        whole = A.align(a, b)
+        monkeypatch.setattr(A, "KEPT", 10)
+        assert A.align(a, b) == whole
+        assert [i for i, _ in whole if i is not None] == list(range(len(a))) and [j for _, j in whole if j is not None] == list(range(len(b)))
+    a = [f"w{rng.randrange(400)}" for _ in range(3000)]
+    b = a[:1000] + ["x"] * 50 + a[1200:]
+    monkeypatch.setattr(A, "KEPT", 4_000_000)
+    cost = sum(75 if i is None or j is None else 0 if a[i] == b[j] else 100 for i, j in A.align(a, b))
+    assert cost <= 50 * 100 + 150 * 75
 
 
 def test_patterns():
@@ -129,5 +152,5 @@ def test_all_boundaries_are_combined(spark, tmp_path):
     acts = ["Q", "A"] * 10
     spark.createDataFrame([("t", 1, i + 1, f"1.{i + 1}", "x") for i in range(20)], "thread STRING, doc_no INT, sent_no INT, sid STRING, text STRING").write.parquet(str(tmp_path / "corpus_sentences.parquet"))
     spark.createDataFrame([("t", f"1.{i + 1}", i, f"l{i}", a, "T") for i, a in enumerate(acts)], "thread STRING, sid STRING, ord INT, label_id STRING, tag STRING, boundary STRING").write.parquet(str(tmp_path / "bc3_labelled.parquet"))
-    got = [r.label for r in segments.QUERIES["combine_results_whole"](spark, str(tmp_path)).collect()]
+    got = [r.label for r in segments.QUERIES["combine_results"](spark, str(tmp_path)).collect()]
     assert got == ["T"] * 20

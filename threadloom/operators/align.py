@@ -1,12 +1,13 @@
 """Alignment of a message with the reply that quotes it, and the tags that follow from it.
 
 Word alignment is a dynamic programme, so it runs as an Arrow-backed function; reply lines, sentence ends and tags are
-arrays of the same couple and are settled beside it, which spares a shuffle of tokens. A couple longer than
-``MOST_CELLS`` allows is aligned in anchored pieces, so that memory stays bounded and no text is cut.
+arrays of the same couple and are settled beside it, which spares a shuffle of tokens. Of a couple with more than ``KEPT``
+cells only some rows of the table are kept, and those between are computed again on the way back, so the alignment is the
+same whatever the size, memory grows with the length times its square root, and no text is cut.
 """
 
+import math
 import re
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 PENALTIES = (100, 75, 75)
 #: Share of a reply line's tokens that must be aligned, and most positions of a cut continuation line.
 ALIGNED, CONTINUATION = 0.5, 10
-MOST_CELLS = 4_000_000
+#: Cells of a table that is kept whole.
+KEPT = 4_000_000
 
 _TOKEN = re.compile(r"\w+|\n|[^\w\s]")
 
@@ -27,50 +29,51 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
-def _dp(a: list[str], b: list[str], penalties) -> list[tuple[int | None, int | None]]:
-    """Pairs of indices of the best alignment of ``a`` (source) and ``b`` (reply); ties prefer a match, then leaving out a source token."""
+def _rows(row: np.ndarray, x: np.ndarray, y: np.ndarray, penalties) -> np.ndarray:
+    """The rows of the cost table after ``row``, one for each of the tokens ``x``, with ``row`` before them."""
     sub, ins, dele = penalties
-    n, m = len(a), len(b)
-    number: dict[str, int] = {}
-    x, y = (np.array([number.setdefault(t, len(number)) for t in w], dtype="int64") for w in (a, b))
-    cost = np.zeros((n + 1, m + 1), "int32")
-    cost[0] = np.arange(m + 1) * ins
-    steps = np.arange(m + 1, dtype="int64") * ins
-    for i in range(1, n + 1):
-        diagonal = cost[i - 1, :-1] + np.where(y == x[i - 1], 0, sub)
-        up = cost[i - 1] + dele
-        best = up.copy()
-        best[1:] = np.minimum(best[1:], diagonal)
+    cost = np.empty((len(x) + 1, len(row)), "int64")
+    cost[0] = row
+    steps = np.arange(len(row), dtype="int64") * ins
+    for i, t in enumerate(x, 1):
+        best = cost[i - 1] + dele
+        best[1:] = np.minimum(best[1:], cost[i - 1, :-1] + np.where(y == t, 0, sub))
         # insertions run along the row: a running minimum of the cost less the steps taken
         cost[i] = np.minimum.accumulate(best - steps) + steps
-    out, i, j = [], n, m
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (0 if x[i - 1] == y[j - 1] else sub):
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and cost[i, j] == cost[i - 1, j] + dele:
-            i -= 1
-            out.append((i, None))
-        else:
-            j -= 1
-            out.append((None, j))
-    return out[::-1]
+    return cost
 
 
 def align(source: list[str], reply: list[str], penalties=PENALTIES) -> list[tuple[int | None, int | None]]:
-    """ALN3, ALN4: word alignment ignoring case; gaps are None, the tokens keep their case because only indices are given."""
-    a, b = [t.lower() for t in source], [t.lower() for t in reply]
-    if (len(a) + 1) * (len(b) + 1) <= MOST_CELLS:
-        return _dp(a, b, penalties)
-    block = SequenceMatcher(None, a, b, autojunk=False).find_longest_match() if len(a) + len(b) <= 40_000 else None
-    if block is None or block.size == 0:  # halve both
-        i, j, k = len(a) // 2, len(b) // 2, 0
-    else:
-        i, j, k = block.a, block.b, block.size
-    left = align(source[:i], reply[:j], penalties)
-    right = align(source[i + k :], reply[j + k :], penalties)
-    up = lambda p: (None if p[0] is None else p[0] + i + k, None if p[1] is None else p[1] + j + k)
-    return [*left, *((i + x, j + x) for x in range(k)), *map(up, right)]
+    """ALN3, ALN4: the best word alignment ignoring case; gaps are None, the tokens keep their case because only indices are given.
+
+    Ties prefer a match, then leaving out a source token.
+    """
+    sub, ins, dele = penalties
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(t.lower(), len(number)) for t in w], dtype="int64") for w in (source, reply))
+    n, m = len(x), len(y)
+    size = n or 1
+    if (n + 1) * (m + 1) > KEPT:
+        size = max(math.isqrt(n), 1)
+    marks = [np.arange(m + 1, dtype="int64") * ins]
+    for i in range(0, n - size, size):
+        marks.append(_rows(marks[-1], x[i : i + size], y, penalties)[-1].copy())
+    out, i, j = [], n, m
+    for k in range(len(marks) - 1, -1, -1):
+        low = k * size
+        cost = _rows(marks[k], x[low : low + size], y, penalties)
+        while i > low or (j and k == 0):
+            r = i - low
+            if i and j and cost[r, j] == cost[r - 1, j - 1] + (0 if x[i - 1] == y[j - 1] else sub):
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif i and cost[r, j] == cost[r - 1, j] + dele:
+                i -= 1
+                out.append((i, None))
+            else:
+                j -= 1
+                out.append((None, j))
+    return out[::-1]
 
 
 def reply_positions(pairs, reply: list[str]) -> set[int]:

@@ -34,3 +34,20 @@ def holdout(df: DataFrame, key: str, share: float = 0.9) -> DataFrame:
 def line_folds(lines: DataFrame, k: int = 10) -> DataFrame:
     """SMP3: fold of each line by its number in its file, for those who want messages cut; :func:`k_folds` keeps them whole."""
     return lines.select("filename", "phys_no", F.pmod(F.col("phys_no") - 1, F.lit(k)).cast("int").alias("fold")).distinct()
+
+
+def split(df: DataFrame, key: str, folds: int = 10, test: list[str] | None = None) -> DataFrame:
+    """SMP1, SMP2: ``fold``, ``key``, ``part`` of each fold's rows.
+
+    ``folds`` above 1: every row is test in one fold and train in all others. 1: one fold, the first nine tenths train. 0: no
+    fold, no row. ``test`` (the keys of a fixed test set): one fold, all others train.
+    """
+    spark = df.sparkSession
+    if test is not None:
+        return df.select(F.lit(0).alias("fold"), key, F.when(F.col(key).isin(test), "test").otherwise("train").alias("part"))
+    if folds == 0:
+        return spark.createDataFrame([], f"fold INT, {key} STRING, part STRING")
+    if folds == 1:
+        return holdout(df, key).select(F.lit(0).alias("fold"), key, "part")
+    own = k_folds(df, key, folds).withColumnRenamed("fold", "_own")
+    return own.select(F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"), key, "_own").select("fold", key, F.when(F.col("fold") == F.col("_own"), "test").otherwise("train").alias("part"))

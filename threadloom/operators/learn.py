@@ -1,14 +1,10 @@
 """Sequence labelling and bags of words."""
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Weights of the hashed model.
-BUCKETS = 1 << 18
 LABELS = ["F", "T"]
 
 
@@ -27,78 +23,94 @@ def viterbi(emission: np.ndarray, transition: np.ndarray) -> np.ndarray:
     return out
 
 
-def _hash(features) -> np.ndarray:
-    return np.array([zlib.crc32(f.encode()) % BUCKETS for f in features], "int64")
+#: Weights of each of the models that are trained side by side.
+FOLD_BUCKETS = 1 << 16
+
+
+def hashed(features: Column, buckets: int = FOLD_BUCKETS) -> Column:
+    """The feature numbers of an array of features."""
+    return F.transform(features, lambda x: F.pmod(F.crc32(x), F.lit(buckets)).cast("int"))
+
+
+def _messages(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.groupBy("fold", "sequence").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("s"))
 
 
-def train_crf(rows: DataFrame, rounds: int = 5, labels: list[str] = LABELS) -> tuple[np.ndarray, np.ndarray]:
-    """CRF2: an averaged structured perceptron over hashed features, by iterative parameter mixing.
+def train_crf_folds(rows: DataFrame, folds: int, rounds: int = 3, labels: list[str] = LABELS, buckets: int = FOLD_BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """CRF2 with SMP1: an averaged structured perceptron for each fold, trained on the sequences of all others in the same passes.
 
-    ``rows``: ``fold pos features gold``, a fold being one sequence. In each round every task runs over its sequences from
-    the mixed weights and sends back one weight vector of fixed size; the driver averages them. The model is a linear
-    chain like the original's, its training isn't, so its scores can't be compared digit by digit.
+    ``rows``: ``fold sequence pos ids gold``. By iterative parameter mixing: in each round every task runs over its
+    sequences from the mixed weights and sends back what it has, bounded by the models' size (``folds`` x ``buckets`` x
+    labels); the driver averages. The weights' average is kept by the sum of the updates times their number, so a
+    sequence costs its own features only. The model is a linear chain like the original's, its training isn't, so its
+    scores can't be compared digit by digit.
     """
     k = len(labels)
     code = {x: i for i, x in enumerate(labels)}
-    w, t = np.zeros((BUCKETS, k)), np.zeros((k, k))
-    seqs = rows.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("pos", "features", "gold"))).alias("s")).select(F.col("s.features").alias("x"), F.col("s.gold").alias("y"))
+    w, t = np.zeros((folds, buckets, k)), np.zeros((folds, k, k))
+    seqs = _messages(rows, "ids", "gold").select("fold", F.col("s.ids").alias("x"), F.col("s.gold").alias("y"))
     for _ in range(rounds):
         sent = rows.sparkSession.sparkContext.broadcast((w, t))
 
         def run(batches, sent=sent):
             w, t = (x.copy() for x in sent.value)
-            total_w, total_t, n = np.zeros_like(w), np.zeros_like(t), 0
+            late_w, late_t, n = np.zeros_like(w), np.zeros_like(t), 0
             for df in batches:
-                for x, y in zip(df["x"], df["y"]):
-                    ids = [_hash(f) for f in x]
-                    gold = np.array([code[v] for v in y])
-                    got = viterbi(np.array([w[i].sum(0) for i in ids]), t)
-                    for i, (g, p) in enumerate(zip(gold, got)):
-                        if g != p:
-                            np.add.at(w, (ids[i], g), 1.0)
-                            np.add.at(w, (ids[i], p), -1.0)
-                        if i and (gold[i - 1] != got[i - 1] or g != p):
-                            t[gold[i - 1], g] += 1
-                            t[got[i - 1], p] -= 1
-                    total_w += w
-                    total_t += t
+                for fold, x, y in zip(df["fold"], df["x"], df["y"]):
+                    ids = [np.asarray(i, "int64") for i in x]
+                    gold = [code[v] for v in y]
+                    for m in range(folds):
+                        if m == fold:
+                            continue
+                        got = viterbi(np.array([w[m][i].sum(0) for i in ids]), t[m])
+                        for j, (g, p) in enumerate(zip(gold, got)):
+                            if g != p:
+                                for a, d in ((g, 1.0), (p, -1.0)):
+                                    np.add.at(w[m], (ids[j], a), d)
+                                    np.add.at(late_w[m], (ids[j], a), d * n)
+                            if j and (gold[j - 1] != got[j - 1] or g != p):
+                                for a, b, d in ((gold[j - 1], g, 1.0), (got[j - 1], p, -1.0)):
+                                    t[m, a, b] += d
+                                    late_t[m, a, b] += d * n
                     n += 1
             if n:
-                at = np.unique(np.nonzero(total_w)[0])
-                yield pd.DataFrame({"i": np.r_[at, -1], "v": [*(total_w[at] / n).tolist(), (total_t / n).ravel().tolist()], "n": 1.0})
-
-        parts = seqs.mapInPandas(run, "i BIGINT, v ARRAY<DOUBLE>, n DOUBLE")
-        cells = k * k
-        mixed = parts.groupBy("i").agg(F.array(*[F.sum(F.get("v", F.lit(j))) for j in range(cells)]).alias("v"), F.sum("n").alias("n")).toPandas()
-        tasks = float(mixed.loc[mixed["i"] == -1, "n"].iloc[0]) if len(mixed) else 1.0
-        w, t = np.zeros((BUCKETS, k)), np.zeros((k, k))
-        for i, v in zip(mixed["i"], mixed["v"]):
-            if i < 0:
-                t = np.array(v, dtype="float64").reshape(k, k) / tasks
-            else:
-                w[i] = np.array(v[:k], dtype="float64") / tasks
+                mean_w, mean_t = w - late_w / n, t - late_t / n
+                m, i = np.nonzero(np.abs(mean_w).sum(2))
+                yield pd.DataFrame({"m": m.astype("int32"), "i": i, "v": mean_w[m, i].tolist(), "n": 0.0})
+                yield pd.DataFrame({"m": np.arange(folds, dtype="int32"), "i": -1, "v": mean_t.reshape(folds, -1).tolist(), "n": 1.0})
+
+        parts = seqs.mapInPandas(run, "m INT, i BIGINT, v ARRAY<DOUBLE>, n DOUBLE")
+        mixed = parts.groupBy("m", "i").agg(F.array(*[F.sum(F.get("v", F.lit(j))) for j in range(k * k)]).alias("v"), F.sum("n").alias("n")).toPandas()
+        tasks = max(float(mixed["n"].max()), 1.0) if len(mixed) else 1.0
+        w, t = np.zeros((folds, buckets, k)), np.zeros((folds, k, k))
+        edge = mixed["i"].to_numpy() < 0
+        own, both = mixed[~edge], mixed[edge]
+        if len(own):
+            w[own["m"], own["i"]] = np.array([v[:k] for v in own["v"]], "float64") / tasks
+        for m, v in zip(both["m"], both["v"]):
+            t[m] = np.array(v, "float64").reshape(k, k) / tasks
         sent.unpersist()
     return w, t
 
 
-def label_crf(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], labels: list[str] = LABELS) -> DataFrame:
-    """``fold``, ``pos``, ``result``, ``confidence`` of each position by Viterbi; the confidence is a softmax of its scores."""
+def label_crf_folds(rows: DataFrame, model: tuple[np.ndarray, np.ndarray], labels: list[str] = LABELS) -> DataFrame:
+    """``fold``, ``sequence``, ``pos``, ``gold``, ``result``, ``confidence``: each sequence labelled by the model that hasn't seen it."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    seqs = rows.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("pos", "features"))).alias("s")).select("fold", F.col("s.pos").alias("pos"), F.col("s.features").alias("x"))
+    seqs = _messages(rows, "ids", "gold").select("fold", "sequence", F.col("s.pos").alias("pos"), F.col("s.ids").alias("x"), F.col("s.gold").alias("y"))
 
     def run(batches):
         w, t = sent.value
         for df in batches:
             out = []
-            for fold, pos, x in zip(df["fold"], df["pos"], df["x"]):
-                e = np.array([w[_hash(f)].sum(0) for f in x])
-                got = viterbi(e, t)
+            for fold, sequence, pos, x, y in zip(df["fold"], df["sequence"], df["pos"], df["x"], df["y"]):
+                e = np.array([w[fold][np.asarray(i, "int64")].sum(0) for i in x])
+                got = viterbi(e, t[fold])
                 p = np.exp(e - e.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                out += [(fold, int(i), labels[g], float(q[g])) for i, g, q in zip(pos, got, p)]
-            yield pd.DataFrame(out, columns=["fold", "pos", "result", "confidence"])
+                out += [(int(fold), sequence, int(i), g, labels[r], float(q[r])) for i, g, r, q in zip(pos, y, got, p)]
+            yield pd.DataFrame(out, columns=["fold", "sequence", "pos", "gold", "result", "confidence"])
 
-    return seqs.mapInPandas(run, "fold STRING, pos INT, result STRING, confidence DOUBLE")
+    return seqs.mapInPandas(run, "fold INT, sequence STRING, pos INT, gold STRING, result STRING, confidence DOUBLE")
 
 
 def naive_bayes(rows: DataFrame, tokens: str, label: str):

@@ -7,6 +7,8 @@ Input ``lines``: ``filename``, ``phys_no``, ``raw`` (``TAG<white space>tokens``,
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.learn import lemma, tag_words
+
 # Words of the line features.
 INTERROGATING_WORDS = ["who", "when", "where", "what", "which", "what", "how"]
 INTERROGATING_STARTS = ["who", "when", "where", "what", "which", "what", "how", "is", "are", "am", "will", "do", "does", "have", "has"]
@@ -129,6 +131,25 @@ def hinge_tokens(rows: DataFrame) -> DataFrame:
     return rows.select("filename", "line_number", *[pick(i).alias(f"first_{i}") for i in (1, 2, 3)], *[pick(-i).alias(f"last_{i}") for i in (1, 2, 3)])
 
 
+#: The hinge columns in the order the feature patterns count them: forms, lemmas and tags of the first three tokens, then of the last three.
+HINGES = [f"{end}_{kind}{i}" for end in ("first", "last") for kind in ("", "lemma_", "tag_") for i in (1, 2, 3)]
+
+
+def hinge_columns(kept: DataFrame) -> DataFrame:
+    """FT25: the 18 hinge columns of rows ``filename line_number kept`` of :func:`frequent_tokens`; ``NULL.TOKEN`` where there is none."""
+    tokens = F.split("kept", " ")
+    rows = kept.select("filename", "line_number", F.transform(F.arrays_zip(tokens.alias("t"), tag_words(tokens).alias("g")), lambda x: F.struct(x["t"].alias("form"), lemma(x["t"], x["g"]).alias("lemma"), x["g"].alias("tag"))).alias("w"))
+    pick = lambda i, f: F.coalesce(F.try_element_at("w", F.lit(i))[f], F.lit("NULL.TOKEN"))
+    each = [pick(sign * i, f) for sign in (1, -1) for f in ("form", "lemma", "tag") for i in (1, 2, 3)]
+    return rows.select("filename", "line_number", *[c.alias(n) for c, n in zip(each, HINGES)])
+
+
+def limited_files(files: DataFrame, most: int, selected: bool = True) -> DataFrame:
+    """FLT8, SRT3: the first ``most`` files by name, of those that :func:`metadata_filter` selects, or of all before it selects."""
+    first = lambda df: df.orderBy("filename").limit(most)
+    return first(metadata_filter(files)) if selected else metadata_filter(first(files))
+
+
 def line_features(rows: DataFrame, unicode_text: bool = False, fix_modal: bool = False, exclude_label: bool = False) -> DataFrame:
     """FT1-FT17 and FT19-FT24 of each record, one expression a feature, so that unused ones are pruned.
 
@@ -187,11 +208,16 @@ def discretised(features: DataFrame, fix_tiers: bool = False) -> DataFrame:
     return rows.select("filename", "line_number", *[F.when(F.col(k).isNotNull(), F.concat(F.lit(k + "_"), tier(F.col(k), F.col(f"_average.{k}"), fix_tiers))).alias(k) for k in NUMERIC])
 
 
+def ngram_rows(lines: DataFrame) -> DataFrame:
+    """``filename``, ``ngram``: every lower-case sequence of two or three tokens of a line."""
+    low = F.expr("transform(tokens, t -> lower(t))")
+    grams = F.expr("explode(concat(transform(sequence(1, greatest(size(w) - 1, 1)), i -> array_join(slice(w, i, 2), ' ')), transform(sequence(1, greatest(size(w) - 2, 1)), i -> array_join(slice(w, i, 3), ' '))))")
+    return records(lines).select("filename", low.alias("w")).select("filename", grams.alias("ngram")).where("ngram LIKE '% %'")
+
+
 def top_ngrams(lines: DataFrame, k: int = 1000) -> DataFrame:
     """D13: ``rank``, ``ngram``: the ``k`` most frequent lower-case sequences of two or three tokens; ties by name. A top-k report."""
-    low = F.expr("transform(tokens, t -> lower(t))")
-    grams = records(lines).select(low.alias("w")).select(F.expr("explode(concat(transform(sequence(1, greatest(size(w) - 1, 1)), i -> array_join(slice(w, i, 2), ' ')), transform(sequence(1, greatest(size(w) - 2, 1)), i -> array_join(slice(w, i, 3), ' '))))").alias("ngram"))
-    grams = grams.where("ngram LIKE '% %'").groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ngram").limit(k)
+    grams = ngram_rows(lines).groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ngram").limit(k)
     return grams.selectExpr("row_number() OVER (ORDER BY n DESC, ngram) AS rank", "ngram")
 
 

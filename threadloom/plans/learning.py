@@ -51,15 +51,6 @@ def _features(s, d):
     return PT._features(s, d)
 
 
-def _sequence_rows(s, d):
-    return S.window_features(PS._seq(s, d), [("a", [(-1, 0)]), ("b", [(0, 0)]), ("c", [(-1, 0), (0, 0)])], ["act"]).join(PS._seq(s, d).select("fold", "pos", "gold"), ["fold", "pos"])
-
-
-def _crf(s, d):
-    rows = _sequence_rows(s, d)
-    return L.label_crf(rows, L.train_crf(rows))
-
-
 def _bayes(s, d):
     rows = table(s, d, "corpus_sentences").where("text IS NOT NULL").groupBy("thread", "sid").agg(F.min("text").alias("text")).join(PS._acts(s, d).select("thread", "sid", "act").where("act <> 'none'"), ["thread", "sid"]).withColumn("tokens", X.words(F.lower("text")))
     return L.naive_bayes(rows, "tokens", "act").transform(rows).select("thread", "sid", "act", F.col("prediction").cast("int").alias("prediction"))
@@ -84,7 +75,6 @@ QUERIES = {
     "strip_html": lambda s, d: E.strip_html(PS._seq(s, d)),
     "graph_report": lambda s, d: E.graph_report(G.Graph(table(s, d, "messages"))),
     "pattern_lines": lambda s, d: s.createDataFrame([(x,) for x in S.pattern_lines(S.pattern_columns(lexical=100, thematic=True))], "line STRING"),
-    "crf_labels": _crf,
     "naive_bayes": _bayes,
     "bag_of_words": _bags,
     "word_tags": lambda s, d: T.records(PT._lines(s, d)).select("filename", "line_number", F.array_join(L.tag_words(F.col("tokens")), " ").alias("tags"), L.first_verb_form(L.tag_words(F.col("tokens"))).alias("first_verb_form")),

@@ -54,15 +54,12 @@ QUERIES = {
     "accuracy_prf": lambda s, d: S.agreement(_seq(s, d)),
     "score_table": lambda s, d: S.scores(_seq(s, d)),
     "periodic_baseline": lambda s, d: S.periodic_baseline(_seq(s, d)),
-    "combine_results": lambda s, d: S.combined(_seq(s, d), S.periodic_baseline(_seq(s, d)), max_boundaries=3),
-    # all boundaries, the original's default; the query above has the three of its SQL
-    "combine_results_whole": lambda s, d: S.combined(_seq(s, d), S.periodic_baseline(_seq(s, d))),
+    "combine_results": lambda s, d: S.combined(_seq(s, d), S.periodic_baseline(_seq(s, d))),
     "segment_ids": lambda s, d: S.segments(_seq(s, d)),
     "segment_vote": lambda s, d: S.segment_vote(_seq(s, d)),
     "majority_act": lambda s, d: S.majority(_seq(s, d)),
     "next_labels": lambda s, d: S.next_labels(_seq(s, d)),
     "bieo_tags": lambda s, d: S.bieo(_tags(s, d)),
-    "window_features": lambda s, d: S.window_features(_seq(s, d), [("a", [(-1, 0)]), ("b", [(-1, 0), (0, 0)]), ("c", [(0, 0), (1, 0)])], ["act"]).select("fold", "pos", F.array_join("features", " ").alias("features")),
     "kfold_assign": lambda s, d: K.k_folds(_files(s, d), "filename"),
     "holdout_split": lambda s, d: K.holdout(_files(s, d), "filename"),
     "line_folds": lambda s, d: K.line_folds(table(s, d, "tagged_lines")),
@@ -75,16 +72,12 @@ SQL = {
     "pk": f"WITH {_N} SELECT n.fold, round(v, 6) AS pk FROM n LEFT JOIN ({_PK}) p USING (fold)",
     "accuracy_prf": f"WITH {_A} SELECT fold, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) END, 6) AS f1, round(ratio, 6) AS segment_ratio FROM ({_AG})",
     "periodic_baseline": f"WITH {_N}, {_BASE} SELECT * FROM b",
-    "combine_results": f"""WITH {_N}, {_BASE}, j AS (SELECT fold, pos, CASE WHEN baseline = 'T' THEN 1 WHEN result = 'T' THEN confidence ELSE 0 END AS score FROM q JOIN b USING (fold, pos)),
-k AS (SELECT fold, pos FROM j WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY score DESC, pos) <= 3)
-SELECT fold, pos, CASE WHEN (fold, pos) IN (SELECT (fold, pos) FROM k) THEN 'T' ELSE 'F' END AS label FROM j""",
-    "combine_results_whole": f"WITH {_N}, {_BASE} SELECT fold, pos, CASE WHEN baseline = 'T' OR result = 'T' AND confidence >= 0.75 THEN 'T' ELSE 'F' END AS label FROM q JOIN b USING (fold, pos)",
+    "combine_results": f"WITH {_N}, {_BASE} SELECT fold, pos, CASE WHEN baseline = 'T' OR result = 'T' AND confidence >= 0.75 THEN 'T' ELSE 'F' END AS label FROM q JOIN b USING (fold, pos)",
     "segment_ids": f"WITH {_A}, {_SEG} SELECT * FROM g",
     "segment_vote": f"WITH {_A}, {_SEG}, v AS (SELECT fold, segment, act, max(seen) AS seen FROM (SELECT *, count(*) OVER (PARTITION BY fold, act ORDER BY pos) AS seen FROM g) GROUP BY ALL) SELECT fold, segment, act AS vote FROM v QUALIFY row_number() OVER (PARTITION BY fold, segment ORDER BY seen DESC, act) = 1",
     "majority_act": f"WITH {_A} SELECT fold, act FROM (SELECT fold, act, count(*) AS n FROM q GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY fold ORDER BY n DESC, act) = 1",
     "next_labels": f"WITH {_A} SELECT fold, pos, act, next_label FROM (SELECT *, lead(gold, 1, 'T') OVER (PARTITION BY fold ORDER BY pos) AS next_label FROM q) WHERE act <> 'none'",
     "bieo_tags": f"WITH {_A}, r AS (SELECT fold AS couple, pos, gold = 'F' AS al FROM q) SELECT couple, pos, CASE WHEN NOT al THEN 'O' WHEN p AND n THEN 'I' WHEN p THEN 'E' WHEN n THEN 'B' ELSE 'BE' END AS tag FROM (SELECT *, lag(al, 1, false) OVER w AS p, lead(al, 1, false) OVER w AS n FROM r WINDOW w AS (PARTITION BY couple ORDER BY pos))",
-    "window_features": f"WITH {_A} SELECT fold, pos, 'a/' || p || ' b/' || p || '/' || act || ' c/' || act || '/' || n AS features FROM (SELECT *, lag(act, 1, '_x') OVER w AS p, lead(act, 1, '_x') OVER w AS n FROM q WINDOW w AS (PARTITION BY fold ORDER BY pos))",
     "kfold_assign": "SELECT filename, ((row_number() OVER (ORDER BY filename) - 1) % 10)::INT AS fold FROM (SELECT DISTINCT filename FROM tagged_files)",
     "holdout_split": "SELECT filename, CASE WHEN row_number() OVER (ORDER BY filename) - 1 < floor(count(*) OVER () * 0.9) THEN 'train' ELSE 'test' END AS part FROM (SELECT DISTINCT filename FROM tagged_files)",
     "line_folds": "SELECT DISTINCT filename, phys_no, ((phys_no - 1) % 10)::INT AS fold FROM tagged_lines",

@@ -50,6 +50,10 @@ _FLAGS = {
     "contains_second_person_mark": _within(T.SECOND_PERSON),
     "contains_third_person_mark": _within(T.THIRD_PERSON),
 }
+#: All flags; those above are the ones of ``line_flags``' first form.
+ALL_FLAGS = {k: e for name, e in _FLAGS.items() for k, e in ([(name, e)] + ([("ends_with_" + name[4:], rf"regexp_matches(line, '{dict(has_colon=':', has_semicolon=';')[name]} *$')")] if name in ("has_colon", "has_semicolon") else []))}
+#: The flags in the order of the feature table.
+ARFF_FLAGS = ["has_question_mark", "ends_with_question_mark", "has_colon", "ends_with_colon", "has_semicolon", "ends_with_semicolon", *[k for k in _FLAGS if not k.startswith(("has_question", "ends_with", "has_colon", "has_semicolon"))]]
 _PRONOUN = f"upper(coalesce(list_filter(list_transform(tokens, lambda t: lower(t)), lambda t: t IN {_in(T.PERSONAL_PRONOUNS)})[-1], 'NO_PERSONAL_PRONOUN'))"
 _F = _R + ",\nf AS (SELECT filename, line_number, " + ", ".join(f"{e} AS {k}" for k, e in _NUM.items()) + " FROM r)"
 
@@ -80,14 +84,7 @@ def _texttiling(spark, d):
 
 
 def _ngram_hits(spark, d):
-    r = T.records(_lines(spark, d))
-    # a list of fixed length that goes into one expression, as the reference's own list does
-    return T.ngram_hits(r, [x.ngram for x in T.top_ngrams(_lines(spark, d), 200).collect()])
-
-
-def _ngram_hits_whole(spark, d):
-    """All of the 1000 n-grams, a list of fixed length as well; ``ngram_hits`` has the first 200, as its SQL."""
-    grams = T.top_ngrams(_lines(spark, d)).collect()
+    grams = T.top_ngrams(_lines(spark, d)).collect()  # a list of fixed length that goes into one expression, as the reference's own list does
     return T.ngram_hits(T.records(_lines(spark, d)), [x.ngram for x in sorted(grams, key=lambda x: x.rank)])
 
 
@@ -102,12 +99,11 @@ QUERIES = {
     "rare_token_filter": lambda s, d: T.frequent_tokens(_lines(s, d)),
     "hinge_tokens": lambda s, d: T.hinge_tokens(T.records(_lines(s, d))),
     "line_features": _numeric,
-    "line_flags": lambda s, d: _features(s, d).select("filename", "line_number", "first_personal_pronoun", *_FLAGS),
+    "line_flags": lambda s, d: _features(s, d).select("filename", "line_number", "first_personal_pronoun", *ALL_FLAGS),
     "feature_averages": _averages,
     "discretised_lines": lambda s, d: T.discretised(_features(s, d)),
     "top_ngrams": lambda s, d: T.top_ngrams(_lines(s, d)),
     "ngram_hits": _ngram_hits,
-    "ngram_hits_whole": _ngram_hits_whole,
     "texttiling_join": _texttiling,
     "labelled_sequence": lambda s, d: T.labelled_sequence(_lines(s, d)),
 }
@@ -137,15 +133,12 @@ k AS (SELECT filename, line_number, string_agg(t, ' ' ORDER BY pos) AS kept FROM
 SELECT r.filename, r.line_number, coalesce(kept, '@NULL') AS kept FROM r LEFT JOIN k USING (filename, line_number)""",
     "hinge_tokens": f"WITH {_R} SELECT filename, line_number, " + ", ".join(f"coalesce(tokens[{s}{i}], 'NULL.TOKEN') AS {n}_{i}" for n, s in (("first", ""), ("last", "-")) for i in (1, 2, 3)) + " FROM r",
     "line_features": f"WITH {_F} SELECT filename, line_number, " + ", ".join(f"round({k}, 6) AS {k}" for k in _NUM) + " FROM f",
-    "line_flags": f"WITH {_R} SELECT filename, line_number, {_PRONOUN} AS first_personal_pronoun, " + ", ".join(f"{e} AS {k}" for k, e in _FLAGS.items()) + " FROM r",
+    "line_flags": f"WITH {_R} SELECT filename, line_number, {_PRONOUN} AS first_personal_pronoun, " + ", ".join(f"{e} AS {k}" for k, e in ALL_FLAGS.items()) + " FROM r",
     "feature_averages": f"WITH {_F} SELECT " + ", ".join(f"round(avg({k}), 6) AS {k}" for k in _NUM) + " FROM f",
     "discretised_lines": f"WITH {_F}, a AS (SELECT " + ", ".join(f"avg({k}) AS a_{k}" for k in _NUM) + " FROM f) SELECT filename, line_number, "
     + ", ".join(f"CASE WHEN {k} IS NULL THEN NULL WHEN {k} > 1.5 * a_{k} THEN '{k}_highest' WHEN {k} < a_{k} THEN '{k}_low' ELSE '{k}_high' END AS {k}" for k in _NUM) + " FROM f CROSS JOIN a",
     "top_ngrams": f"WITH {_GRAMS} SELECT row_number() OVER (ORDER BY n DESC, ngram)::INT AS rank, ngram FROM top ORDER BY n DESC, ngram LIMIT 1000",
-    "ngram_hits": f"""WITH {_GRAMS}, u AS (SELECT ngram, row_number() OVER (ORDER BY n DESC, ngram) AS k FROM top QUALIFY k <= 200),
-h AS (SELECT filename, line_number, string_agg(ngram, '|' ORDER BY k) AS ngrams, count(*)::INT AS hits FROM r JOIN u ON contains(line, ngram) GROUP BY ALL)
-SELECT r.filename, r.line_number, coalesce(hits, 0) AS hits, coalesce(ngrams, '') AS ngrams FROM r LEFT JOIN h USING (filename, line_number)""",
-    "ngram_hits_whole": f"""WITH {_GRAMS}, u AS (SELECT ngram, row_number() OVER (ORDER BY n DESC, ngram) AS k FROM top QUALIFY k <= 1000),
+    "ngram_hits": f"""WITH {_GRAMS}, u AS (SELECT ngram, row_number() OVER (ORDER BY n DESC, ngram) AS k FROM top QUALIFY k <= 1000),
 h AS (SELECT filename, line_number, string_agg(ngram, '|' ORDER BY k) AS ngrams, count(*)::INT AS hits FROM r JOIN u ON contains(line, ngram) GROUP BY ALL)
 SELECT r.filename, r.line_number, coalesce(hits, 0) AS hits, coalesce(ngrams, '') AS ngrams FROM r LEFT JOIN h USING (filename, line_number)""",
     "texttiling_join": f"WITH {_R} SELECT filename, line_number, CASE WHEN line_number % 4 = 1 THEN 'S' ELSE 'O' END AS text_tiling_boundary FROM r",

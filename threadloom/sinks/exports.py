@@ -17,6 +17,22 @@ def sequence_tsv(features: DataFrame, columns: list[str], label: str | None = "l
     return rows.unionByName(ends)
 
 
+def sequence_files(features: DataFrame, records: DataFrame, columns: list[str]) -> DataFrame:
+    """SNK5: the lines of the four files of a split; ``features`` has ``part`` (train or test) beside ``columns`` and ``label``.
+
+    ``train``: features and label; ``test``: features; ``gold``: the label alone; ``origin``: the line as it stands. An empty line ends each message.
+    """
+    of = lambda part: features.where(F.col("part") == part)
+    named = lambda name, df: df.select(F.lit(name).alias("file"), "filename", "line_number", "line")
+    test = of("test").select("filename", "line_number")
+    return (
+        named("train", sequence_tsv(of("train"), columns))
+        .unionByName(named("test", sequence_tsv(of("test"), columns, None)))
+        .unionByName(named("gold", sequence_tsv(of("test"), [], "label")))
+        .unionByName(named("origin", sequence_tsv(records.join(test, ["filename", "line_number"], "left_semi").withColumnRenamed("line", "_line"), [], "_line")))
+    )
+
+
 def arff_header(relation: str, schema: list[tuple[str, str]], labels: list[str]) -> list[str]:
     """SNK6: header lines; string attributes are left out here and in the rows, so both have as many."""
     kinds = {"boolean": "{TRUE, FALSE}", "int": "integer", "bigint": "integer", "double": "real"}
@@ -26,7 +42,7 @@ def arff_header(relation: str, schema: list[tuple[str, str]], labels: list[str])
 def arff_rows(features: DataFrame, label: str = "label") -> DataFrame:
     """SNK6: data rows of the numeric and boolean columns and the class; missing values are ``?``."""
     names = [(n, t) for n, t in features.dtypes if t in ("boolean", "int", "bigint", "double") and n != "line_number"]
-    cell = lambda n, t: F.coalesce(F.upper(F.col(n).cast("string")) if t == "boolean" else F.round(n, 6).cast("string") if t == "double" else F.col(n).cast("string"), F.lit("?"))
+    cell = lambda n, t: F.coalesce(F.upper(F.col(n).cast("string")) if t == "boolean" else F.round(n, 6).cast("decimal(18,6)").cast("string") if t == "double" else F.col(n).cast("string"), F.lit("?"))
     return features.select("filename", "line_number", F.concat_ws(",", *[cell(*x) for x in names], F.col(label)).alias("line"))
 
 
