@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import segments as S
 
-METRICS = ["accuracy", "precision", "recall", "f1", "windowdiff", "pk", "ghd", "segment_ratio"]
 SYSTEMS = ["result", "baseline", "texttiling"]
 
 
@@ -87,12 +86,11 @@ def systems(seq: DataFrame, marked: DataFrame, sentences: DataFrame) -> DataFram
 
 def score_table(of: DataFrame) -> DataFrame:
     """D15, AGG9: ``fold``, ``metric`` and the value of each system; the last metric is the number of boundaries, gold ones in ``gold``."""
-    wide = S.windowdiff(of).join(S.pk(of), "fold").join(S.ghd(of), "fold").join(S.agreement(of), "fold")
-    counts = of.groupBy("fold").agg(F.count_if(F.col("result") == "T").cast("double").alias("boundaries"), F.count_if(F.col("gold") == "T").cast("double").alias("gold"))
-    names = [*METRICS, "boundaries"]
-    long = wide.join(counts, "fold").select(F.split_part("fold", F.lit("\t"), F.lit(2)).alias("fold"), F.split_part("fold", F.lit("\t"), F.lit(1)).alias("system"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.when(F.lit(m == "boundaries"), F.col("gold")).alias("gold")) for m in names])).alias("x"))
-    of_system = lambda s: F.max(F.when(F.col("system") == s, F.col("x.value"))).alias(s)
-    return long.groupBy("fold", "x.metric").agg(*map(of_system, SYSTEMS), F.max("x.gold").alias("gold"))
+    counts = of.groupBy("fold").agg(F.lit("boundaries").alias("metric"), F.count_if(F.col("result") == "T").cast("double").alias("value"), F.count_if(F.col("gold") == "T").cast("double").alias("gold"))
+    rows = S.metric_rows(of).withColumn("gold", F.lit(None).cast("double")).unionByName(counts)
+    long = rows.select(F.split_part("fold", F.lit("\t"), F.lit(2)).alias("fold"), F.split_part("fold", F.lit("\t"), F.lit(1)).alias("system"), "metric", "value", "gold")
+    of_system = lambda s: F.max(F.when(F.col("system") == s, F.col("value"))).alias(s)
+    return long.groupBy("fold", "metric").agg(*map(of_system, SYSTEMS), F.max("gold").alias("gold"))
 
 
 def averaged(scores: DataFrame) -> DataFrame:

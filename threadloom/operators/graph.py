@@ -24,6 +24,33 @@ class Graph:
         self.edges = save(reply_links(self.rows), "edges")
         self.starts = self.rows.where(is_start()).select("seq")
 
+    def save(self, path: str) -> None:
+        """SNK2: the graph's tables under ``path``, what was there is replaced."""
+        self.rows.write.mode("overwrite").parquet(path + "/rows")
+        self.edges.write.mode("overwrite").parquet(path + "/edges")
+
+    @classmethod
+    def load(cls, messages: DataFrame, path: str) -> "Graph":
+        """SRC14: a saved graph, nothing is linked anew; one that isn't there is computed."""
+        spark = messages.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/edges/_SUCCESS")
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return cls(messages)
+        g = cls.__new__(cls)
+        g.messages, g.rows, g.edges = messages, spark.read.parquet(path + "/rows"), spark.read.parquet(path + "/edges")
+        g.starts = g.rows.where(is_start()).select("seq")
+        return g
+
+    def run_counts(self) -> DataFrame:
+        """AGG13: links found by subject, threads, couples and inline replies that make none."""
+        stated = self.rows.where(F.col("ref").isNotNull()).select("seq")
+        count = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
+        parts = [("repaired", self.edges.join(stated, "seq", "left_anti")), ("threads", self.starts), ("couples", self.couples()), ("failures", self.failures())]
+        out = count(*parts[0])
+        for p in parts[1:]:
+            out = out.unionByName(count(*p))
+        return out
+
     def threads(self) -> DataFrame:
         return roots(self.edges, self.starts)
 

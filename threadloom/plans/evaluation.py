@@ -145,15 +145,7 @@ _SYS = f"""{PS._A.replace("q AS (SELECT thread", "q0 AS (SELECT thread")}, n0 AS
 {_TRAIN.replace("FROM n)", "FROM n0)")}, {_TB.replace("FROM q JOIN", "FROM q0 JOIN")},
 q AS (SELECT unnest(['result', 'baseline', 'texttiling']) || chr(9) || fold AS fold, pos, gold, unnest([result, baseline, texttiling]) AS result FROM q0 JOIN tb USING (fold, pos) JOIN tt USING (fold, pos)),
 n AS (SELECT fold, count(*) AS n, count(*) FILTER (WHERE gold = 'T') AS t FROM q GROUP BY fold)"""
-#: The edit distance of boundary lists, a cell a step: ``p`` is the row before, ``c`` the row so far.
-GHD_SQL = """gl AS (SELECT fold, count(*) AS n, coalesce(list(pos ORDER BY pos) FILTER (WHERE result = 'T'), []) AS h, coalesce(list(pos ORDER BY pos) FILTER (WHERE gold = 'T'), []) AS r FROM q GROUP BY fold),
-gw AS (SELECT fold, n, h, r, 0 AS i, list_transform(generate_series(0, len(r)), lambda j: j * 2.0::DOUBLE) AS p, []::DOUBLE[] AS c FROM gl
-       UNION ALL
-       SELECT fold, n, h, r, CASE WHEN len(c) = len(r) + 1 THEN i + 1 ELSE i END, CASE WHEN len(c) = len(r) + 1 THEN c ELSE p END,
-              CASE WHEN len(c) = len(r) + 1 THEN [] WHEN len(c) = 0 THEN [(i + 1) * 2.0::DOUBLE]
-                   ELSE list_append(c, least(p[len(c) + 1] + 2, c[len(c)] + 2, p[len(c)] + abs(h[i + 1] - r[len(c)]))) END
-       FROM gw WHERE i < len(h)),
-gd AS (SELECT fold, p[len(r) + 1] / n AS v FROM gw WHERE i = len(h) AND len(c) = 0)"""
+GHD_SQL = PS.GHD_SQL
 _TABLE = f"""{GHD_SQL}, w AS (SELECT n.fold, accuracy, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) END AS f1, wd.v AS windowdiff, pk.v AS pk, gd.v AS ghd, ratio AS segment_ratio,
   (SELECT count(*) FROM q WHERE q.fold = n.fold AND result = 'T')::DOUBLE AS boundaries, t::DOUBLE AS gold
   FROM n LEFT JOIN ({PS._WD}) wd USING (fold) LEFT JOIN ({PS._PK}) pk USING (fold) LEFT JOIN gd USING (fold) LEFT JOIN ({PS._AG}) ag USING (fold)),

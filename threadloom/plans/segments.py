@@ -20,6 +20,15 @@ _PK = """SELECT fold, avg((sr AND NOT sg)::INT) * (1 - avg(sg::INT)) + avg((sg A
   LEFT JOIN q y ON x.fold = y.fold AND y.pos BETWEEN x.pos + 1 AND x.pos + k - 1 WHERE x.pos + k <= n GROUP BY x.fold, x.pos) GROUP BY fold"""
 _AG = """SELECT fold, same::DOUBLE / n AS accuracy, CASE WHEN r > 0 THEN b::DOUBLE / r END AS precision, CASE WHEN g > 0 THEN b::DOUBLE / g END AS recall, CASE WHEN g > 0 THEN r::DOUBLE / g END AS ratio
 FROM (SELECT fold, count(*) AS n, count(*) FILTER (WHERE gold = result) AS same, count(*) FILTER (WHERE gold = 'T') AS g, count(*) FILTER (WHERE result = 'T') AS r, count(*) FILTER (WHERE gold = 'T' AND result = 'T') AS b FROM q GROUP BY fold)"""
+#: The edit distance of boundary lists, a cell a step: ``p`` is the row before, ``c`` the row so far.
+GHD_SQL = """gl AS (SELECT fold, count(*) AS n, coalesce(list(pos ORDER BY pos) FILTER (WHERE result = 'T'), []) AS h, coalesce(list(pos ORDER BY pos) FILTER (WHERE gold = 'T'), []) AS r FROM q GROUP BY fold),
+gw AS (SELECT fold, n, h, r, 0 AS i, list_transform(generate_series(0, len(r)), lambda j: j * 2.0::DOUBLE) AS p, []::DOUBLE[] AS c FROM gl
+       UNION ALL
+       SELECT fold, n, h, r, CASE WHEN len(c) = len(r) + 1 THEN i + 1 ELSE i END, CASE WHEN len(c) = len(r) + 1 THEN c ELSE p END,
+              CASE WHEN len(c) = len(r) + 1 THEN [] WHEN len(c) = 0 THEN [(i + 1) * 2.0::DOUBLE]
+                   ELSE list_append(c, least(p[len(c) + 1] + 2, c[len(c)] + 2, p[len(c)] + abs(h[i + 1] - r[len(c)]))) END
+       FROM gw WHERE i < len(h)),
+gd AS (SELECT fold, p[len(r) + 1] / n AS v FROM gw WHERE i = len(h) AND len(c) = 0)"""
 _BASE = "b AS (SELECT fold, pos, CASE WHEN pos % period = 0 THEN 'T' ELSE 'F' END AS baseline FROM q JOIN (SELECT fold, ceil(n::DOUBLE / (t + 1))::INT AS period FROM n) USING (fold))"
 _SEG = "g AS (SELECT fold, pos, act, sum((gold = 'T')::INT) OVER (PARTITION BY fold ORDER BY pos)::INT AS segment FROM q)"
 
@@ -71,6 +80,10 @@ SQL = {
     "windowdiff": f"WITH {_N} SELECT fold, round(v, 6) AS windowdiff FROM ({_WD})",
     "pk": f"WITH {_N} SELECT n.fold, round(v, 6) AS pk FROM n LEFT JOIN ({_PK}) p USING (fold)",
     "accuracy_prf": f"WITH {_A} SELECT fold, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) END, 6) AS f1, round(ratio, 6) AS segment_ratio FROM ({_AG})",
+    "ghd": f"WITH RECURSIVE {_A}, {GHD_SQL} SELECT fold, round(v, 6) AS ghd FROM gd",
+    "score_table": f"""WITH RECURSIVE {_N}, {GHD_SQL}, w AS (SELECT avg(round(wd.v, 6)) AS windowdiff, avg(round(pk.v, 6)) AS pk, avg(round(gd.v, 6)) AS ghd, avg(round(accuracy, 6)) AS accuracy, avg(round(precision, 6)) AS precision, avg(round(recall, 6)) AS recall,
+avg(round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) END, 6)) AS f1, avg(round(ratio, 6)) AS segment_ratio FROM n LEFT JOIN ({_WD}) wd USING (fold) LEFT JOIN ({_PK}) pk USING (fold) LEFT JOIN gd USING (fold) LEFT JOIN ({_AG}) ag USING (fold))
+SELECT unnest(['windowdiff', 'pk', 'ghd', 'accuracy', 'precision', 'recall', 'f1', 'segment_ratio']) AS metric, unnest([round(windowdiff, 6), round(pk, 6), round(ghd, 6), round(accuracy, 6), round(precision, 6), round(recall, 6), round(f1, 6), round(segment_ratio, 6)]) AS value FROM w""",
     "periodic_baseline": f"WITH {_N}, {_BASE} SELECT * FROM b",
     "combine_results": f"WITH {_N}, {_BASE} SELECT fold, pos, CASE WHEN baseline = 'T' OR result = 'T' AND confidence >= 0.75 THEN 'T' ELSE 'F' END AS label FROM q JOIN b USING (fold, pos)",
     "segment_ids": f"WITH {_A}, {_SEG} SELECT * FROM g",

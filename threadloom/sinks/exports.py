@@ -6,7 +6,8 @@ Each gives a table of ordered lines (``file``, ``at``, ``line``); :func:`write_l
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import escaped
+from threadloom.functions.text import escaped, two_decimals, words_and_signs
+from threadloom.operators.graph import file_names
 
 
 def sequence_tsv(features: DataFrame, columns: list[str], label: str | None = "label") -> DataFrame:
@@ -46,41 +47,51 @@ def arff_rows(features: DataFrame, label: str = "label") -> DataFrame:
     return features.select("filename", "line_number", F.concat_ws(",", *[cell(*x) for x in names], F.col(label)).alias("line"))
 
 
-def tagged_text(lines: DataFrame) -> DataFrame:
-    """SNK4: ``TAG<tab>line`` of the aligned source lines that have a reply side."""
-    return lines.where("reply_line IS NOT NULL").select("source_seq", "pos", F.concat_ws("\t", "tag", "source_line").alias("line"))
+def tagged_text(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """SNK4: ``TAG<tab>line`` of the aligned source lines that have a reply side; with ``files`` (``source_seq``, ``source_file``) first ``# path``."""
+    rows = lines.where("reply_line IS NOT NULL").select("source_seq", "pos", F.concat_ws("\t", "tag", "source_line").alias("line"))
+    if files is None:
+        return rows
+    return rows.unionByName(files.select("source_seq", F.lit(-1).alias("pos"), F.concat(F.lit("# "), "source_file").alias("line")))
 
 
 def gold_text(marked: DataFrame, sentences: DataFrame) -> DataFrame:
     """SNK10: ``T/F<tab>act<tab>tokens`` of each sentence."""
-    words = F.array_join(F.regexp_extract_all("text", F.lit(r"(?U)\w+|[^\w\s]+"), F.lit(0)), " ")
+    words = F.array_join(words_and_signs(F.col("text")), " ")
     text = sentences.where("text IS NOT NULL").groupBy("thread", "sid").agg(F.min("text").alias("text"))
     return marked.join(text, ["thread", "sid"]).select("thread", "sid", F.concat_ws("\t", F.when(F.col("changed"), "T").otherwise("F"), "act", words).alias("line"))
 
 
 def score_text(scores: DataFrame) -> DataFrame:
     """SNK7: one line a metric, two decimals, in percent."""
-    return scores.select("metric", F.format_string("%-24s%8s", F.col("metric"), F.coalesce(F.format_string("%.2f", F.col("value") * 100), F.lit("-"))).alias("line"))
+    return scores.select("metric", F.format_string("%-24s%8s", F.col("metric"), F.coalesce(two_decimals(F.col("value"), True), F.lit("-"))).alias("line"))
 
 
 def strip_html(seq: DataFrame) -> DataFrame:
-    """SNK8: each fold's gold and result labels as rows of coloured cells."""
+    """SNK8: each fold's gold, result and, if there is one, baseline labels as rows of coloured cells. A strip is one line of HTML, so a fold is one row."""
     cell = lambda c: F.concat(F.lit('<td class="'), F.lower(c), F.lit('"></td>'))
     row = lambda c: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: cell(x[c])), ""), F.lit("</tr>"))
-    return seq.groupBy("fold").agg(F.concat(F.lit("<table>"), row("gold"), row("result"), F.lit("</table>")).alias("html"))
+    return seq.groupBy("fold").agg(F.concat(F.lit("<table>"), row("gold"), row("result"), *([row("baseline")] if "baseline" in seq.columns else []), F.lit("</table>")).alias("html"))
 
 
 def graph_report(graph) -> DataFrame:
-    """SNK3: sections of the reply graph: roots, replies by parent, couples without first replies, trees, statistics."""
+    """SNK3: the seven sections of the reply graph, one line a row.
+
+    1 roots; 2 replies by parent; 3 parents by reply; 4 number of messages without id; 5 couples without first replies; 6 trees
+    and statistics; 7 file names by id.
+    """
     part = lambda n, df, line: df.select(F.lit(n).alias("section"), line.cast("string").alias("line"))
     stats = graph.statistics()
     numbers = stats.select(F.explode(F.array(*[F.concat(F.lit(c + ": "), F.coalesce(F.col(c).cast("string"), F.lit("NaN"))) for c in stats.columns])).alias("line"))
     return (
         part(1, graph.starts, F.col("seq"))
         .unionByName(part(2, graph.children(), F.concat_ws(" <- ", "parent", "child")))
-        .unionByName(part(3, graph.later_replies(), F.concat_ws(" <- ", "parent", "seq")))
-        .unionByName(part(4, graph.tree(), F.concat_ws(" ", "path", "entry")))
-        .unionByName(part(5, numbers, F.col("line")))
+        .unionByName(part(3, graph.edges, F.concat_ws(" -> ", "seq", "parent")))
+        .unionByName(part(4, graph.messages.agg(F.count_if(F.col("message_id").isNull()).alias("n")), F.col("n")))
+        .unionByName(part(5, graph.later_replies(), F.concat_ws(" <- ", "parent", "seq")))
+        .unionByName(part(6, graph.tree(), F.concat_ws(" ", "path", "entry")))
+        .unionByName(part(6, numbers, F.col("line")))
+        .unionByName(part(7, file_names(graph.messages), F.concat_ws(" ", "id", F.coalesce("filename", F.lit("")))))
     )
 
 

@@ -12,10 +12,14 @@ HEADER = ["path", "message_id", "mime", "encoding", "is_initial", "from_address"
 def scan_tagged(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """SRC7, SRC8: lines (``filename phys_no raw``) and header data of a folder of tagged files.
 
-    The header is the first of the leading ``#`` lines with eight tab-separated fields; files without have none.
+    The header is the first of the leading ``#`` lines with eight tab-separated fields; files without have none. A file is
+    read as one value, since its lines have no numbers of their own; one message is one file. Where the files lie in folders
+    ``filename=...``, as :func:`threadloom.sinks.exports.write_lines` writes them, these give the names.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("filename"), "value")
-    body = F.regexp_replace("value", r"\n$", "")
+    files = spark.read.text(path, wholetext=True)
+    name = F.col("filename").cast("string") if "filename" in files.columns else F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    whole = files.select(name.alias("filename"), "value")
+    body = F.regexp_replace("value", r"\n\z", "")
     lines = whole.select("filename", F.posexplode(F.split(body, "\n")).alias("i", "raw")).select("filename", (F.col("i") + 1).alias("phys_no"), "raw")
     head = lines.groupBy("filename").agg(F.min(F.when(~F.col("raw").startswith("#"), F.col("phys_no"))).alias("body"))
     fields = F.split(F.expr("substring(raw, 3)"), "\t")
@@ -24,9 +28,22 @@ def scan_tagged(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return lines, heads.select("filename", *[F.col("f")[i].alias(k) for i, k in enumerate(HEADER[1:])])
 
 
+def scan_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """SRC16: ``label tag tokens`` of the lines with more than two tokens whose tag isn't ``none``; a line is a row, files are split anywhere."""
+    w = F.filter(F.split("value", r"\s+"), lambda x: x != "")
+    rows = spark.read.text(path).select(w.alias("w")).where("size(w) > 2")
+    return rows.select(F.col("w")[0].alias("label"), F.col("w")[1].alias("tag"), F.expr("slice(w, 3, size(w) - 2)").alias("tokens")).where("tag <> 'none'")
+
+
+def scan_labels(spark: SparkSession, path: str) -> DataFrame:
+    """SRC9: ``filename line_number tt_label`` of a parallel folder of label files, one label a line."""
+    lines, _ = scan_tagged(spark, path)
+    return lines.select("filename", F.col("phys_no").alias("line_number"), F.trim("raw").alias("tt_label"))
+
+
 def scan_words(spark: SparkSession, path: str) -> DataFrame:
     """SRC10: ``rank``, ``ngram`` of a list with one n-gram a line, in file order."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("i", "w"))
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("i", "w"))
     return whole.select((F.col("i") + 1).alias("rank"), F.trim("w").alias("ngram"))
 
 
