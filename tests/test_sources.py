@@ -36,6 +36,25 @@ def test_mbox(spark, tmp_path):
     assert [r.subject for r in got] == ["Re: hi", "two", None]
 
 
+def test_mbox_is_split(spark, tmp_path):
+    """Small blocks: the same messages in the same order, whatever the cut."""
+    body = [f"Subject: s{i}\n\n" + "line é\n" * (i % 9) + (">From x\n" if i % 4 else "") for i in range(300)]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m/a.mbox").write_text("lead\n\n" + "".join(f"From x{i}\n{b}\n" for i, b in enumerate(body)))
+    (tmp_path / "m/b.mbox").write_bytes(b"From y\nSubject: t\n\nbad \xff byte\n")
+    want = None
+    for size in ("128m", "1k", "300"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = mail.scan_mbox(spark, str(tmp_path / "m"))
+        got = [(r.file[-6:], r.raw) for r in df.orderBy("file", "pos").collect()]
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert len(got) == 302 and got[0] == ("a.mbox", "lead\n") and got[-1] == ("b.mbox", "Subject: t\n\nbad \ufffd byte") and (want or got) == got
+        want = got
+    assert [r for _, r in want[1:301]] == body
+
+
 def test_tagged_files(spark, tmp_path):
     (tmp_path / "x.txt").write_text("# a\n# id\ttext/plain\tUTF-8\ttrue\tf@x\tF\tt@x\tT\nB\ta b\n\nI\tc\n")
     (tmp_path / "y.txt").write_text("# only\nB\tz\n")

@@ -2,10 +2,10 @@
 
 import email
 import email.policy
-import re
 from email.utils import parseaddr, parsedate_to_datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,21 +13,53 @@ MESSAGE = "seq BIGINT, date TIMESTAMP, from_name STRING, from_email STRING, to_n
 
 
 def scan_mbox(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """SRC1, SRC2: ``file``, ``pos`` (in the file, from 0), ``raw``; a message starts at a line ``From ``.
+    """SRC1, SRC2: ``file``, ``pos``, ``raw``; a message starts at a line ``From ``.
 
-    Files are read as bytes, one a task, since the position in a file isn't known otherwise; many mailboxes spread over many tasks.
+    Files are split like other texts, so a mailbox of any size spreads over many tasks. ``pos`` grows along a file: the
+    block's first byte and the number of the message in the block, which is its number in the file where that is one
+    block. What precedes the first such line is a message of its own; bytes that aren't text become U+FFFD.
     """
+    meta = lambda f: F.col(f"_metadata.{f}")
+    parts = spark.read.option("lineSep", "\nFrom ").option("encoding", encoding).text(path)
+    # of files in several blocks the last in which a message begins: a number a file, as the driver's listing has them too
+    cut = parts.where(meta("file_block_length") < meta("file_size")).groupBy(meta("file_path").alias("file")).agg(F.max(meta("file_block_start")).alias("block"))
+    last = spark.sparkContext.broadcast({r.file: r.block for r in cut.collect()})
+    rows = parts.select(meta("file_path").alias("file"), meta("file_block_start").alias("block"), F.make_valid_utf8("value").alias("value"))
+
     def run(batches):
-        for df in batches:
-            for name, data in zip(df["path"], df["content"]):
-                text = bytes(data).decode(encoding, "replace").removesuffix("\n")
-                parts = re.split(r"(?:\A|\n)From [^\n]*\n", text)
-                # messages are sent on in portions, so that a large mailbox isn't one batch
-                rows = [(name, i, p.split("\0", 1)[0]) for i, p in enumerate(p for p in parts if p.strip())]
-                for k in range(0, len(rows), 1000):
-                    yield pd.DataFrame(rows[k : k + 1000], columns=["file", "pos", "raw"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file STRING, pos INT, raw STRING")
+        held, n = None, 0  # the row before, which is the last of its file if the next is of another block
+        for batch in batches:
+            out = []
+            for file, block, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if held is None or held[:2] != (file, block):
+                    out += _message(held, n, True)
+                    n = 0
+                else:
+                    made = _message(held, n, False)
+                    n += len(made)
+                    out += made
+                first = block == 0 and (held is None or held[:2] != (file, block))
+                held = (file, block, block == last.value.get(file, block), value, first)
+            yield _raw(out)
+        yield _raw(_message(held, n, True))
+
+    return rows.mapInArrow(run, "file STRING, pos BIGINT, raw STRING")
+
+
+def _message(held, n: int, last: bool) -> list[tuple]:
+    """The message of a piece between two lines ``From ``, or nothing if it is blank."""
+    if held is None:
+        return []
+    file, block, ends, value, first = held
+    if last and ends:
+        value = value.removesuffix("\n")
+    if not first or value.startswith("From "):
+        value = value.partition("\n")[2]
+    return [(file, block + n, value.split("\0", 1)[0])] if value.strip() else []
+
+
+def _raw(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["file", "pos", "raw"])
 
 
 def _address(value: str | None) -> tuple[str | None, str | None]:
