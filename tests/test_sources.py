@@ -88,7 +88,7 @@ def test_whole_round_trip(spark, tmp_path):
     ]
     rows = [(i * 5 + k, *r) for i in range(4) for k, r in enumerate(kinds)]
     spark.createDataFrame(rows, "seq BIGINT, " + ", ".join(f"{n} STRING" for n in names)).write.parquet(str(tmp_path / "messages.parquet"))
-    got = {r.seq: r for r in learning.QUERIES["mbox_round_trip_whole"](spark, str(tmp_path)).withColumn("hour", F.hour("date")).collect()}
+    got = {r.seq: r for r in learning._round_trip(spark, str(tmp_path)).withColumn("hour", F.hour("date")).collect()}
     assert len(got) == len(rows)
     for seq, *r in rows:
         want = dict(zip(names, r))
