@@ -3,7 +3,7 @@ from datetime import datetime, timezone
 import pandas as pd
 import pytest
 
-from threadloom.operators.timestamps import layout, parse, sending_times, transitions, zone_table_version
+from threadloom.operators.timestamps import layout, parse, same_tables, sending_times, transitions, zone_table_version
 
 NOON = int(datetime(2012, 1, 2, 12, 0, 5, tzinfo=timezone.utc).timestamp())
 
@@ -50,3 +50,9 @@ def test_query(messages, mailboxes):
     m = messages([{"seq": 1, "msg_date": "2012-01-02T13:00:05"}, {"seq": 2}, {"seq": 3, "msg_date": "1/2/2012 7:00", "mailbox": "us"}, {"seq": 4, "msg_date": "2012-01-02T12:00:05", "mailbox": "none"}], ", _tz STRING, epoch_s BIGINT")
     assert {(r.seq, r.epoch_s) for r in sending_times(m, mailboxes).collect()} == {(1, NOON), (3, NOON - 5), (4, NOON)}
     assert sending_times(messages([]), mailboxes.limit(0)).count() == 0
+
+
+def test_other_zone_tables_are_refused():
+    same_tables(zone_table_version())
+    with pytest.raises(RuntimeError):
+        same_tables("2001a-0")

@@ -2,10 +2,11 @@
 
 A value is reduced to its shape: each letter ``a``, each digit ``9``, all else as it is. Equal shapes have
 their fields at equal places, so a shape is matched against the notations once, and all its values are then
-cut and converted as NumPy arrays. Local times go through transition tables of the zone database, whose
-version :func:`zone_table_version` names.
+cut and converted as NumPy arrays. Local times go through transition tables of the zone database; every
+worker checks that its version (:func:`zone_table_version`) is the driver's.
 """
 
+import hashlib
 import re
 from functools import cache, lru_cache
 
@@ -88,15 +89,31 @@ class _Shapes(dict):
 _SHAPE = _Shapes(_DIGITS)
 
 
+#: Zones with many kinds of rules, by whose tables a zone database is told from another.
+_PROBES = ["Europe/Paris", "Europe/Istanbul", "America/New_York", "America/Mexico_City", "Asia/Tehran", "Africa/Cairo"]
+
+
 @cache
 def zone_table_version() -> str:
-    """Version of the zone database whose transitions are used."""
+    """Version of the zone database whose transitions are used: its name, if it has one, and a fingerprint of its tables."""
     try:
         import tzdata
 
-        return tzdata.IANA_VERSION
+        name = tzdata.IANA_VERSION
     except (ImportError, AttributeError):
-        return "system"
+        name = "system"
+    h = hashlib.sha256()
+    for z in _PROBES:
+        h.update(z.encode())
+        for x in (transitions(z) or ())[:2]:
+            h.update(np.asarray(x, "int64").tobytes())
+    return f"{name}-{h.hexdigest()[:12]}"
+
+
+def same_tables(version: str) -> None:
+    """Raises an error where the zone tables aren't those of ``version``: a cluster must not convert by two of them."""
+    if (own := zone_table_version()) != version:
+        raise RuntimeError(f"zone tables {own} here, {version} on the driver")
 
 
 @lru_cache(4096)
@@ -260,14 +277,18 @@ def _convert(kind: str, spans: dict, chars: np.ndarray, zones: np.ndarray, order
     return local - shift, ok
 
 
-@F.pandas_udf(T.LongType())
-def _parse(values: pd.Series, zones: pd.Series, orders: pd.Series) -> pd.Series:
-    return parse(values, zones, orders)
+def epoch_seconds(value: Column, zone: Column, order: Column) -> Column:
+    """BIGINT UTC seconds of a timestamp string, null if it denotes none; Arrow batches, one parser a shape.
+
+    Every worker checks that its zone tables are the driver's.
+    """
+    version = zone_table_version()
 
+    def run(values: pd.Series, zones: pd.Series, orders: pd.Series) -> pd.Series:
+        same_tables(version)
+        return parse(values, zones, orders)
 
-def epoch_seconds(value: Column, zone: Column, order: Column) -> Column:
-    """BIGINT UTC seconds of a timestamp string, null if it denotes none; Arrow batches, one parser a shape."""
-    return _parse(value, zone, order)
+    return F.pandas_udf(run, T.LongType())(value, zone, order)
 
 
 def sending_times(messages: DataFrame, mailboxes: DataFrame) -> DataFrame:
