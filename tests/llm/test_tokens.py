@@ -82,6 +82,14 @@ def test_packing(spark):
     assert sum(load.values()) / (10 * len(load)) > 0.9
 
 
+def test_more_kinds_than_one_pass_takes(spark, monkeypatch):
+    monkeypatch.setattr(packing, "KINDS", 3)
+    df = spark.createDataFrame([(i, " a" * (i % 9)) for i in range(40)], "doc_id BIGINT, text STRING")
+    kinds = spark.createDataFrame([(f"k{i % 4}", 5 + i) for i in range(8)] + [(None, 7)], "container_kind STRING, capacity_tokens INT")
+    got = packing.pack(df, kinds.where("capacity_tokens < 9")).groupBy("container_kind").count().collect()
+    assert {r.container_kind: r["count"] >= 40 for r in got} == {f"k{i}": True for i in range(4)}
+
+
 def test_packing_nothing(spark):
     rows, kinds = _packed(spark, [])
     assert rows == [] and packing.fill(spark.createDataFrame([], packing.ROWS), kinds).count() == 0

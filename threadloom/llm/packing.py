@@ -20,6 +20,8 @@ from threadloom.sources.tables import spread
 
 #: Open windows a partition and capacity keeps, and partitions whose last windows are merged together.
 WINDOWS, GROUP = 64, 64
+#: Kinds of containers that are packed in one pass over the documents.
+KINDS = 200
 
 ROWS = "container_kind STRING, container STRING, doc_id BIGINT, part INT, start INT, n_tokens INT"
 
@@ -74,12 +76,28 @@ def pack(documents: DataFrame, containers: DataFrame, windows: int = WINDOWS, gr
 
     A document of more tokens than the capacity is cut into pieces of the capacity and a rest, which is packed like an
     item; any other has one piece. Documents without tokens (null or empty texts) take no room and stand in the window
-    with the least room left. Capacities that are null or below 1 have no containers; repeated rows are packed as often as they stand.
+    with the least room left. Kinds that are null and capacities that are null or below 1 have no containers; repeated rows are packed as often as they stand.
     """
-    kinds = [(r[0], r[1]) for r in containers.select("container_kind", "capacity_tokens").where("capacity_tokens >= 1").distinct().limit(1001).collect()]
-    if len(kinds) > 1000:
-        raise ValueError("more than 1000 kinds of containers")
     sized = token_counts(documents, folder, name).withColumn("p", F.spark_partition_id())
+    every = containers.select("container_kind", "capacity_tokens").where("capacity_tokens >= 1").distinct()
+    # each kind packs all documents for itself: so many of them at a time, however many there are
+    if every.limit(KINDS + 1).count() > KINDS:
+        sized = save(sized, "sized")
+    out, seen = None, None
+    while True:
+        part = every.orderBy("container_kind", "capacity_tokens") if seen is None else every.where((F.col("container_kind") > seen[0]) | (F.col("container_kind") == seen[0]) & (F.col("capacity_tokens") > seen[1])).orderBy("container_kind", "capacity_tokens")
+        kinds = [(r[0], r[1]) for r in part.where("container_kind IS NOT NULL").limit(KINDS).collect()]
+        if out is not None and not kinds:
+            return out
+        packed = _pack(sized, kinds, windows, group)
+        out = packed if out is None else out.unionByName(packed)
+        if len(kinds) < KINDS:
+            return out
+        seen = kinds[-1]
+
+
+def _pack(sized: DataFrame, kinds: list[tuple[str, int]], windows: int, group: int) -> DataFrame:
+    """:func:`pack` of sized documents into some kinds of containers."""
 
     def first(batches):
         p, open_, n = 0, {k: Open(c, windows) for k, c in kinds}, dict.fromkeys(kinds, 0)
