@@ -64,6 +64,15 @@ _LEGAL = re.compile(
     r"confiden|vertraulich|privileged|rechtlich gesch|informations prot|AVISO LEGAL|^NOTICE:|^HINWEIS:|^AVIS ?:|no liability|haften nicht|responsables de|intended only|destinat|bestimmt\b|before printing|avant d['’]imprimer|Ausdruck n|antes de imprimir|decline toute|free of errors|bind the company|is forbidden|est interdite|nicht gestattet|sin autoriz",
     re.M,
 )
+def _may_be_legal(t: str) -> bool:
+    """Whether a text has a part of some word of ``_LEGAL``: this is much faster than the pattern, which most texts don't match."""
+    return (
+        "onfiden" in t or "ertraulich" in t or "rivileged" in t or "echtlich" in t or "tions prot" in t or "AVIS" in t or "NOTICE" in t or "HINWEIS" in t or "liability" in t
+        or "haften" in t or "responsables" in t or "intended" in t or "destinat" in t or "bestimmt" in t or "printing" in t or "imprim" in t or "Ausdruck" in t or "decline" in t
+        or "of errors" in t or "bind the" in t or "forbidden" in t or "interdite" in t or "gestattet" in t or "autoriz" in t
+    )
+
+
 _FOREIGN = re.compile(rf"[{X}]+")
 
 
@@ -73,6 +82,8 @@ def bone(s: str) -> str:
     return s if s.isascii() else _FOREIGN.sub("", s)
 
 
+#: Whether any line may begin with a quotation mark, and how the last line of an introduction may end.
+_SOME_MARK, _INTRO_LAST = re.compile(r"^(?:[ \t]?[^\w\s]|[ \t]?[^\x00-\x7f]|[ \t]?[A-Z]{2,3}>)", re.M), frozenset(": \t\x0b\x0c")
 _ODD_BLANK = re.compile("[\x0b\x0c\x1c-\x1f]")
 
 
@@ -105,7 +116,9 @@ class Dictionary:
 
     def __init__(self, text: str, masked: bool = False):
         self.text, self.hit = text, 0
-        all_ = [bone(unmarked(x)[1]) if x and mark_of(x) else b for x, b in zip(text.split("\n"), bones(figures(text) if masked else text))]
+        all_ = bones(figures(text) if masked else text)
+        if not masked and _SOME_MARK.search(text):
+            all_ = [bone(unmarked(x)[1]) if x and mark_of(x) else b for x, b in zip(text.split("\n"), all_)]
         self.whole, self.lines = "".join(all_), frozenset(all_) - {""}
         self._pieces: list[bytes] | None = None
 
@@ -142,7 +155,7 @@ class Dictionary:
 def _packed(raw: bytes, dictionary: bytes = b"") -> int:
     # a small window suffices, and is sooner made, where all fits in it
     bits, memory = (-13, 5) if len(raw) + len(dictionary) < 7_900 else (-15, 8)
-    z = zlib.compressobj(6, zlib.DEFLATED, bits, memory, zlib.Z_DEFAULT_STRATEGY, *([dictionary] if dictionary else []))
+    z = zlib.compressobj(3, zlib.DEFLATED, bits, memory, zlib.Z_DEFAULT_STRATEGY, *([dictionary] if dictionary else []))
     return len(z.compress(raw)) + len(z.flush())
 
 
@@ -222,7 +235,7 @@ class Reducer:
             return OWN_CLOSING
         if not self.forms:
             return None
-        legal = len(_LEGAL.findall(text))
+        legal = len(_LEGAL.findall(text)) if _may_be_legal(text) else 0
         if legal > 1 or all(_DEVICE.match(x) for x in part):
             return FORM
         known = self.closings.known
@@ -238,11 +251,15 @@ class Reducer:
 
     def decide(self, text: str, ancestor: str | None = None, own: str | None = None) -> list[str]:
         """What settled each line."""
-        rows = [x.rstrip("\r") for x in text.split("\n")]
+        rows = text.split("\n")
+        if "\r" in text:
+            rows = [x.rstrip("\r") for x in rows]
         n = len(rows)
         old: list = [None] * n
         blank = [not x or x.isspace() for x in rows]
-        marks = [None if blank[i] or not (m := mark_of(x)) else m[0].strip() for i, x in enumerate(rows)]
+        marks: list = [None] * n
+        if _SOME_MARK.search(text):
+            marks = [None if blank[i] or not (m := mark_of(x)) else m[0].strip() for i, x in enumerate(rows)]
         source = _dictionary(ancestor) if ancestor else None
         bare = bones(text)
         same = self._overlaps(rows, blank, marks, source, bare) if source else old
@@ -301,7 +318,7 @@ class Reducer:
             for j in range(a, b):
                 old[j] = old[j] or same[j] or FORM
 
-        intros = {i: k for i in range(n) if not blank[i] and (k := self._intro(rows, i, marks))}
+        intros = {i: k for i, x in enumerate(rows) if (x[-1:] in _INTRO_LAST or x[:3] in _INTRO_WORDS) and not blank[i] and (k := self._intro(rows, i, marks))}
         for i, k in intros.items():
             take(i, i + k)
         if any(marks):
