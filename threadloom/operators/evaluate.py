@@ -29,13 +29,10 @@ def cohesion_labels(marked: DataFrame, sentences: DataFrame) -> DataFrame:
 
 def training(seq: DataFrame) -> DataFrame:
     """``fold``, ``n``, ``n_train``, ``t_train``: length of each fold, and length and gold boundaries of what trains it."""
-    return seq.sparkSession.sql(
-        """
-        WITH n AS (SELECT fold, count(*) AS n, count_if(gold = 'T') AS t FROM {s} GROUP BY fold)
-        SELECT fold, n, (SELECT sum(n) FROM n) - n AS n_train, (SELECT sum(t) FROM n) - t AS t_train FROM n
-        """,
-        s=seq,
-    )
+    own = seq.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gold") == "T").alias("t"))
+    total = own.agg(F.struct(F.sum("n").alias("n"), F.sum("t").alias("t")).alias("whole"))
+    every = seq.sparkSession.sql("SELECT fold, n, t, (SELECT whole FROM {t}) AS whole FROM {o}", t=total, o=own)
+    return every.select("fold", "n", (F.col("whole.n") - F.col("n")).alias("n_train"), (F.col("whole.t") - F.col("t")).alias("t_train"))
 
 
 def trained_baseline(seq: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Boundaries, windows over label sequences, and segmentation metrics.
 
-A sequence table has ``fold``, ``pos`` (from 0 without gaps), ``gold``, ``result`` (T or F) and further columns. Every
-window is partitioned by fold; windows whose length depends on the fold are equi-joins on running sums.
+A sequence table has ``fold``, ``pos`` (from 0 without gaps), ``gold``, ``result`` (T or F) and further columns. Windows
+whose length depends on the fold are equi-joins on running sums; these are formed within blocks of ``BLOCK`` positions, to
+which the sums of the blocks before are added, and neighbours are joined by position. So a fold with a third of all rows is
+spread over many tasks. What a fold needs in order (:func:`ghd`, the rank of :func:`combined`) holds its boundaries only.
 """
 
 import pandas as pd
@@ -12,19 +14,30 @@ from pyspark.sql import functions as F
 from threadloom.sources.scratch import save
 
 
+#: Positions of one block of a running sum.
+BLOCK = 4096
+
+
+def running(rows: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
+    """``rows`` with running sums, by ``pos`` within ``keys``, of SQL expressions by name."""
+    x = rows.withColumn("_b", F.floor(F.col("pos") / BLOCK))
+    own = x.groupBy(*keys, "_b").agg(*[F.sum(F.expr(e)).alias(n) for n, e in sums.items()])
+    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offset = own.select(*[F.col(k).alias("_" + k) for k in keys], F.col("_b").alias("_of"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias("_" + n) for n in sums])
+    same = x["_b"] == offset["_of"]
+    for k in keys:
+        same = same & x[k].eqNullSafe(offset["_" + k])
+    inside = W.partitionBy(*keys, "_b").orderBy("pos")
+    return x.join(offset, same).select(*[x[c] for c in rows.columns], *[(F.col("_" + n) + F.sum(F.expr(e)).over(inside)).alias(n) for n, e in sums.items()])
+
+
 def annotated(sentences: DataFrame, labels: DataFrame) -> DataFrame:
     """JOIN4: each sentence with its first and last act (by ``ord``), ``none`` without; keys count once, ``sid`` is a string."""
-    return sentences.sparkSession.sql(
-        """
-        WITH s AS (SELECT thread, sid, min(doc_no) AS doc_no, min(sent_no) AS sent_no FROM {s} GROUP BY thread, sid),
-             a AS (SELECT thread, sid, min_by(upper(trim(tag)), struct(ord, label_id)) AS act, max_by(upper(trim(tag)), struct(ord, label_id)) AS last_act,
-                          avg(CAST(boundary = 'T' AS DOUBLE)) AS confidence FROM {l} WHERE tag IS NOT NULL GROUP BY thread, sid)
-        SELECT s.thread, s.doc_no, s.sent_no, s.sid, coalesce(act, 'none') AS act, coalesce(last_act, 'none') AS last_act, coalesce(confidence, 0D) AS confidence
-        FROM s LEFT JOIN a USING (thread, sid)
-        """,
-        s=sentences,
-        l=labels,
-    )
+    key, order, act = ["thread", "sid"], F.struct("ord", "label_id"), F.upper(F.trim("tag"))
+    s = sentences.groupBy(*key).agg(F.min("doc_no").alias("doc_no"), F.min("sent_no").alias("sent_no"))
+    a = labels.where("tag IS NOT NULL").groupBy(*key).agg(F.min_by(act, order).alias("act"), F.max_by(act, order).alias("last_act"), F.avg((F.col("boundary") == "T").cast("double")).alias("confidence"))
+    none = lambda c: F.coalesce(c, F.lit("none")).alias(c)
+    return s.join(a, key, "left").select("thread", "doc_no", "sent_no", "sid", none("act"), none("last_act"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
 def boundaries(acts: DataFrame) -> DataFrame:
@@ -39,19 +52,21 @@ def boundaries(acts: DataFrame) -> DataFrame:
 
 
 def sequences(marked: DataFrame) -> DataFrame:
-    """The label sequences of the threads: gold by the first annotations, result by the last."""
-    return marked.sparkSession.sql(
-        """
-        SELECT thread AS fold, CAST(row_number() OVER (PARTITION BY thread ORDER BY doc_no, sent_no, sid) - 1 AS INT) AS pos, act,
-               CASE WHEN changed THEN 'T' ELSE 'F' END AS gold, CASE WHEN last_changed THEN 'T' ELSE 'F' END AS result, confidence FROM {m}
-        """,
-        m=marked,
-    )
+    """The label sequences of the threads: gold by the first annotations, result by the last; numbered within documents."""
+    before = W.partitionBy("thread").orderBy("doc_no").rowsBetween(W.unboundedPreceding, -1)
+    docs = marked.groupBy("thread", "doc_no").agg(F.count(F.lit(1)).alias("n"))
+    docs = docs.select(F.col("thread").alias("_t"), F.col("doc_no").alias("_d"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    rows = marked.join(docs, marked["thread"].eqNullSafe(docs["_t"]) & marked["doc_no"].eqNullSafe(docs["_d"]))
+    place = F.row_number().over(W.partitionBy("thread", "doc_no").orderBy("sent_no", "sid"))
+    mark = lambda c: F.when(F.col(c), "T").otherwise("F")
+    return rows.select(F.col("thread").alias("fold"), (F.col("_before") + place - 1).cast("int").alias("pos"), "act", mark("changed").alias("gold"), mark("last_changed").alias("result"), "confidence")
+
+
+def _sums(seq: DataFrame) -> DataFrame:
+    return running(seq.select("fold", "pos", "gold", "result"), ["fold"], {"g": "CAST(gold = 'T' AS INT)", "r": "CAST(result = 'T' AS INT)"})
 
 
-_SUMS = """
-    c AS (SELECT fold, pos, gold, result, sum(CAST(gold = 'T' AS INT)) OVER w AS g, sum(CAST(result = 'T' AS INT)) OVER w AS r FROM {s} WINDOW w AS (PARTITION BY fold ORDER BY pos)),
-    n AS (SELECT fold, count(*) AS n, count_if(gold = 'T') AS t FROM {s} GROUP BY fold)"""
+_COUNTS = "n AS (SELECT fold, count(*) AS n, count_if(gold = 'T') AS t FROM {s} GROUP BY fold)"
 
 
 def windowdiff(seq: DataFrame, variant: str = "sum") -> DataFrame:
@@ -63,12 +78,13 @@ def windowdiff(seq: DataFrame, variant: str = "sum") -> DataFrame:
     by = "max(n)" if variant == "sum" else "count(*)"
     return seq.sparkSession.sql(
         f"""
-        WITH {_SUMS}, k AS (SELECT fold, n, CAST(floor(CAST(n AS DOUBLE) / (t + 1) / 2) AS INT) AS k FROM n),
+        WITH {_COUNTS}, k AS (SELECT fold, n, CAST(floor(CAST(n AS DOUBLE) / (t + 1) / 2) AS INT) AS k FROM n),
              d AS (SELECT a.fold, n, b.g - a.g + CAST(a.gold = 'T' AS INT) AS dg, b.r - a.r + CAST(a.result = 'T' AS INT) AS dr
-                   FROM c a JOIN k USING (fold) JOIN c b ON a.fold = b.fold AND a.pos + k.k = b.pos)
+                   FROM {{c}} a JOIN k USING (fold) JOIN {{c}} b ON a.fold = b.fold AND a.pos + k.k = b.pos)
         SELECT fold, round(CAST(sum({one}) AS DOUBLE) / {by}, 6) AS windowdiff FROM d GROUP BY fold
         """,
         s=seq,
+        c=_sums(seq),
     )
 
 
@@ -80,12 +96,13 @@ def pk(seq: DataFrame, variant: str = "product") -> DataFrame:
     value = "miss * (1 - same) + alarm * same" if variant == "product" else "miss + alarm"
     return seq.sparkSession.sql(
         f"""
-        WITH {_SUMS}, k AS (SELECT fold, n, greatest(CAST(round(try_divide(CAST(n AS DOUBLE), 2 * t)) AS INT), 1) AS k FROM n WHERE t > 0),
-             d AS (SELECT a.fold, b.g = a.g AS sg, b.r = a.r AS sr FROM c a JOIN k USING (fold) JOIN c b ON a.fold = b.fold AND a.pos + k.k - 1 = b.pos),
+        WITH {_COUNTS}, k AS (SELECT fold, n, greatest(CAST(round(try_divide(CAST(n AS DOUBLE), 2 * t)) AS INT), 1) AS k FROM n WHERE t > 0),
+             d AS (SELECT a.fold, b.g = a.g AS sg, b.r = a.r AS sr FROM {{c}} a JOIN k USING (fold) JOIN {{c}} b ON a.fold = b.fold AND a.pos + k.k - 1 = b.pos),
              p AS (SELECT fold, avg(CAST(sg AS DOUBLE)) AS same, avg(CAST(sr AND NOT sg AS DOUBLE)) AS miss, avg(CAST(sg AND NOT sr AS DOUBLE)) AS alarm FROM d GROUP BY fold)
         SELECT n.fold, round({value}, 6) AS pk FROM n LEFT JOIN p USING (fold)
         """,
         s=seq,
+        c=_sums(seq),
     )
 
 
@@ -150,7 +167,10 @@ def combined(results: DataFrame, base: DataFrame, max_boundaries: int = -1, min_
     ``results``: ``fold pos result confidence``; ``base``: ``fold pos baseline``. ``max_boundaries`` below 0 keeps all; with
     ``drop_last`` it then leaves out the last, as the slice of the original did.
     """
-    cut = f"rn <= {max_boundaries}" if max_boundaries >= 0 else "rn < m" if drop_last else "true"
+    if max_boundaries < 0 and not drop_last:  # nothing to rank
+        score = F.when(F.col("baseline") == "T", 1.0).when(F.col("result") == "T", F.col("confidence")).otherwise(0.0)
+        return results.join(base, ["fold", "pos"]).select("fold", "pos", F.when(score >= min_confidence, "T").otherwise("F").alias("label"))
+    cut = f"rn <= {max_boundaries}" if max_boundaries >= 0 else "rn < m"
     return results.sparkSession.sql(
         f"""
         WITH j AS (SELECT fold, pos, CASE WHEN baseline = 'T' THEN 1D WHEN result = 'T' THEN confidence ELSE 0D END AS score FROM {{r}} JOIN {{b}} USING (fold, pos)),
@@ -164,18 +184,16 @@ def combined(results: DataFrame, base: DataFrame, max_boundaries: int = -1, min_
 
 def segments(seq: DataFrame) -> DataFrame:
     """WIN7: the number of the segment of each position; a segment starts at a gold boundary."""
-    return seq.sparkSession.sql("SELECT fold, pos, act, CAST(sum(CAST(gold = 'T' AS INT)) OVER (PARTITION BY fold ORDER BY pos) AS INT) AS segment FROM {s}", s=seq)
+    rows = running(seq.select("fold", "pos", "act", "gold"), ["fold"], {"segment": "CAST(gold = 'T' AS INT)"})
+    return rows.select("fold", "pos", "act", F.col("segment").cast("int").alias("segment"))
 
 
 def segment_vote(seq: DataFrame) -> DataFrame:
     """EVAL9: each segment's act: the one of its acts that was seen most often in the fold up to its end; ties by name."""
-    return seq.sparkSession.sql(
-        """
-        WITH v AS (SELECT fold, segment, act, max(seen) AS seen FROM (SELECT *, count(*) OVER (PARTITION BY fold, act ORDER BY pos) AS seen FROM {s}) GROUP BY fold, segment, act)
-        SELECT fold, segment, act AS vote FROM (SELECT *, row_number() OVER (PARTITION BY fold, segment ORDER BY seen DESC, act) AS n FROM v) WHERE n = 1
-        """,
-        s=segments(seq),
-    )
+    seen = running(segments(seq), ["fold", "act"], {"seen": "1"})
+    last = seen.groupBy("fold", "segment", "act").agg(F.max("seen").alias("seen"))
+    best = F.min_by("act", F.struct(-F.col("seen"), "act"))
+    return last.groupBy("fold", "segment").agg(best.alias("vote"))
 
 
 def majority(seq: DataFrame) -> DataFrame:
@@ -185,7 +203,8 @@ def majority(seq: DataFrame) -> DataFrame:
 
 def next_labels(seq: DataFrame) -> DataFrame:
     """WIN6, FLT11: the label of the next position, T after the last; read before acts ``none`` are dropped."""
-    return seq.sparkSession.sql("SELECT fold, pos, act, next_label FROM (SELECT *, lead(gold, 1, 'T') OVER (PARTITION BY fold ORDER BY pos) AS next_label FROM {s}) WHERE act <> 'none'", s=seq)
+    after = seq.select("fold", (F.col("pos") - 1).alias("pos"), F.col("gold").alias("next_label"))
+    return seq.where("act <> 'none'").select("fold", "pos", "act").join(after, ["fold", "pos"], "left").select("fold", "pos", "act", F.coalesce("next_label", F.lit("T")).alias("next_label"))
 
 
 def bieo(rows: DataFrame) -> DataFrame:

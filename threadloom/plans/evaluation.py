@@ -26,7 +26,13 @@ def _of_fold(s, d):
 
 
 def _systems(s, d):
-    return E.systems(PS._seq(s, d), PS._marked(s, d), table(s, d, "corpus_sentences"))
+    marked = save(PS._marked(s, d), "marked")  # read by all that follows
+    return E.systems(save(S.sequences(marked), "labels"), marked, table(s, d, "corpus_sentences"))
+
+
+def _smart(s, d):
+    seq = save(PS._seq(s, d), "labels")
+    return E.smart_combined(seq, E.trained_baseline(seq), seq)
 
 
 def _grams(s, d):
@@ -112,7 +118,7 @@ QUERIES = {
     "texttiling_labels": lambda s, d: E.cohesion_labels(PS._marked(s, d), table(s, d, "corpus_sentences")),
     "training_counts": lambda s, d: E.training(PS._seq(s, d)),
     "trained_baseline": lambda s, d: E.trained_baseline(PS._seq(s, d)),
-    "combine_smart": lambda s, d: E.smart_combined(PS._seq(s, d), E.trained_baseline(PS._seq(s, d)), PS._seq(s, d)),
+    "combine_smart": _smart,
     "label_scores": lambda s, d: E.split_scores(E.scored_labels(PS._seq(s, d))),
     "system_scores": lambda s, d: E.score_table(_systems(s, d)),
     "average_scores": lambda s, d: E.averaged(E.score_table(_systems(s, d))),
