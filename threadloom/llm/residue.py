@@ -514,7 +514,9 @@ def _covered(v: np.ndarray, window: int = WINDOW, least: float = LEAST) -> np.nd
 #: What stands between quotation marks is shown, not said.
 _QUOTED = re.compile(r"https?://\S+|«[^«»\n]*»|„[^“”„\n]*[“”]|“[^“”\n]*”|\"[^\"\n]*\"")
 _MARKUP = re.compile(r"</?[a-zA-Z]\w*>|(?<!\S)\*+|\*+(?!\S)")
-_BLANKS = re.compile(r"[^\S\n]+")
+_BLANKS, _ODD_BLANKS = re.compile(r"[^\S\n]+"), re.compile(r"[^\S\n ]|  ")
+#: What a field begins with; texts without any need no search.
+_OPENS = re.compile(r"[{%<\[@#$*~_]|&lt;|XX-")
 
 
 #: What stands between two lines of a batch: enough blanks that no n-gram of one line sees the other.
@@ -529,7 +531,11 @@ def residues(texts: list, model: dict) -> list[tuple[float, float, int]]:
     lines, owner = [], []
     for i, t in enumerate(texts):
         if t and not t.isspace():
-            for x in _BLANKS.sub(" ", _MARKUP.sub(" ", t)).split("\n"):
+            if "<" in t or "*" in t:
+                t = _MARKUP.sub(" ", t)
+            if _ODD_BLANKS.search(t):
+                t = _BLANKS.sub(" ", t)
+            for x in t.split("\n"):
                 if x := x.strip():
                     lines.append(x)
                     owner.append(i)
@@ -570,8 +576,8 @@ def residues(texts: list, model: dict) -> list[tuple[float, float, int]]:
         out[:, 0] = np.bincount(owner[counts_], filler[counts_], len(texts)) / whole
         out[:, 1] = np.bincount(owner[counts_], (either - filler)[counts_], len(texts)) / whole
     for i, t in enumerate(texts):
-        if t and FIELD.search(t):
-            out[i, 2] = sum(_fields(x, model) for x in t.split("\n"))
+        if t and _OPENS.search(t):
+            out[i, 2] = sum(_fields(x, model) for x in t.split("\n") if _OPENS.search(x))
     return [(float(f), float(n), int(k)) for f, n, k in out]
 
 
