@@ -28,6 +28,8 @@ from threadloom.sources.tables import spread
 
 #: Share of its size that a paragraph must lose to a dictionary to be suspected.
 GAIN = 0.35
+#: Share of its own size below which a compressed paragraph is abnormal in any case.
+SMALL = 0.3
 #: Bytes of a dictionary that one compression sees, how many of them the next piece repeats, and most bytes of text it compresses.
 PIECE, REPEAT, PART = 28_000, 8_000, 4_000
 #: Messages below whose signatures a closing of the archive must stand, and its least share there of all it occurs.
@@ -84,6 +86,7 @@ def bone(s: str) -> str:
 
 #: Whether any line may begin with a quotation mark, and how the last line of an introduction may end.
 _SOME_MARK, _INTRO_LAST = re.compile(r"^(?:[ \t]?[^\w\s]|[ \t]?[^\x00-\x7f]|[ \t]?[A-Z]{2,3}>)", re.M), frozenset(": \t\x0b\x0c")
+_SOME_HEADER = re.compile(r"^(?:-{3}|_{25}|From|Von|De)", re.M)
 _ODD_BLANK = re.compile("[\x0b\x0c\x1c-\x1f]")
 
 
@@ -129,6 +132,13 @@ class Dictionary:
             self._pieces = [raw[i : i + PIECE] for i in range(0, max(len(raw) - REPEAT, 1), PIECE - REPEAT)]
         return self._pieces
 
+    def abnormal(self, paragraph: str) -> bool:
+        """Whether the paragraph shrinks abnormally: to less than ``SMALL`` of its size, which no short text does by itself, or by ``GAIN``."""
+        raw = paragraph.encode(errors="replace")
+        if len(raw) <= PART and len(self.pieces) == 1 and (best := _packed(raw, self.pieces[0])) > SMALL * len(raw):
+            return 1 - best / _packed(raw) >= GAIN
+        return len(raw) <= PART and len(self.pieces) == 1 or self.gain(paragraph) >= GAIN
+
     def gain(self, paragraph: str) -> float:
         """Share of its compressed size that the paragraph loses to this dictionary, whatever the size of either.
 
@@ -172,6 +182,8 @@ class Closings:
         for i, x in enumerate(self.lines):
             for w in self.shingles(x.split()):
                 self.index.setdefault(w, []).append(i)
+        # a text that holds a shingle holds its longest word
+        self.heads = frozenset(max(w, key=len) for w in self.index)
 
     @staticmethod
     def shingles(words: list[str]) -> list[tuple]:
@@ -180,7 +192,7 @@ class Closings:
     def taken(self, text: str) -> bool:
         """Whether a paragraph is made of closings: shingles name the closings, the gain with these must be abnormal, and they must cover it."""
         words = text.split()
-        if len(words) < 2 * SHINGLE or not self.index:
+        if len(words) < 2 * SHINGLE or self.heads.isdisjoint(words):
             return False
         # what covers so much holds runs that some of every third shingle lies in
         if not any(tuple(words[i : i + SHINGLE]) in self.index for i in range(0, len(words), 3)):
@@ -228,19 +240,15 @@ class Reducer:
 
     def _closing(self, part: list[str], keys) -> str | None:
         """Whether the lines of a paragraph are known closings, by the archive's closings or by legal words and exact sentences; ``keys``: what is compared of each."""
-        if any(_BYE.match(x.strip()) for x in part):
-            return None
-        text = " ".join(x.strip() for x in part)
-        if self.closings.taken(text):
-            return OWN_CLOSING
-        if not self.forms:
-            return None
-        legal = len(_LEGAL.findall(text)) if _may_be_legal(text) else 0
-        if legal > 1 or all(_DEVICE.match(x) for x in part):
-            return FORM
+        text = " ".join([x.strip() for x in part])
         known = self.closings.known
-        if not legal and not any(k in known for k in keys):
+        taken = self.closings.taken(text)
+        legal = len(_LEGAL.findall(text)) if not taken and self.forms and _may_be_legal(text) else 0
+        device = not taken and self.forms and part[0][0] in "SGEV" and all(_DEVICE.match(x) for x in part)
+        if not (taken or legal or device or self.forms and not known.isdisjoint(keys)) or any(_BYE.match(x.strip()) for x in part):
             return None
+        if taken or legal > 1 or device:
+            return OWN_CLOSING if taken else FORM
         sentences = [b for x in re.split(r"(?<=[.!?:]) ", text) if (b := figures(bone(x)))]
         size = sum(map(len, sentences))
         return FORM if size > 0 and sum(len(b) for b in sentences if b in known) >= 0.6 * size else None
@@ -268,7 +276,7 @@ class Reducer:
                 if same[i] and marks[i] is not None:
                     old[i] = ANCESTOR
         if self.forms:
-            self._quotations(rows, blank, marks, old, same, source, ancestor)
+            self._quotations(text, rows, blank, marks, old, same, source, ancestor)
         if source:
             self._copies(blank, marks, old, same, bare)
         # what is compared of the lines that are left
@@ -303,13 +311,13 @@ class Reducer:
                 k = bare[i] if marks[i] is None else bone(x)
                 if k and (k in source.lines and (marks[i] is None or marks[i][:1] == ">" or len(k) > 8) or len(k) > short and k in source.whole):
                     hits.append(i)
-            if hits and source.gain("\n".join(plain)) >= GAIN:
+            if hits and source.abnormal("\n".join(plain)):
                 for i in hits:
                     out[i] = ANCESTOR
             a = b
         return out
 
-    def _quotations(self, rows, blank, marks, old, same, source, ancestor) -> None:
+    def _quotations(self, text, rows, blank, marks, old, same, source, ancestor) -> None:
         """Quotations by their form: introductions, marks, headers, and copies below introductions."""
         n = len(rows)
         whole, known = (source.whole, source.lines) if source else ("", frozenset())
@@ -324,7 +332,7 @@ class Reducer:
         if any(marks):
             self._marked(rows, marks, old, blank, intros, whole, known)
         # a message copied below its header stands to the end
-        for i in range(n):
+        for i in range(n if _SOME_HEADER.search(text) else 0):
             if (not old[i] or same[i]) and not blank[i] and (rows[i][0] in "-_FVD"):
                 nxt = next((k for k in range(i + 1, n) if not blank[k]), None)
                 if (_HEADER_MARK.match(rows[i]) and nxt is not None and _HEADER.match(rows[nxt])) or (_HEADER.match(rows[i]) and nxt is not None and _FIELD.match(rows[nxt])):
@@ -332,7 +340,7 @@ class Reducer:
                     break
         # a copy without marks below its introduction, which may begin with the ancestor's own quotations:
         # to the last line that overlaps with the ancestor, without it to the end
-        first = next((x for x in (ancestor or "").split("\n") if x.strip()), "")
+        first = next((x for x in (ancestor or "").split("\n") if x.strip()), "") if intros else ""
         for i, size in intros.items():
             k = i + size
             while k < n and blank[k]:
@@ -408,7 +416,7 @@ class Reducer:
             if not blank[i] and not old[i]:
                 block.append(i)
             i -= 1
-        if block and own.gain("\n".join(rows[i] for i in reversed(block))) >= GAIN:
+        if block and own.abnormal("\n".join(rows[i] for i in reversed(block))):
             for i in block:
                 old[i] = OWN_CLOSING
 

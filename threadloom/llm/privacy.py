@@ -191,7 +191,7 @@ def learn_names(messages: DataFrame, given: int = GIVEN, ending: int = ENDING, s
     n = F.regexp_replace(F.trim(F.regexp_replace("from_name", '["“”]', "")), r"\s+", " ")
     n = F.regexp_replace(n, r"^([^,]+), (.+)$", "$2 $1")
     shape = r"^(\p{Lu}[\p{Ll}'’]+(?:[- ](?:Mar[^\s]{1,3}))?) (?:de la |de los |de |del |du |von der |von |van der |van |di )?((?:\p{Lu}[\p{L}'’]+)(?:-\p{Lu}[\p{L}'’]+)*)$"
-    people = messages.where("from_name is not null").select(n.alias("n")).distinct()
+    people = messages.where("from_name is not null").select("from_name").distinct().select(n.alias("n"))
     people = people.select(F.regexp_extract("n", shape, 1).alias("g"), F.lower(F.regexp_extract("n", shape, 2)).alias("f")).where("g <> ''")
     people = people.withColumn("g", F.regexp_replace("g", r"[- ]Mar[^\s]{1,3}$", ""))
     people = people.distinct()
