@@ -65,3 +65,13 @@ def test_limited_files(spark):
     files = spark.createDataFrame(rows, "filename STRING, mime STRING, encoding STRING, is_initial STRING")
     names = lambda df: sorted(r.filename for r in df.collect())
     assert names(T.limited_files(files, 3)) == ["f1", "f3", "f5"] and names(T.limited_files(files, 3, False)) == ["f1"]
+
+
+def test_bayes_on_unseen_classes(spark):
+    from threadloom.operators import learn as L
+
+    schema = "tokens ARRAY<STRING>, act STRING"
+    train = spark.createDataFrame([(["what", "is"], "Q"), (["what", "now"], "Q"), (["it", "is"], "A"), (["it", "was"], "A")], schema)
+    test = spark.createDataFrame([(["what"], "Q"), (["it"], "A"), (["was"], "new"), ([], "Q")], schema)
+    got = [r.prediction for r in L.predicted(L.naive_bayes(train, "tokens", "act"), test).collect()]
+    assert got[:3] == ["Q", "A", "A"] and got[3] in ("Q", "A")

@@ -119,7 +119,15 @@ def naive_bayes(rows: DataFrame, tokens: str, label: str):
     from pyspark.ml.classification import NaiveBayes
     from pyspark.ml.feature import HashingTF, StringIndexer
 
-    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_label", stringOrderType="frequencyDesc"), HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=1 << 16), NaiveBayes(featuresCol="_tf", labelCol="_label", smoothing=1.0)]).fit(rows)
+    return Pipeline(stages=[StringIndexer(inputCol=label, outputCol="_label", stringOrderType="frequencyDesc", handleInvalid="keep"), HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=1 << 16), NaiveBayes(featuresCol="_tf", labelCol="_label", smoothing=1.0)]).fit(rows)
+
+
+def predicted(fitted, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``prediction``, the name of the class; classes that the training rows lacked are never predicted."""
+    from pyspark.ml.feature import IndexToString
+
+    out = fitted.transform(rows).withColumnRenamed("prediction", "_prediction")
+    return IndexToString(inputCol="_prediction", outputCol="prediction", labels=[*fitted.stages[0].labels, "none"]).transform(out)
 
 
 def bag(tokens: Column) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
 from threadloom.operators import align as A
+from threadloom.operators import folds as K
 from threadloom.operators import graph as G
 from threadloom.operators import learn as L
 from threadloom.operators import segments as S
@@ -14,7 +15,7 @@ from threadloom.plans import segments as PS
 from threadloom.plans import tagged as PT
 from threadloom.sinks import exports as E
 from threadloom.sources import corpus, mail
-from threadloom.sources.scratch import new_path
+from threadloom.sources.scratch import new_path, save
 from threadloom.sources.tables import table
 
 
@@ -120,8 +121,11 @@ def _features(s, d):
 
 
 def _bayes(s, d):
+    """Fitted on the sentences of the first four fifths of the threads, applied to those of the rest."""
     rows = table(s, d, "corpus_sentences").where("text IS NOT NULL").groupBy("thread", "sid").agg(F.min("text").alias("text")).join(PS._acts(s, d).select("thread", "sid", "act").where("act <> 'none'"), ["thread", "sid"]).withColumn("tokens", X.words(F.lower("text")))
-    return L.naive_bayes(rows, "tokens", "act").transform(rows).select("thread", "sid", "act", F.col("prediction").cast("int").alias("prediction"))
+    rows = save(rows.join(K.holdout(rows.select("thread").distinct(), "thread", 0.8), "thread"), "bayes")
+    fitted = L.naive_bayes(rows.where("part = 'train'"), "tokens", "act")
+    return L.predicted(fitted, rows.where("part = 'test'")).select("thread", "sid", "act", "prediction")
 
 
 def _bags(s, d):
@@ -157,6 +161,7 @@ QUERIES = {
     "graph_report": lambda s, d: E.graph_report(G.Graph(table(s, d, "messages"))),
     "pattern_lines": lambda s, d: s.createDataFrame([(x,) for x in S.pattern_lines(S.pattern_columns(lexical=100, thematic=True))], "line STRING"),
     "naive_bayes": _bayes,
+    "naive_bayes_scores": lambda s, d: PV.E.multiclass(_bayes(s, d), "act", "prediction"),
     "bag_of_words": _bags,
     "word_tags": lambda s, d: T.records(PT._lines(s, d)).select("filename", "line_number", F.array_join(L.tag_words(F.col("tokens")), " ").alias("tags"), L.first_verb_form(L.tag_words(F.col("tokens"))).alias("first_verb_form")),
 }
