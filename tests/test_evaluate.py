@@ -25,6 +25,15 @@ def test_label_and_score(spark):
     assert [(r.label, r.score) for r in E.split_scores(df).orderBy("pos").collect()] == [("T", 0.83), ("F", None), (None, None), ("F", None)]
 
 
+def test_average_at_a_tie_in_any_order(spark):
+    """0.3941025 is rounded up; doubles added in the second order give 0.394102."""
+    for order in ([0.098419, 0.511555, 0.029725, 0.936711], [0.098419, 0.029725, 0.936711, 0.511555]):
+        rows = [(str(i), "recall", v, round(1 - v, 6), None, None) for i, v in enumerate(order)] + [("4", "recall", None, None, None, None)]
+        one = E.averaged(spark.createDataFrame(rows, "fold STRING, metric STRING, result DOUBLE, baseline DOUBLE, texttiling DOUBLE, gold DOUBLE").coalesce(1))
+        assert one.dtypes == [("metric", "string")] + [(c, "double") for c in (*E.SYSTEMS, "gold")]
+        assert [tuple(r) for r in one.collect()] == [("recall", 0.394103, 0.605898, None, None)]
+
+
 def test_multiclass(spark):
     rows = spark.createDataFrame([("a", "a", "b"), ("a", "b", "b"), ("b", "b", "b"), ("c", "a", "b")], "act STRING, one STRING, two STRING")
     got = {r.guess: (r.precision, r.recall) for r in E.multiclass(rows, "act", "one", "two").collect()}

@@ -91,8 +91,12 @@ def score_table(of: DataFrame) -> DataFrame:
 
 
 def averaged(scores: DataFrame) -> DataFrame:
-    """AGG9: the mean over the folds; folds where a value is undefined don't count for it."""
-    return scores.groupBy("metric").agg(*[F.round(F.avg(c), 6).alias(c) for c in [*SYSTEMS, "gold"]])
+    """AGG9: the mean over the folds; folds where a value is undefined don't count for it.
+
+    Values are added as decimals: a sum of doubles depends on the order of the folds, and so would the last digit at a tie.
+    """
+    mean = lambda c: F.round(F.avg(F.col(c).cast("decimal(24,12)")), 6).cast("double").alias(c)
+    return scores.groupBy("metric").agg(*map(mean, [*SYSTEMS, "gold"]))
 
 
 def score_lines(average: DataFrame) -> DataFrame:
